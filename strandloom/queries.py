@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.operators.heavykeys import key_profile
+from strandloom.operators.packed import split_packed
 from strandloom.operators.periods import periods_and_gaps
 from strandloom.operators.rejects import parse_axt_lines, split_rejects
 from strandloom.plans.registry import Registry
@@ -91,3 +92,22 @@ def p7_found(spark, d):
 def p7_profile(spark, d):
     """Reads, mean length and span per chrom and region, each read once."""
     return key_profile(load(spark, d, "alignments"), load(spark, d, "chrom_aliases"))
+
+
+def _packed(spark, d):
+    """Values of both packed fields, one row each; a repeated row counts once."""
+    parents = split_packed(load(spark, d, "gff3").select("record_id", "parent").distinct(), "parent", "id")
+    arrays = split_packed(load(spark, d, "autosql_records").select("rec_id", "float_array", "a_field_size").distinct(), "float_array", "number", "a_field_size")
+    cols = ["item_pos", "item_text", "n_values", "dialect"]
+    return parents.select(F.lit("gff3").alias("record_kind"), "record_id", *cols).unionByName(arrays.select(F.lit("autosql").alias("record_kind"), F.col("rec_id").alias("record_id"), *cols))
+
+
+@core.add("p4_found")
+def p4_found(spark, d):
+    return _packed(spark, d).filter("n_values >= 2").select("record_kind", "record_id", "item_pos", "item_text")
+
+
+@core.add("p4_dialects")
+def p4_dialects(spark, d):
+    """How often each dialect was the cheapest."""
+    return _packed(spark, d).groupBy("record_kind", "dialect").agg(F.count_distinct("record_id").alias("n_fields"), F.count(F.lit(1)).alias("n_items"))
