@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.operators.heavykeys import key_profile
+from strandloom.operators.hierarchy import descendants, hierarchy
 from strandloom.operators.packed import split_packed
 from strandloom.operators.periods import periods_and_gaps
 from strandloom.operators.rejects import parse_axt_lines, split_rejects
 from strandloom.plans.registry import Registry
-from strandloom.tables import load, with_reported_chrom
+from strandloom.tables import load, percent_decoded, with_reported_chrom
 
 core = Registry()
 
@@ -111,3 +112,45 @@ def p4_found(spark, d):
 def p4_dialects(spark, d):
     """How often each dialect was the cheapest."""
     return _packed(spark, d).groupBy("record_kind", "dialect").agg(F.count_distinct("record_id").alias("n_fields"), F.count(F.lit(1)).alias("n_items"))
+
+
+_TREE = r"""
+WITH RECURSIVE r AS (SELECT DISTINCT nullif(nullif(url_decode(trim(gff_id)), ''), '.') AS id, trim(parent, E' \t') AS p FROM gff3),
+n AS (SELECT DISTINCT id FROM r WHERE id IS NOT NULL),
+i AS (SELECT id, unnest(regexp_extract_all(p, '"[^"]*"|[A-Za-z0-9:._%-]+')) AS v FROM r WHERE id IS NOT NULL AND p NOT IN ('', '.')),
+e AS (SELECT DISTINCT i.id AS child, n.id AS parent FROM i JOIN n ON n.id = url_decode(trim(trim(v, '"')))),
+up AS (SELECT child AS a, parent AS b FROM e UNION SELECT up.a, e.parent FROM up JOIN e ON up.b = e.child),
+cyc AS (SELECT DISTINCT a AS id FROM up WHERE a = b),
+ok AS (SELECT * FROM e WHERE child NOT IN (SELECT id FROM cyc) AND parent NOT IN (SELECT id FROM cyc)),
+root AS (SELECT id FROM n WHERE id NOT IN (SELECT child FROM e)),
+t AS (SELECT id, id AS root_id, 0 AS node_depth, [id] AS path FROM root UNION SELECT ok.child, t.root_id, t.node_depth + 1, list_append(t.path, ok.child) FROM t JOIN ok ON ok.parent = t.id)
+"""
+
+
+def _gff3_graph(spark, d):
+    """(nodes, edges) of the gff3 IDs and Parents."""
+    rows = load(spark, d, "gff3").select("gff_id", "parent").distinct()
+    node = percent_decoded(F.btrim("gff_id", F.lit(" \t\r\n\f\v")))
+    rows = rows.withColumn("node", F.when(~node.isin("", "."), node)).filter("node is not null")
+    return rows.select("node"), split_packed(rows, "parent", "id").select(F.col("node").alias("child"), F.col("item_text").alias("parent"))
+
+
+@core.add("p6_found", _TREE + "SELECT DISTINCT id AS gff_id, root_id, node_depth FROM t UNION ALL SELECT id, '(cycle)', -1 FROM cyc")
+def p6_found(spark, d):
+    tree, cyc = hierarchy(*_gff3_graph(spark, d))
+    return tree.select(F.col("node").alias("gff_id"), F.col("root").alias("root_id"), F.col("depth").alias("node_depth")).unionByName(cyc.select(F.col("node").alias("gff_id"), F.lit("(cycle)").alias("root_id"), F.lit(-1).alias("node_depth")))
+
+
+@core.add("p6_paths", _TREE + "SELECT id AS gff_id, root_id, node_depth, array_to_string(path, ' > ') AS node_path FROM t")
+def p6_paths(spark, d):
+    """Every full path from a root to a node."""
+    tree, _ = hierarchy(*_gff3_graph(spark, d), with_path=True)
+    return tree.select(F.col("node").alias("gff_id"), F.col("root").alias("root_id"), F.col("depth").alias("node_depth"), F.concat_ws(" > ", "path").alias("node_path"))
+
+
+@core.add("p6_descendants", _TREE + """, x AS (SELECT path, unnest(range(1, len(path))) AS i FROM t), y AS (SELECT path, i, unnest(range(i + 1, len(path) + 1)) AS j FROM x)
+SELECT DISTINCT path[i] AS gff_id, path[j] AS descendant_id, CAST(j - i AS INTEGER) AS distance FROM y""")
+def p6_descendants(spark, d):
+    """Each node with each of its descendants and the distances between them."""
+    tree, _ = hierarchy(*_gff3_graph(spark, d), with_path=True)
+    return descendants(tree).select(F.col("node").alias("gff_id"), F.col("descendant").alias("descendant_id"), "distance")
