@@ -37,18 +37,28 @@ DIALECTS = (
 )
 _BLANKS = " \t\r\n\f\v"
 _QUOTED = r'"(?:[^"]++|"")*+"'
-#: Bits for a value that its kind does not allow, and for a number of places other than the stated one.
-ILLEGAL_BITS, MISCOUNT_BITS = 64.0, 4096.0
-
-#: What an unquoted value may look like, per kind.
-LEGAL = {
-    "id": r"\A[\p{L}\p{N}:._%-]*+\z",
-    "number": r"(?i)\A(?:[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:e[+-]?[0-9]+)?|[+-]?(?:nan|inf|infinity)|)\z",
-    # Only where the number of places is stated: decimal comma, digit grouping.
-    "number_comma": r"(?i)\A(?:[+-]?(?:[0-9]+(?:[.,][0-9]*)?|\.[0-9]+)(?:e[+-]?[0-9]+)?|[+-]?[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[+-]?(?:nan|inf|infinity)|)\z",
+#: Bits for a number of places other than the stated one.
+MISCOUNT_BITS = 4096.0
+#: Dialects with one kind of separator; the others are tried where none of these fits.
+SIMPLE = ("single", "comma", "semicolon", "pipe", "tab", "blank", "comma_blank")
+
+_PLAIN = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:e[+-]?[0-9]+)?|[+-]?(?:nan|inf(?:inity)?)"
+#: What an unquoted value may look like; ``number_comma`` (decimal comma, digit grouping) only where the number of places is stated.
+VALUE = {
+    "id": r"[\p{L}\p{N}:._%-]++",
+    "number": _PLAIN,
+    "number_comma": _PLAIN + r"|[+-]?[0-9]+,[0-9]+|[+-]?[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?",
 }
 
 
+def _admissible(d: Dialect, kind: str) -> str:
+    """A pattern for the fields that consist of values of the kind and separators of the dialect."""
+    if kind == "number_comma" and d.sep == ",":
+        kind = "number"
+    pad = "" if "\\s++" in d.sep else r"[^\S\t]*+"
+    return rf"(?i)\A(?:(?:{_QUOTED}|{VALUE[kind]}){pad}(?=(?:{d.sep})|\z)|(?:{d.sep})[^\S\t]*+)*+\z"
+
+
 def _body(field: Column) -> Column:
     """The field without outer blanks and without a pair of brackets around the list."""
     t = F.btrim(field, F.lit(_BLANKS))
@@ -79,26 +89,36 @@ def _shape(x: Column) -> Column:
 
 
 def _bigrams(x: Column) -> Column:
-    s = _shape(x)
-    return F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, F.lit(2)))
+    # A lookahead, so that the shape is computed once and every overlapping pair is a match.
+    return F.regexp_extract_all(_shape(x), F.lit(r"(?=([\s\S]{2}))"), F.lit(1))
+
 
+def _candidates(df: DataFrame, kind: str) -> DataFrame:
+    """``cands``: array of (di, places) of the admissible parses.
+
+    An admissible parse leaves only values of the kind between its separators and has the stated number of
+    places. Dialects with several kinds of separators are tried where no simple one is admissible
+    (without a stated number they would give the same parse), and where nothing is, all
+    dialects are candidates, a wrong number of places being paid for.
+    """
+    body, size = F.col("__body"), F.col("__size")
 
-def _candidates(df: DataFrame, kind: Column) -> DataFrame:
-    """``cands``: array of (di, places, illegal, miscount) for the dialects whose separator the field contains."""
-    body = F.col("__body")
+    def fits(d: Dialect) -> Column:
+        ok = body.rlike(_admissible(d, kind)) if kind == "id" else F.when(size.isNotNull(), body.rlike(_admissible(d, "number_comma"))).otherwise(body.rlike(_admissible(d, "number")))
+        return body.rlike(d.hint) & ok if d.hint else ok
 
-    def legal(x: Column) -> Column:
-        free = F.when(kind == "id", x.rlike(LEGAL["id"])).when(F.col("__size").isNotNull(), x.rlike(LEGAL["number_comma"])).otherwise(x.rlike(LEGAL["number"]))
-        inside = (kind == "id") | _inner(x).rlike(LEGAL["number_comma"])
-        return F.when(_is_quoted(x), inside).otherwise(free)
+    def parses(some: list[tuple[int, Dialect]], all_: bool = False) -> Column:
+        one = [F.struct(F.lit(i).alias("di"), _places(body, d).alias("places")) for i, d in some]
+        return F.array_compact(F.array(*[c if all_ else F.when(fits(d), c) for c, (_, d) in zip(one, some)]))
 
-    found = []
-    for i, d in enumerate(DIALECTS):
-        places = _places(body, d)
-        illegal = F.size(F.filter(places, lambda x: ~legal(x)))
-        c = F.struct(F.lit(i).alias("di"), places.alias("places"), illegal.alias("illegal"), (F.size(places) != F.col("__size")).alias("miscount"))
-        found.append(F.when(body.rlike(d.hint), c) if d.hint else c)
-    return df.withColumn("cands", F.array_compact(F.array(*found)))
+    counted = lambda c: F.filter(c, lambda x: F.coalesce(F.size(x["places"]) == size, F.lit(True)))
+    simple = [(i, d) for i, d in enumerate(DIALECTS) if d.name in SIMPLE]
+    mixed = [(i, d) for i, d in enumerate(DIALECTS) if d.name not in SIMPLE]
+    df = df.withColumn("__simple", counted(parses(simple)))
+    df = df.withColumn("__mixed", F.when(F.size("__simple") == 0, counted(parses(mixed))))
+    df = df.withColumn("sure", (F.size("__simple") > 0) | (F.size("__mixed") > 0))
+    every = parses(list(enumerate(DIALECTS)), True)
+    return df.withColumn("cands", F.when(F.size("__simple") > 0, F.col("__simple")).when(F.size("__mixed") > 0, F.col("__mixed")).otherwise(every)).drop("__simple", "__mixed")
 
 
 def train_value_code(cands: DataFrame) -> dict[str, float]:
@@ -107,9 +127,8 @@ def train_value_code(cands: DataFrame) -> dict[str, float]:
     The alphabet of shapes is fixed (13 symbols), so the table has at most 169 entries however
     large the input.
     """
-    ok = F.filter("cands", lambda c: (c["illegal"] == 0) & ~F.coalesce(c["miscount"], F.lit(False)))
-    grams = F.flatten(F.transform(F.flatten(F.transform(ok, lambda c: c["places"])), lambda v: _bigrams(_inner(v))))
-    counts = {r["g"]: r["n"] for r in cands.select(F.explode(grams).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    grams = F.flatten(F.transform(F.flatten(F.transform("cands", lambda c: c["places"])), lambda v: _bigrams(_inner(v))))
+    counts = {r["g"]: r["n"] for r in cands.filter("sure").select(F.explode(grams).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
     heads: dict[str, int] = {}
     for g, n in counts.items():
         heads[g[0]] = heads.get(g[0], 0) + n
@@ -123,30 +142,29 @@ def split_packed(df: DataFrame, field: str, kind: str, size: str | None = None,
     ``kind`` is ``id`` (Parent lists) or ``number`` (float arrays); ``size`` names the column with the
     stated number of places, if there is one. Each field is parsed under every dialect whose separator it
     contains; a parse costs the bits of its values under a code trained over all fields
-    (:func:`train_value_code`), plus bits for the dialect, for values the kind does not
-    allow and for a wrong number of places. The cheapest wins, ties by order of :data:`DIALECTS`.
+    (:func:`train_value_code`), plus bits for the dialect and for a wrong number of places. The
+    cheapest of the admissible parses wins, ties by order of :data:`DIALECTS`.
 
     Null, blank and ``.`` fields give no row; empty places count in ``item_pos`` but give no row.
     ``item_text`` is without outer blanks and quotes, %-escapes undone. Columns of df named like
     a result column are replaced. Row-local but for the training pass.
     """
-    k = F.lit(kind)
     base = df.drop("item_pos", "item_text", "n_values", "dialect").withColumn("__body", _body(F.col(field)))
     base = base.withColumn("__size", F.col(size).cast("int") if size else F.lit(None).cast("int"))
     base = base.filter(F.col("__body").isNotNull() & ~F.col("__body").isin("", "."))
-    cands = _candidates(base, k)
+    cands = _candidates(base, kind)
     code = train_value_code(cands) if code is None else code
     table = F.create_map(*[F.lit(x) for g, b in code.items() for x in (g, b)]) if code else F.expr("map('', double(0))")
     bits = lambda v: F.aggregate(_bigrams(_inner(v)), F.lit(0.0), lambda a, g: a + F.coalesce(F.element_at(table, g), F.lit(12.0)))
-    cost = lambda c: F.aggregate(c["places"], F.lit(0.0), lambda a, v: a + bits(v)) + c["illegal"] * ILLEGAL_BITS + F.when(F.coalesce(c["miscount"], F.lit(False)), MISCOUNT_BITS).otherwise(0.0) + c["di"] * 0.5
-    # A field with one admissible parse needs no scoring. Each step is a projection of its own, so that it is evaluated once.
-    clean = cands.withColumn("__clean", F.filter("cands", lambda c: (c["illegal"] == 0) & ~F.coalesce(c["miscount"], F.lit(False))))
-    pool = clean.withColumn("__pool", F.when(F.size("__clean") > 0, F.col("__clean")).otherwise(F.col("cands")))
-    scored = F.transform("__pool", lambda c: F.struct(cost(c).alias("bits"), c["di"].alias("di"), c["places"].alias("places")))
-    only = F.struct(F.lit(0.0).alias("bits"), F.get("__pool", F.lit(0))["di"].alias("di"), F.get("__pool", F.lit(0))["places"].alias("places"))
-    best = pool.withColumn("__best", F.when(F.size("__pool") == 1, only).otherwise(F.array_min(scored)))
+    wrong = lambda c: F.when(F.size(c["places"]) != F.col("__size"), MISCOUNT_BITS).otherwise(0.0)
+    cost = lambda c: F.aggregate(c["places"], F.lit(0.0), lambda a, v: a + bits(v)) + wrong(c) + c["di"] * 0.5
+    # A field whose admissible parses agree needs no scoring.
+    scored = F.transform("cands", lambda c: F.struct(cost(c).alias("bits"), c["di"].alias("di"), c["places"].alias("places")))
+    only = F.struct(F.lit(0.0).alias("bits"), F.get("cands", F.lit(0))["di"].alias("di"), F.get("cands", F.lit(0))["places"].alias("places"))
+    best = cands.withColumn("__best", F.when(F.size(F.array_distinct(F.transform("cands", lambda c: c["places"]))) == 1, only).otherwise(F.array_min(scored)))
     best = best.withColumn("n_values", F.size(F.filter("__best.places", lambda v: v != "")))
+    # The outer form, as for the inner one a filter on the places is inferred and pushed down, which parses every field again.
     names = F.array(*[F.lit(d.name) for d in DIALECTS])
-    rows = best.select(*[F.col(f"`{c}`") for c in base.columns if not c.startswith("__")], "n_values", F.get(names, F.col("__best.di")).alias("dialect"), F.posexplode("__best.places").alias("__p", "__v"))
+    rows = best.select(*[F.col(f"`{c}`") for c in base.columns if c not in ("__body", "__size")], "n_values", F.get(names, F.col("__best.di")).alias("dialect"), F.posexplode_outer("__best.places").alias("__p", "__v"))
     text = F.btrim(_inner(F.col("__v")), F.lit(_BLANKS))
     return rows.filter("__v <> ''").withColumn("item_pos", (F.col("__p") + 1).cast("int")).withColumn("item_text", percent_decoded(text)).drop("__p", "__v")
