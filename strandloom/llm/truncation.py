@@ -103,8 +103,18 @@ def wanted_contexts(tails: DataFrame) -> np.ndarray:
     return out
 
 
-def train(texts: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(occurrences, stops) of the wanted contexts over every place of every text.
+class Counters:
+    """Occurrences and stops by context, from parallel arrays."""
+
+    def __init__(self, keys: np.ndarray, seen: np.ndarray, stop: np.ndarray) -> None:
+        self.at = dict(zip(keys.tolist(), zip(seen.tolist(), stop.tolist())))
+
+    def __getitem__(self, key: int) -> tuple[int, int]:
+        return self.at.get(key, (0, 0))
+
+
+def train(texts: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts, occurrences, stops): the wanted contexts' counts over every place of every text.
 
     A context stops where a line break or the end of the text follows. Tasks count into arrays of
     fixed size; of these, the counters that some text's end needs are summed up, so at most orders * buckets
@@ -129,13 +139,10 @@ def train(texts: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at].astype(np.int64)), pa.array(s[at].astype(np.int64))], names=["k", "n", "s"])
 
     t = texts.mapInArrow(f, "k long, n long, s long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).toArrow()
-    seen, stop = (np.zeros(size, dtype=np.int64) for _ in range(2))
-    seen[t.column("k").to_numpy()] = t.column("n").to_numpy()
-    stop[t.column("k").to_numpy()] = t.column("s").to_numpy()
-    return seen, stop
+    return t.column("k").to_numpy().astype(np.int32), t.column("n").to_numpy(), t.column("s").to_numpy()
 
 
-def stop_log_odds(text: str, seen: np.ndarray, stop: np.ndarray, own_stop: bool = True) -> float:
+def stop_log_odds(text: str, counters: Counters, own_stop: bool = True) -> float:
     """log2 of P(stop) / P(continuation) after the last context of text, backed off from long contexts to short ones.
 
     The text's own occurrence is left out. In a line that is longer than the contexts, the estimate up to
@@ -144,9 +151,9 @@ def stop_log_odds(text: str, seen: np.ndarray, stop: np.ndarray, own_stop: bool
     p, least = 1e-4, 1.0
     long_line = len(text) - text.rfind("\n") > ORDERS[-1]
     for k, b in enumerate(_tail_buckets(text)):
-        i = (k << BUCKET_BITS) + b
-        n = max(int(seen[i]) - 1, 0)
-        e = min(max(int(stop[i]) - own_stop, 0), n)
+        n, e = counters[(k << BUCKET_BITS) + b]
+        n = max(n - 1, 0)
+        e = min(max(e - own_stop, 0), n)
         p = (e + PRIOR * p) / (n + PRIOR)
         if long_line and ORDERS[k] == SAFE_ORDER:
             least = p
@@ -201,23 +208,17 @@ def detect_truncated(docs: DataFrame, text: str = "text", lang: str = "lang", ke
     columns are not looked at. Texts of any length are trained on whole. The model is of fixed size
     (:data:`BUCKET_BITS`); training sends at most that many counters to the driver, scoring shuffles nothing.
     """
-    clean = F.regexp_replace(F.substring(F.col(text), -2 * TAIL, 2 * TAIL), _DEBRIS, "")
-    tails = docs.filter(F.col(text).isNotNull()).select(
-        F.col(key).alias("key"),
-        language_group(F.col(lang)).alias("lang_group"),
-        F.col(text).rlike(_MARK).alias("marked"),
-        F.substring(clean, -TAIL, TAIL).alias("tail"),
-        (~F.col(text).rlike(_DEBRIS)).alias("own_stop"),
-    )
+    ends = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), language_group(F.col(lang)).alias("lang_group"), F.substring(F.col(text), -2 * TAIL, 2 * TAIL).alias("end"))
+    tails = ends.select("key", "lang_group", F.col("end").rlike(_MARK).alias("marked"), F.substring(F.regexp_replace("end", _DEBRIS, ""), -TAIL, TAIL).alias("tail"), (~F.col("end").rlike(_DEBRIS)).alias("own_stop"))
     tails = materialize(tails, "tails")
-    seen, stop = train(docs.filter(F.col(text).isNotNull()).select(F.col(text)), wanted_contexts(tails.select("tail")))
-    model = docs.sparkSession.sparkContext.broadcast((seen, stop))
+    trained = train(docs.filter(F.col(text).isNotNull()).select(F.col(text)), wanted_contexts(tails.select("tail")))
+    model = docs.sparkSession.sparkContext.broadcast(trained)
     schema = tails.schema
 
     def f(batches):
-        seen, stop = model.value
+        counters = Counters(*model.value)
         for b in batches:
-            lo = [stop_log_odds(t, seen, stop, o) if t.strip() else 0.0 for t, o in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+            lo = [stop_log_odds(t, counters, o) if t.strip() else 0.0 for t, o in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(lo)], names=["key", "lang_group", "marked", "log_odds"])
 
     scored = materialize(tails.mapInArrow(f, f"key {schema['key'].dataType.simpleString()}, lang_group string, marked boolean, log_odds double"), "odds")
