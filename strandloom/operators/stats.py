@@ -64,8 +64,8 @@ def table_differences(a: DataFrame, b: DataFrame, keys: list[str], tolerance: fl
         raise ValueError(f"columns differ: {sorted(a.columns)} and {sorted(b.columns)}")
     rest = [c for c in cols if c not in keys]
     x = a.select(*keys, F.struct(*rest, F.lit(1).alias("__in")).alias("x"))
-    y = b.select(*keys, F.struct(*rest, F.lit(1).alias("__in")).alias("y"))
-    on = [x[k].eqNullSafe(y[k]) for k in keys]
+    y = b.select(*[F.col(k).alias(f"__{k}") for k in keys], F.struct(*rest, F.lit(1).alias("__in")).alias("y"))
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     kinds = dict(a.dtypes)
     bad = []
     for c in rest:
@@ -77,7 +77,7 @@ def table_differences(a: DataFrame, b: DataFrame, keys: list[str], tolerance: fl
     alone = F.col("x").isNull() | F.col("y").isNull()
     j = x.join(y, on, "full")
     every = F.array(*[F.lit(c) for c in rest])
-    return j.select(*[F.coalesce(x[k], y[k]).alias(k) for k in keys], F.when(alone, every).otherwise(F.array_compact(F.array(*bad)) if bad else F.array().cast("array<string>")).alias("differing"), alone.alias("__alone")).filter("__alone or size(differing) > 0").drop("__alone")
+    return j.select(*[F.coalesce(k, f"__{k}").alias(k) for k in keys], F.when(alone, every).otherwise(F.array_compact(F.array(*bad)) if bad else F.array().cast("array<string>")).alias("differing"), alone.alias("__alone")).filter("__alone or size(differing) > 0").drop("__alone")
 
 
 # What plots are drawn from.

@@ -300,8 +300,8 @@ def gene_counts(spark, d):
 
 
 # Metagene profiles.
-_WIN = f"""{_TX}, cb AS (SELECT tx_id, gene_id, chrom, strand, n, max(CASE WHEN strand = '-' THEN CASE WHEN cds_end - 1 >= seg_start AND cds_end - 1 < seg_end THEN n - 1 - (off + cds_end - 1 - seg_start) END ELSE CASE WHEN cds_start >= seg_start AND cds_start < seg_end THEN off + cds_start - seg_start END END) AS at FROM x GROUP BY tx_id, gene_id, chrom, strand, n),
-ix AS (SELECT *, unnest(range(-50, 50)) AS i FROM cb), po AS (SELECT ix.tx_id, ix.gene_id, ix.chrom, ix.strand, i, x.seg_start + (CASE WHEN ix.strand = '-' THEN ix.n - 1 - at - i ELSE at + i END) - off AS pos FROM ix JOIN x ON x.tx_id = ix.tx_id AND (CASE WHEN ix.strand = '-' THEN ix.n - 1 - at - i ELSE at + i END) >= off AND (CASE WHEN ix.strand = '-' THEN ix.n - 1 - at - i ELSE at + i END) < off + seg_end - seg_start),
+_WIN = f"""{_TX}, cb AS (SELECT tx_id, gene_id, chrom, strand, n, max(CASE WHEN strand = '-' THEN CASE WHEN cds_end - 1 >= seg_start AND cds_end - 1 < seg_end THEN n - 1 - (off + cds_end - 1 - seg_start) END ELSE CASE WHEN cds_start >= seg_start AND cds_start < seg_end THEN off + cds_start - seg_start END END) AS lm FROM x GROUP BY tx_id, gene_id, chrom, strand, n),
+ix AS (SELECT *, unnest(range(-50, 50)) AS i FROM cb), po AS (SELECT ix.tx_id, ix.gene_id, ix.chrom, ix.strand, i, x.seg_start + (CASE WHEN ix.strand = '-' THEN ix.n - 1 - lm - i ELSE lm + i END) - off AS pos FROM ix JOIN x ON x.tx_id = ix.tx_id AND (CASE WHEN ix.strand = '-' THEN ix.n - 1 - lm - i ELSE lm + i END) >= off AND (CASE WHEN ix.strand = '-' THEN ix.n - 1 - lm - i ELSE lm + i END) < off + seg_end - seg_start),
 wi AS (SELECT gene_id, chrom, strand, i AS x, CAST(min(pos) AS BIGINT) AS pos FROM po GROUP BY gene_id, chrom, strand, i HAVING count(*) = 2 AND min(pos) = max(pos))"""
 
 
