@@ -12,7 +12,7 @@ from strandloom.operators.skew import salted_join
 from strandloom.session import discard, materialize
 
 #: Edges one union-find holds at a time; bounds a task's memory.
-PARTITION_EDGES = 1_000_000
+PARTITION_EDGES = 400_000
 
 
 def spanning_forest(pairs: Iterator[tuple[str, str]]) -> list[tuple[str, str]]:
@@ -61,8 +61,8 @@ def connected_components(pairs: DataFrame, a: str, b: str, partition_edges: int
 
     Every partition of edges is reduced to a spanning forest by union-find, ``partition_edges`` at a time. Forests
     merge level by level: a node with several roots points to the smallest, and only the links between its
-    roots go on to the next level, in partitions of bounded size. At least every node that is no root leaves the
-    graph, so levels shrink until one partition holds the rest. Pointers are then resolved from the last
+    roots, and its own if it is a root elsewhere, go on to the next level, in partitions of bounded size. Every node
+    that is no root leaves the graph, so levels shrink until one partition holds the rest. Pointers are then resolved from the last
     level back to the first. A node has at most as many roots as there are partitions, so no key of a
     level is hot; frequent roots are salted where pointers are resolved.
     """
@@ -78,7 +78,9 @@ def connected_components(pairs: DataFrame, a: str, b: str, partition_edges: int
             break
         per_node = materialize(forest.groupBy("node").agg(F.min("root").alias("to"), F.collect_set("root").alias("roots")), "level")
         levels.append(per_node.select("node", F.col("to").alias("root")))
-        links = per_node.select(F.explode(F.expr("filter(roots, r -> r <> to)")).alias("node"), F.col("to").alias("root")).distinct()
+        links = per_node.select(F.explode(F.expr("filter(roots, r -> r <> to)")).alias("node"), F.col("to").alias("root"))
+        also = per_node.join(forest.select(F.col("root").alias("node")).distinct(), "node", "left_semi").select("node", F.col("to").alias("root"))
+        links = links.unionByName(also).distinct()
         nxt = links.repartition(max(1, -(-n // partition_edges)), "node", "root")
         nxt = materialize(nxt.mapInArrow(lambda it: _forests(it, partition_edges), schema), "forest")
         discard(forest)

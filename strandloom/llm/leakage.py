@@ -13,6 +13,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from strandloom.session import materialize
 
@@ -161,6 +162,7 @@ def find_leaks(index: DataFrame, items: DataFrame, key: str = "item_id", passage
     """
     kind = items.schema[key].dataType.simpleString()
     id_kind = index.schema["doc_ids"].dataType.elementType.simpleString()
+    q_type, d_type = to_arrow_type(items.schema[key].dataType), to_arrow_type(index.schema["doc_ids"].dataType.elementType)
     spark = index.sparkSession
     out, block, size = None, [], 0
 
@@ -173,7 +175,7 @@ def find_leaks(index: DataFrame, items: DataFrame, key: str = "item_id", passage
                     rows = list(_search(s, held.value, run))
                     if rows:
                         q, doc, longest, matched = zip(*rows)
-                        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(doc), pa.array(longest, pa.int32()), pa.array(matched, pa.int32())], names=["q", "d", "longest_run", "matched_words"])
+                        yield pa.RecordBatch.from_arrays([pa.array(q, q_type), pa.array(doc, d_type), pa.array(longest, pa.int32()), pa.array(matched, pa.int32())], names=["q", "d", "longest_run", "matched_words"])
 
         return index.mapInArrow(f, f"q {kind}, d {id_kind}, longest_run int, matched_words int")
 
