@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.tables import once
+
 #: Columns of a flattened axt record, in order.
 AXT_FIELDS = ("aln_no", "tName", "tStart", "tEnd", "qName", "qStart", "qEnd", "qStrand", "score", "symCount", "tSym", "qSym")
 
@@ -14,9 +16,10 @@ _WELL_QUOTED = rf"\A{_FIELD}(?:\t{_FIELD})*+\z"
 
 
 def split_quoted(line: Column) -> Column:
-    """The tab-separated fields of a well quoted line, quotes undone."""
+    """The tab-separated fields of a well quoted line, quotes undone. Lines without a quote are merely split."""
     raw = F.regexp_extract_all(F.concat(F.lit("\t"), line), F.lit(rf"\t({_FIELD})"), F.lit(1))
-    return F.transform(raw, lambda f: F.when(f.startswith('"'), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
+    undone = F.transform(raw, lambda f: F.when(f.startswith('"'), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
+    return F.when(line.contains('"'), undone).otherwise(F.split(line, "\t", -1))
 
 
 def _digits(c: Column) -> Column:
@@ -42,8 +45,8 @@ def parse_axt_lines(lines: DataFrame, line: str = "raw_line") -> DataFrame:
     keep = [c for c in lines.columns if c not in ("fields", "errors", "fail_reason")]
     text = F.regexp_replace(F.col(line), r"\r\z", "")
     df = lines.select(*[F.col(f"`{c}`") for c in keep], text.alias("__l")).filter(F.col("__l").rlike(r"\S") & ~F.col("__l").startswith("#"))
-    df = df.withColumn("__q", F.col("__l").rlike(_WELL_QUOTED))
-    df = df.withColumn("__f", F.when(F.col("__q"), split_quoted(F.col("__l"))))
+    df = df.withColumn("__q", ~F.col("__l").contains('"') | F.col("__l").rlike(_WELL_QUOTED))
+    df = once(df, "__f", F.when(F.col("__q"), split_quoted(F.col("__l"))))
     df = df.withColumn("__n", F.size("__f"))
     g = {n: F.get(F.col("__f"), F.lit(i)) for i, n in enumerate(AXT_FIELDS)}
     num = {n: _number(g[n]) for n in ("tStart", "tEnd", "qStart", "qEnd", "symCount")}
@@ -71,7 +74,7 @@ def parse_axt_lines(lines: DataFrame, line: str = "raw_line") -> DataFrame:
         ]
     )
     return (
-        df.withColumn("errors", errors)
+        once(df, "errors", errors)
         .withColumn("fail_reason", F.when(~F.col("__q"), "quoting").when(F.col("__n") != len(AXT_FIELDS), "columns").when(F.size("errors") > 0, "value"))
         .withColumn("fields", F.when(F.size("errors") == 0, typed))
         .drop("__l", "__q", "__f", "__n")

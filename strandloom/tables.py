@@ -38,3 +38,12 @@ def clean_id(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     x = percent_decoded(F.regexp_replace(c, r'^[\s"]+|[\s"]+$', ""))
     return F.when(~F.lower(F.trim(x)).isin(*PLACEHOLDERS), x)
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is evaluated once per row.
+
+    It passes a generator of one row, through which the optimizer pushes no filter: a filter on something derived from the
+    column would else be pushed below it with the whole expression copied in for each reference.
+    """
+    return df.withColumn(name, F.explode_outer(F.array(value)))
