@@ -46,7 +46,7 @@ def counts_in_region(counts: DataFrame, segs: DataFrame, key: str, masks: DataFr
     got = position_join(sites, segs.select(key, "chrom", "strand", "start", "end")).groupBy(F.col(f"{key}_r").alias(key)).agg(F.sum("value").alias("counts"))
     c = F.coalesce(F.col("counts"), F.lit(0)).cast("double")
     per = F.coalesce(F.try_divide(c, F.col("length")), F.lit(float("nan")))
-    return region_lengths(segs, key, masks).join(got, key, "left").select(key, c.alias("counts"), per.alias("counts_per_nucleotide"), (per * 1000.0 * F.try_divide(F.lit(1e6), t)).alias("rpkm"), "length")
+    return region_lengths(segs, key, masks).join(got, key, "left").select(key, c.alias("counts"), per.alias("counts_per_nucleotide"), F.try_divide(per * 1000.0 * 1e6, t).alias("rpkm"), "length")
 
 
 def region_sites(counts: DataFrame, chains: DataFrame, key: str) -> DataFrame:

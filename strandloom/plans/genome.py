@@ -313,9 +313,9 @@ def metagene_windows(spark, d):
 _VALUES = "va AS (SELECT gene_id, x, coalesce(value, 0) AS value FROM wi LEFT JOIN c USING (chrom, strand, pos)), de AS (SELECT gene_id, sum(value) AS dd, count(*) AS dn FROM va WHERE x >= -30 AND x < 20 GROUP BY gene_id HAVING sum(value) >= 1)"
 
 
-@genome.add("metagene_profile", ctes("seg", "reads") + f", {_SITES}, {_WIN}, {_VALUES} SELECT x, quantile_cont(value / (dd / dn), 0.5) AS metagene_average, count(*) AS regions_counted FROM va JOIN de USING (gene_id) GROUP BY x")
+@genome.add("metagene_profile", ctes("seg", "reads") + f", {_SITES}, {_WIN}, {_VALUES} SELECT x, round(quantile_cont(value / (dd / dn), 0.5), 9) AS metagene_average, count(*) AS regions_counted FROM va JOIN de USING (gene_id) GROUP BY x")
 def metagene_profile(spark, d):
-    return MG.profile(MG.window_values(MG.landmark_windows(transcripts(spark, d), "gene_id"), sites(spark, d), "gene_id"), "gene_id", min_counts=1)
+    return MG.profile(MG.window_values(MG.landmark_windows(transcripts(spark, d), "gene_id"), sites(spark, d), "gene_id"), "gene_id", min_counts=1).withColumn("metagene_average", F.round("metagene_average", 9))
 
 
 @genome.add("metagene_rois", ctes("seg") + f", {_WIN} SELECT gene_id AS region_id, CAST(min(x) + 50 AS BIGINT) AS alignment_offset, 50 AS zero_point, 100 AS window_size, count(*) AS region_length, CAST(49 - max(x) AS BIGINT) AS threeprime_offset FROM wi GROUP BY gene_id")
