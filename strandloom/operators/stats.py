@@ -93,7 +93,7 @@ def clean_invalid(df: DataFrame, x: str, y: str, lo: float | None = None, hi: fl
 
 
 def ma_values(pairs: DataFrame) -> DataFrame:
-    return pairs.filter("a > 0 and b > 0").withColumn("mean", (F.col("a") + F.col("b")) / 2).withColumn("log2_ratio", F.log2(F.col("b") / F.col("a")))
+    return pairs.filter("a > 0 and b > 0 and not isnan(a) and not isnan(b)").withColumn("mean", (F.col("a") + F.col("b")) / 2).withColumn("log2_ratio", F.log2(F.col("b") / F.col("a")))
 
 
 def phase_fractions(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -264,6 +264,21 @@ def merged_segments(spark, d):
     return g.select("gene_id", F.explode("s").alias("s")).select("gene_id", F.col("s.start").alias("seg_start"), F.col("s.end").alias("seg_end"))
 
 
+@genome.add("stop_codons", ctes("seg") + " SELECT tx_id, CAST(CASE WHEN min(strand) = '-' THEN min(cds_start) - 3 ELSE min(cds_start) END AS BIGINT) AS cds_genome_start, CAST(CASE WHEN min(strand) = '-' THEN min(cds_end) ELSE min(cds_end) + 3 END AS BIGINT) AS cds_genome_end FROM seg GROUP BY tx_id")
+def stop_codons(spark, d):
+    """Coding bounds with the stop codon; here it never meets an intron."""
+    x = transcripts(spark, d).select("tx_id", C.add_three_for_stop("segments", "strand", "cds_genome_start", "cds_genome_end").alias("x"))
+    return x.select("tx_id", "x.cds_genome_start", "x.cds_genome_end")
+
+
+@genome.add("masked_lengths", ctes("seg", "masks") + ", p AS (SELECT DISTINCT tx_id, s.chrom, s.strand, unnest(range(seg_start, seg_end)) AS pos FROM seg s) SELECT tx_id, count(*) FILTER (NOT EXISTS (SELECT 1 FROM masks m WHERE m.chrom = p.chrom AND m.strand = p.strand AND p.pos >= m.start AND p.pos < m.end_)) AS masked_length FROM p GROUP BY tx_id")
+def masked_lengths(spark, d):
+    """Length of each chain without its masks, by the row-local functions."""
+    near = O.overlap_join(exons(spark, d), masks(spark, d).select("chrom", "strand", "start", "end")).groupBy("tx_id").agg(F.collect_set(C.segment("start_r", "end_r")).alias("m"))
+    t = transcripts(spark, d).join(near, "tx_id", "left").withColumn("masks", C.add_masks("segments", C.no_segments(), F.coalesce("m", C.no_segments())))
+    return t.select("tx_id", C.masked_length("segments", "masks").alias("masked_length"))
+
+
 # Genes.
 _MERGE = "e AS (SELECT DISTINCT a.gene_id AS a, b.gene_id AS b FROM seg a JOIN seg b ON a.chrom = b.chrom AND a.strand = b.strand AND a.seg_start = b.seg_start AND a.seg_end = b.seg_end), r AS (SELECT a AS n, a AS top FROM e UNION SELECT e.b, r.top FROM r JOIN e ON e.a = r.n), k AS (SELECT n AS gene_id, min(top) AS top FROM r GROUP BY n), mg AS (SELECT gene_id, string_agg(gene_id, ',') OVER (PARTITION BY top ORDER BY gene_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS merged_gene FROM k)"
 
@@ -366,6 +381,26 @@ def chain_sequences(spark, d):
     return S.segment_sequences(view(spark, d, "genome"), exons(spark, d), TILE, "tx_id").select("tx_id", F.md5("seq").alias("digest"))
 
 
+@genome.add("junction_slides", ctes("genome", "seg") + f""", z AS (SELECT DISTINCT chrom, strand, seg_end AS l, ns AS r FROM (SELECT *, lead(seg_start) OVER (PARTITION BY tx_id ORDER BY seg_start) AS ns FROM seg) y WHERE ns IS NOT NULL),
+b AS (SELECT chrom, tile_no * {TILE} + i AS pos, substr(seq, i + 1, 1) AS b FROM (SELECT *, unnest(range({TILE})) AS i FROM genome) g),
+k AS (SELECT chrom, strand, l, r, d FROM z CROSS JOIN (SELECT unnest(range(10)) AS d) q),
+p AS (SELECT k.*, coalesce(x.b = y.b, FALSE) AS up FROM k LEFT JOIN b x ON x.chrom = k.chrom AND x.pos = l + d LEFT JOIN b y ON y.chrom = k.chrom AND y.pos = r + d),
+m AS (SELECT k.*, coalesce(x.b = y.b, FALSE) AS dn FROM k LEFT JOIN b x ON x.chrom = k.chrom AND x.pos = l - 1 - d LEFT JOIN b y ON y.chrom = k.chrom AND y.pos = r - 1 - d)
+SELECT chrom, strand, l AS "left", r AS "right", CAST(-(SELECT coalesce(min(m.d), 10) FROM m WHERE m.chrom = z.chrom AND m.strand = z.strand AND m.l = z.l AND m.r = z.r AND NOT dn) AS INTEGER) AS minus, CAST((SELECT coalesce(min(p.d), 10) FROM p WHERE p.chrom = z.chrom AND p.strand = z.strand AND p.l = z.l AND p.r = z.r AND NOT up) AS INTEGER) AS plus FROM z""")
+def junction_slides(spark, d):
+    """How far each junction slides without a change of sequence."""
+    j = J.find_junctions(transcripts(spark, d), "tx_id").withColumn("key", F.struct("chrom", "left", "right", "strand"))
+    around = j.select("key", "chrom", F.lit("+").alias("strand"), F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("at")), F.struct(F.lit("r").alias("side"), F.col("right").alias("at")))).alias("x"))
+    ends = around.select(F.struct("key", "x.side").alias("k"), "chrom", "strand", (F.col("x.at") - 10).alias("start"), (F.col("x.at") + 10).alias("end"))
+    seqs = S.segment_sequences(view(spark, d, "genome"), ends, TILE, "k").select("k.key", "k.side", "seq")
+    two = seqs.groupBy("key").agg(F.max(F.when(F.col("side") == "l", F.col("seq"))).alias("l"), F.max(F.when(F.col("side") == "r", F.col("seq"))).alias("r"))
+    half = lambda c, first: F.substring(c, 1, 10) if first else F.substring(c, 11, 10)
+    # Unknown nucleotides match nothing: on one side they are read as another letter.
+    x = F.translate(F.col("r"), "N", "n")
+    span = J.match_range(half(F.col("l"), True), half(F.col("l"), False), half(x, True), half(x, False), 10)
+    return two.select("key.*", span.alias("s")).select("chrom", "strand", "left", "right", "s.minus", "s.plus")
+
+
 # Statistics between samples: return flags of the line items stand for libraries.
 _SAMPLES = "sc AS (SELECT l_returnflag AS sample, concat('g', CAST(CAST((l_partkey - l_partkey % 2) / 2 AS BIGINT) AS VARCHAR)) AS region, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2), pr AS (SELECT x.sample AS sample_a, y.sample AS sample_b, x.region, x.v AS a, y.v AS b FROM sc x JOIN sc y ON x.region = y.region AND x.sample < y.sample)"
 

@@ -103,7 +103,21 @@ def _packed(spark, d):
     return parents.select(F.lit("gff3").alias("record_kind"), "record_id", *cols).unionByName(arrays.select(F.lit("autosql").alias("record_kind"), F.col("rec_id").alias("record_id"), *cols))
 
 
-@core.add("p4_found")
+_PACKED = r"""
+WITH p AS (SELECT DISTINCT record_id, trim(parent, E' \t') AS p FROM gff3 WHERE trim(parent, E' \t') NOT IN ('', '.')),
+pb AS (SELECT record_id, regexp_replace(CASE WHEN starts_with(p, '[') THEN trim(p[2:-2]) ELSE p END, '(\s*[,;|]\s*|\s+)+$', '') AS b FROM p),
+pl AS (SELECT 'gff3' AS k, record_id AS id, list_transform(regexp_extract_all(',' || b, '(?:\s*[^A-Za-z0-9:._%"\s-]\s*|\s+)("(?:[^"]|"")*"|[A-Za-z0-9:._%-]*)', 1), lambda x: url_decode(trim(CASE WHEN starts_with(x, '"') THEN x[2:-2] ELSE x END))) AS l FROM pb),
+a AS (SELECT DISTINCT rec_id, trim(float_array, E' \t') AS p, a_field_size AS n FROM autosql_records WHERE trim(float_array, E' \t') <> ''),
+ab AS (SELECT rec_id, n, regexp_replace(CASE WHEN regexp_matches(p, '^[\[({]') THEN trim(p[2:-2]) ELSE p END, '[,;|\s]+$', '') AS b FROM a),
+ac AS (SELECT rec_id, n, b, i, list_transform(CASE i WHEN 0 THEN [b] ELSE regexp_split_to_array(b, ['', ',', ';', '\|', '\t', '\s+', ',\s', '[,;|\t]', '\s*[,;|]\s*|\s+'][i + 1]) END, lambda x: trim(x)) AS l FROM ab, range(9) t(i) WHERE NOT contains(b, '"')),
+ad AS (SELECT rec_id, i, l FROM ac WHERE CASE WHEN n IS NULL THEN i = 8 ELSE len(l) = n AND len(list_filter(l, lambda x: NOT regexp_full_match(x, '(?i)([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)(e[+-]?[0-9]+)?|[+-]?(nan|inf(inity)?)|[+-]?[0-9]+,[0-9]+|[+-]?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?|)'))) = 0 END),
+al AS (SELECT 'autosql' AS k, rec_id AS id, arg_min(l, i) AS l FROM ad GROUP BY rec_id UNION ALL SELECT 'autosql', rec_id, regexp_extract_all(b, '"([^"]*)"', 1) FROM ab WHERE contains(b, '"')),
+u AS (SELECT * FROM pl UNION ALL SELECT * FROM al),
+v AS (SELECT k, id, unnest(l) AS t, generate_subscripts(l, 1) AS i, len(list_filter(l, lambda x: x <> '')) AS m FROM u)
+SELECT k AS record_kind, id AS record_id, CAST(i AS INTEGER) AS item_pos, t AS item_text FROM v WHERE t <> '' AND m >= 2"""
+
+
+@core.add("p4_found", _PACKED)
 def p4_found(spark, d):
     return _packed(spark, d).filter("n_values >= 2").select("record_kind", "record_id", "item_pos", "item_text")
 

@@ -310,8 +310,7 @@ def cast_autosql(values: Column, columns: list[tuple[str, str, str]]) -> list[Co
     for i, (n, t, _) in enumerate(columns):
         v = F.get(values, F.lit(i))
         if t.startswith("array<"):
-            inner = t[6:-1]
-            v = F.transform(F.filter(F.split(v, ","), lambda x: x != ""), lambda x, inner=inner: F.trim(x).try_cast(inner))
+            v = F.transform(F.filter(F.split(v, ","), lambda x: x != ""), lambda x: F.trim(x).try_cast(t[6:-1]))  # noqa: B023
             v = F.array_distinct(v) if t == "array<string>" else v
         else:
             v = v.try_cast(t)
