@@ -26,18 +26,21 @@ RUN = 13
 
 _WORD = re.compile(r"[^\W_]+")
 _BROKEN = re.compile(r"(?<=[^\W_])[-‐‑­¬][^\S\n]*\r?\n\s*(?=[^\W_])")
-_INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿]")
+_INVISIBLE = re.compile("[͏؜᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿]")
 
 
 def words(text: str) -> list[str]:
     """Runs of letters and digits, in lower case; character references, ligatures, invisible characters and words broken over lines undone."""
     if "&" in text:
         text = html.unescape(text)
+    plain = text.isascii()
+    if not plain:
+        text = _INVISIBLE.sub("", text)
     if "\n" in text:
         text = _BROKEN.sub("", text)
-    if text.isascii():
+    if plain:
         return _WORD.findall(text.lower())
-    text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
+    text = unicodedata.normalize("NFKC", text.replace("\u00ad", ""))
     return _WORD.findall(text.casefold())
 
 

@@ -19,6 +19,7 @@ def brute(items, docs, run):
 
 def test_words():
     assert words("The ﬁrst&amp;second  co-\noperate, zero​width Fähre") == ["the", "first", "second", "cooperate", "zerowidth", "fähre"]
+    assert words("co-\u200b\noperate \u00adsoft\u00ad\nly &#97;nd&shy;roid") == ["cooperate", "softly", "android"]
 
 
 def test_against_brute_force(spark):
