@@ -162,7 +162,7 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, with_path: bool = False, every
     the reduced graph of splitters is solved by doubling, and the pieces are joined to exact paths.
     """
     nodes = materialize(nodes.filter("node is not null").select("node").distinct(), "nodes")
-    e = edges.filter("child is not null and parent is not null").select("child", "parent").distinct()
+    e = materialize(edges.filter("child is not null and parent is not null").select("child", "parent").distinct(), "given")
     e = salted_join(e, nodes.withColumnRenamed("node", "parent"), "parent", "left_semi")
     e = materialize(e.join(nodes.withColumnRenamed("node", "child"), "child", "left_semi").select("child", "parent"), "edges")
     cyc = cycle_nodes(e, every)
