@@ -47,6 +47,20 @@ def assemble_transcripts(features: DataFrame, key: str = "transcript_id", gene:
     return g.filter("reason is null").drop("reason"), g.filter("reason is not null").select(key, "reason")
 
 
+def assemble_gff3(features: DataFrame, transcript_types: tuple[str, ...] = TRANSCRIPT_TYPES, exon_types: tuple[str, ...] = ("exon",), cds_types: tuple[str, ...] = ("CDS",)) -> tuple[DataFrame, DataFrame]:
+    """(transcripts, rejects) from GFF3 features (chrom, strand, feature_type, start, end, ID, parents).
+
+    A child with several parents belongs to each; an exon or CDS without parents forms a transcript of its own ID. Transcripts without
+    such children do not come out; the gene is the transcript feature's parent. Coding rows count as exons where exons are missing.
+    """
+    parts = features.filter(F.col("feature_type").isin(*exon_types, *cds_types))
+    owners = F.when(F.size("parents") > 0, F.col("parents")).otherwise(F.array("ID"))
+    rows = parts.withColumn("transcript_id", F.explode_outer(owners)).withColumn("gene_id", F.lit(None).cast("string")).withColumn("feature_type", F.when(F.col("feature_type").isin(*cds_types), "CDS").otherwise("exon"))
+    ok, bad = assemble_transcripts(rows.select("transcript_id", "gene_id", "chrom", "strand", "feature_type", "start", "end"))
+    genes = features.filter(F.col("feature_type").isin(*transcript_types) & F.col("ID").isNotNull()).groupBy(F.col("ID").alias("transcript_id")).agg(F.min(F.array_join(F.array_sort("parents"), ",")).alias("gene_id"))
+    return ok.drop("gene_id").join(genes, "transcript_id", "left"), bad
+
+
 def parent_types(features: DataFrame, exclude: list[str] | None = None) -> DataFrame:
     """(feature_type, parent_type, n) of rows id, parents (array), feature_type: the type of the parent, else ``parent unspecified``, ``parent not in database`` or ``multiple parents``."""
     f = features if not exclude else features.filter(~F.col("feature_type").isin(*exclude))

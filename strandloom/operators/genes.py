@@ -30,6 +30,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         mark = now
 
 
+def merge_sets(sets: DataFrame, key: str, items: str) -> DataFrame:
+    """(root, items): sets that share an item, directly or through others, united. ``key`` names the sets, ``items`` is an array."""
+    flat = sets.select(F.concat(F.lit("s"), F.col(key).cast("string")).alias("s"), F.explode(items).alias("i"))
+    edges = flat.select("s", F.concat(F.lit("i"), F.col("i").cast("string")).alias("t"))
+    root = components(edges, "s", "t")
+    return flat.join(root, flat.s == root.node, "left").groupBy(F.coalesce("root", "s").alias("root")).agg(F.array_sort(F.collect_set("i")).alias(items))
+
+
 def merge_genes(exons: DataFrame) -> DataFrame:
     """(gene_id, merged_gene): genes that share an identical exon, directly or through others, get the sorted list of their names. ``exons``: gene_id, chrom, strand, start, end."""
     one = exons.groupBy("chrom", "strand", "start", "end").agg(F.min("gene_id").alias("a"))

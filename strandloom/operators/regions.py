@@ -65,3 +65,9 @@ def count_vectors(counts: DataFrame, chains: DataFrame, key: str) -> DataFrame:
     filled = F.flatten(F.transform("v", lambda x, i: F.concat(zeros(x["off"] - before(i) - 1), F.array(x["value"]))))
     tail = F.col("n") - 1 - F.element_at("v", -1)["off"]
     return chains.select(key, C.length("segments").alias("n")).join(got, key, "left").select(key, F.when(F.col("v").isNull(), zeros(F.col("n"))).otherwise(F.concat(filled, zeros(tail))).alias("vector"))
+
+
+def reads_in_regions(mapped: DataFrame, segs: DataFrame, key: str) -> DataFrame:
+    """Mapped reads whose position lies in a region, with the region's key; a read that lies in several comes out for each."""
+    hit = position_join(mapped, segs.select(key, "chrom", "strand", "start", "end"))
+    return hit.select(*mapped.columns, F.col(f"{key}_r").alias(key)).distinct() if "read_id" in mapped.columns else hit.select(*mapped.columns, F.col(f"{key}_r").alias(key))
