@@ -104,13 +104,16 @@ def wanted_contexts(tails: DataFrame) -> np.ndarray:
 
 
 class Counters:
-    """Occurrences and stops by context, from parallel arrays."""
+    """Occurrences and stops by context, from parallel arrays in order of the contexts: 20 bytes each, whatever a worker looks up."""
 
     def __init__(self, keys: np.ndarray, seen: np.ndarray, stop: np.ndarray) -> None:
-        self.at = dict(zip(keys.tolist(), zip(seen.tolist(), stop.tolist())))
+        self.keys, self.seen, self.stop = keys, seen, stop
 
     def __getitem__(self, key: int) -> tuple[int, int]:
-        return self.at.get(key, (0, 0))
+        i = int(self.keys.searchsorted(key))
+        if i < len(self.keys) and self.keys[i] == key:
+            return int(self.seen[i]), int(self.stop[i])
+        return 0, 0
 
 
 def train(texts: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,7 +142,9 @@ def train(texts: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at].astype(np.int64)), pa.array(s[at].astype(np.int64))], names=["k", "n", "s"])
 
     t = texts.mapInArrow(f, "k long, n long, s long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).toArrow()
-    return t.column("k").to_numpy().astype(np.int32), t.column("n").to_numpy(), t.column("s").to_numpy()
+    keys = t.column("k").to_numpy().astype(np.int32)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], t.column("n").to_numpy()[order], t.column("s").to_numpy()[order]
 
 
 def stop_log_odds(text: str, counters: Counters, own_stop: bool = True) -> float:
