@@ -23,8 +23,10 @@ def landmark_windows(transcripts: DataFrame, group: str, landmark: str = "cds_st
     t = t.withColumn("ref", C.genomic_coordinate("segments", "strand", "at"))
     per = t.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count("ref").alias("coding"), F.min("ref").alias("lo"), F.max("ref").alias("hi"), F.min("chrom").alias("c0"), F.max("chrom").alias("c1"), F.min("strand").alias("s0"), F.max("strand").alias("s1"))
     per = per.filter("n = coding and lo = hi and c0 = c1 and s0 = s1").select(group, "n")
-    x = t.join(per, group).select(group, "chrom", "strand", "segments", "at", "n", F.explode(F.sequence(F.lit(-upstream).cast("bigint"), F.lit(downstream - 1).cast("bigint"))).alias("x"))
-    at = x.withColumn("pos", C.genomic_coordinate("segments", "strand", F.col("at") + F.col("x"))).filter("pos is not null")
+    # One window per transcript, laid out from its 5' end; no coordinate is looked up per position.
+    w = t.join(per, group).select(group, "chrom", "strand", "n", C.window_landmark("segments", "strand", "at", upstream, downstream).alias("w"))
+    laid = w.withColumn("p", C.positions("w.segments")).select(group, "chrom", "strand", "n", F.col("w.offset").alias("o"), F.posexplode_outer(F.when(F.col("strand") == "-", F.reverse("p")).otherwise(F.col("p"))).alias("i", "pos"))
+    at = laid.filter("pos is not null").withColumn("x", F.col("o") + F.col("i") - upstream)
     agreed = at.groupBy(group, "chrom", "strand", "x").agg(F.count(F.lit(1)).alias("seen"), F.min("pos").alias("pos"), F.max("pos").alias("top"), F.max("n").alias("n"))
     return agreed.filter("seen = n and pos = top").select(group, "chrom", "strand", "x", "pos")
 
