@@ -10,21 +10,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.operators.skew import salted_join
 from strandloom.session import materialize
 
 #: Context lengths of the model, in characters from the end backwards; each is the double of the one before.
 ORDERS = (1, 2, 4, 8, 16, 32)
-#: log2 of the number of counters per order. The model's size is fixed by this, whatever the corpus.
-BUCKET_BITS = 20
+#: log2 of the bits a wanted context has in the filter of training, and of the largest filter (128 MB). The filter only saves work.
+FILTER_BITS_EACH, FILTER_BITS_MOST = 4, 30
 #: Characters of a text's end that scoring looks at: the longest context and room for collapsed digits.
 TAIL = 96
 #: Weight of the shorter context's estimate, in observations.
 PRIOR = 20.0
-#: Characters hashed at a time; bounds a task's memory for texts of any length.
-BLOCK = 1 << 21
+#: Characters hashed at a time, few enough for a core's cache, and counted at a time; they bound a task's memory for texts of any length.
+BLOCK, COUNTED = 1 << 16, 1 << 21
 #: Contexts up to this length are common enough to be known from other texts than copies.
 SAFE_ORDER = 8
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+_STEP = 0xD6E8FEB86659FD93
 #: What a cut leaves behind it: ellipses, a torn tag, character reference, bracketed note or character.
 _DEBRIS = r"(?:\s|…|\.\.\.|�|<[^>\s]{0,12}|&#?\w{0,8}|\[\w{0,12}…?\]?)+\z"
 _MARK = r"(?:…|\.\.\.|�|<[^>\s]{0,12}|&#?\w{0,8}|\[(?:trunc\w{0,8}|more|cut)?…?\]?)\s*\z"
@@ -42,128 +44,136 @@ def _codes(text: str) -> np.ndarray:
     return a[~same]
 
 
-def _contexts(codes: np.ndarray) -> list[np.ndarray]:
-    """For each order, the bucket of the context that ends at each place.
+def _contexts(codes: np.ndarray) -> Iterator[np.ndarray]:
+    """For each order, the 64-bit hash of the context that ends at each place.
 
     A context does not reach back over the start of its line, so that a closing line is a context of its own.
     """
-    at = np.arange(len(codes))
-    in_line = at - np.maximum.accumulate(np.where(codes == 10, at, 0)[np.maximum(at - 1, 0)])
+    at = np.arange(len(codes), dtype=np.int32)
+    start = np.maximum.accumulate(np.where(codes == 10, at, np.int32(0)))
+    in_line = at
+    in_line[1:] -= start[:-1]
     in_line[codes == 10] = 0
-    h = codes.astype(np.uint64) + np.uint64(1)
-    out, width, power = [], 1, 0x100000001B3
+    h = (codes.astype(np.uint64) + np.uint64(1)) * _MUL
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    width, power = 1, _STEP
     for n in ORDERS:
         while width < n:
             if width < len(h):
-                longer = h[width:] + np.where(in_line[width:] >= width, h[:-width], np.uint64(0)) * np.uint64(power)
+                longer = h[width:] + h[:-width] * (in_line[width:] >= width) * np.uint64(power)
                 h = np.concatenate([h[:width], longer])
             power = power * power & 0xFFFFFFFFFFFFFFFF
             width *= 2
         mixed = (h + np.uint64(n)) * _MUL
-        out.append((mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
-    return out
+        yield (mixed ^ (mixed >> np.uint64(32))) * _MUL
 
 
-def _tail_buckets(text: str) -> list[int]:
-    codes = _codes("\n" + text)[-2 * ORDERS[-1] :]
-    return [int(c[-1]) for c in _contexts(codes)] if len(codes) else []
+def _end_contexts(tails: list[str]) -> pa.Array:
+    """Per tail, the hashes of the contexts at its end, one an order; none for a blank tail."""
+    last = [t[t.rfind("\n") + 1 :] if t.strip() else "" for t in tails]
+    some = [x for x in last if x]
+    codes = _codes("".join("\n" + x for x in some) + "\n")
+    ends = np.flatnonzero(codes == 10)[1:] - 1
+    keys = np.stack([c[ends] for c in _contexts(codes)], axis=1).ravel().view(np.int64)
+    offsets = np.concatenate([[0], np.cumsum([len(ORDERS) if x else 0 for x in last])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
-    """Texts of the batches joined by line breaks, in blocks of bounded length; blocks of one long text overlap by the longest context."""
+def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
+    """The texts with a line break before each and one after the last, as one stream in pieces of bounded length."""
     held: list[str] = []
     size = 0
     for b in batches:
         for t in b.column(0).to_pylist():
-            if not t:
-                continue
             for i in range(0, len(t), BLOCK):
-                part = t[max(0, i - ORDERS[-1]) : i + BLOCK]
-                held.append(part)
-                size += len(part)
+                held.append(t[i : i + BLOCK] if i else "\n" + t[:BLOCK])
+                size += len(held[-1])
                 if size >= BLOCK:
-                    yield "\n\x00\n".join(held)
+                    yield "".join(held)
                     held, size = [], 0
-    if held:
-        yield "\n\x00\n".join(held)
-
+    yield "".join(held) + "\n"
 
-def wanted_contexts(tails: DataFrame) -> np.ndarray:
-    """Which contexts some text ends with: flags of fixed size, (orders * buckets)."""
 
-    def f(batches):
-        for b in batches:
-            rows = [r for t in b.column(0).to_pylist() if t and (r := _tail_buckets(t))]
-            if rows:
-                keys = np.unique(np.array(rows, dtype=np.int64) + (np.arange(len(ORDERS), dtype=np.int64) << BUCKET_BITS))
-                yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["k"])
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
+    """(codes, first): places from ``first`` up to the last but one are new; each place of a text is so once, with its whole context and what follows."""
+    codes, last = np.full(1, 10, dtype=np.uint32), "\n"
+    for s in _stream(batches):
+        kept = codes[-ORDERS[-1] - 1 :]
+        codes = np.concatenate([kept, _codes(last + s)[1:]])
+        last = s[-1]
+        yield codes, len(kept) - 1
 
-    out = np.zeros(len(ORDERS) << BUCKET_BITS, dtype=bool)
-    out[tails.mapInArrow(f, "k long").distinct().toArrow().column("k").to_numpy()] = True
-    return out
 
+def wanted_filter(tails: DataFrame) -> np.ndarray:
+    """Bits set for the contexts that some text ends with, in words of 64; a bit may stand for several contexts."""
+    bits = min(max((tails.count() * len(ORDERS)).bit_length() + FILTER_BITS_EACH, 10), FILTER_BITS_MOST)
+    at = tails.select(F.explode("contexts").alias("c")).select(F.shiftrightunsigned("c", 64 - bits).alias("i"))
+    words = at.groupBy(F.shiftright("i", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(i & 63 as int))")).alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 6), dtype=np.int64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return out.view(np.uint64)
 
-class Counters:
-    """Occurrences and stops by context, from parallel arrays in order of the contexts: 20 bytes each, whatever a worker looks up."""
 
-    def __init__(self, keys: np.ndarray, seen: np.ndarray, stop: np.ndarray) -> None:
-        self.keys, self.seen, self.stop = keys, seen, stop
+def train(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(context, n, s): exact occurrences and stops of contexts over every place of every text, wanted ones and the few others that pass the filter.
 
-    def __getitem__(self, key: int) -> tuple[int, int]:
-        i = int(self.keys.searchsorted(key))
-        if i < len(self.keys) and self.keys[i] == key:
-            return int(self.seen[i]), int(self.stop[i])
-        return 0, 0
+    A context stops where a line break or the end of the text follows. Tasks sum up some blocks at a time, partial sums go by context. A
+    context can be wanted only if its shorter ones are, so a place that fails the filter is not looked at in longer orders.
+    """
+    held = texts.sparkSession.sparkContext.broadcast(wanted)
 
+    def f(batches):
+        words = held.value
+        down = np.uint64(64 - (len(words).bit_length() - 1 + 6))
+        size, found = 0, [[] for _ in ORDERS]
+        for codes, first in _blocks(batches):
+            at = np.flatnonzero(codes[first:-1] != 10) + first
+            stops = codes[1:] == 10
+            for c, kept in zip(_contexts(codes), found):
+                c = c[at]
+                i = c >> down
+                ok = (words[(i >> np.uint64(6)).astype(np.int64)] >> (i & np.uint64(63)) & np.uint64(1)).astype(bool)
+                at, c = at[ok], c[ok]
+                kept.append((c, c[stops[at]]))
+            size += len(codes)
+            if size >= COUNTED:
+                yield from sums(found)
+                size, found = 0, [[] for _ in ORDERS]
+        yield from sums(found)
+
+    def sums(found):
+        for kept in found:
+            if not kept:
+                continue
+            keys, n = np.unique(np.concatenate([c for c, _ in kept]), return_counts=True)
+            stopped, m = np.unique(np.concatenate([c for _, c in kept]), return_counts=True)
+            s = np.zeros(len(keys), dtype=np.int64)
+            s[keys.searchsorted(stopped)] = m
+            for j in range(0, len(keys), 50_000):
+                k = slice(j, j + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[k].view(np.int64)), pa.array(n[k].astype(np.int64)), pa.array(s[k])], names=["context", "n", "s"])
 
-def train(texts: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(contexts, occurrences, stops): the wanted contexts' counts over every place of every text.
+    return texts.mapInArrow(f, "context long, n long, s long").groupBy("context").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
 
-    A context stops where a line break or the end of the text follows. Tasks count into arrays of
-    fixed size; of these, the counters that some text's end needs are summed up, so at most orders * buckets
-    rows reach the driver.
-    """
-    flags = texts.sparkSession.sparkContext.broadcast(np.packbits(wanted))
-    size = len(ORDERS) << BUCKET_BITS
 
-    def f(batches):
-        need = np.flatnonzero(np.unpackbits(flags.value)[:size])
-        seen, stop = (np.zeros((len(ORDERS), 1 << BUCKET_BITS), dtype=np.int32) for _ in range(2))
-        for text in _runs(batches):
-            codes = _codes(text)
-            ends = np.flatnonzero(codes[1:] == 10)
-            for k, c in enumerate(_contexts(codes)):
-                seen[k] += np.bincount(c, minlength=1 << BUCKET_BITS).astype(np.int32)
-                np.add.at(stop[k], c[ends], 1)
-        n, s = seen.ravel(), stop.ravel()
-        need = need[n[need] > 0]
-        for i in range(0, len(need), 50_000):
-            at = need[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at].astype(np.int64)), pa.array(s[at].astype(np.int64))], names=["k", "n", "s"])
-
-    t = texts.mapInArrow(f, "k long, n long, s long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).toArrow()
-    keys = t.column("k").to_numpy().astype(np.int32)
-    order = np.argsort(keys, kind="stable")
-    return keys[order], t.column("n").to_numpy()[order], t.column("s").to_numpy()[order]
-
-
-def stop_log_odds(text: str, counters: Counters, own_stop: bool = True) -> float:
-    """log2 of P(stop) / P(continuation) after the last context of text, backed off from long contexts to short ones.
+def stop_log_odds(counts: Column | str, own_stop: Column | str, long_line: Column | str) -> Column:
+    """log2 of P(stop) / P(continuation) after the last context, from its (k, n, s) by order, backed off from long contexts to short ones.
 
     The text's own occurrence is left out. In a line that is longer than the contexts, the estimate up to
     :data:`SAFE_ORDER` bounds that of all: the longest ones may be known only from copies cut at the same place.
     """
-    p, least = 1e-4, 1.0
-    long_line = len(text) - text.rfind("\n") > ORDERS[-1]
-    for k, b in enumerate(_tail_buckets(text)):
-        n, e = counters[(k << BUCKET_BITS) + b]
-        n = max(n - 1, 0)
-        e = min(max(e - own_stop, 0), n)
-        p = (e + PRIOR * p) / (n + PRIOR)
-        if long_line and ORDERS[k] == SAFE_ORDER:
-            least = p
-    p = min(max(min(p, least), 1e-9), 1 - 1e-9)
-    return math.log2(p / (1 - p))
+    own, long_line = F.expr(f"cast({own_stop} as int)"), F.col(long_line)
+
+    def step(a, x):
+        n = F.greatest(F.coalesce(x["n"], F.lit(0)) - 1, F.lit(0))
+        e = F.least(F.greatest(F.coalesce(x["s"], F.lit(0)) - own, F.lit(0)), n)
+        p = (e + PRIOR * a["p"]) / (n + PRIOR)
+        return F.struct(p.alias("p"), F.when(long_line & (x["k"] == ORDERS.index(SAFE_ORDER)), p).otherwise(a["least"]).alias("least"))
+
+    end = lambda a: F.least(F.greatest(F.least(a["p"], a["least"]), F.lit(1e-9)), F.lit(1 - 1e-9))
+    p = F.aggregate(counts, F.struct(F.lit(1e-4).alias("p"), F.lit(1.0).alias("least")), step, end)
+    return F.log2(p / (1 - p))
 
 
 def language_group(lang: Column) -> Column:
@@ -176,12 +186,17 @@ def language_group(lang: Column) -> Column:
 def thresholds(histogram: list[tuple[str, float, int]], least: int = 200, default: float = -8.0) -> dict[str, float]:
     """Per group, the log-odds below which a text counts as cut: 3.5 deviations under the mean of the complete texts.
 
-    Complete are, for this, the texts above the split of greatest variance between classes. Groups with
-    fewer texts than ``least`` take the threshold of all together. ``default`` holds where all log-odds are equal.
+    Complete are, for this, the texts above the split of greatest variance between classes. All log-odds above 0, where to stop
+    is likelier than to go on, count as 0: how sure a complete end is says nothing about where cut ones begin. Groups with
+    fewer texts than ``least`` take the threshold of all together. ``default`` holds where the texts below the split do not lie
+    under it on average, so that nothing looks cut.
     """
 
     def limit(h: dict[float, int]) -> float:
-        xs = sorted(h)
+        capped: dict[float, int] = {}
+        for x, c in h.items():
+            capped[min(x, 0.0)] = capped.get(min(x, 0.0), 0) + c
+        h, xs = capped, sorted(capped)
         n, total = sum(h.values()), sum(x * h[x] for x in xs)
         best, at, w, s = -1.0, xs[0] - 1, 0, 0.0
         for a, b in zip(xs, xs[1:]):
@@ -191,9 +206,10 @@ def thresholds(histogram: list[tuple[str, float, int]], least: int = 200, defaul
             if v > best:
                 best, at = v, (a + b) / 2
         top = {x: c for x, c in h.items() if x > at}
+        low = {x: c for x, c in h.items() if x <= at}
         m = sum(x * c for x, c in top.items()) / sum(top.values())
         sd = math.sqrt(sum(c * (x - m) ** 2 for x, c in top.items()) / sum(top.values()))
-        return min(max(m - 3.5 * sd, -9.5), -6.0) if sd else default
+        return m - 3.5 * sd if low and sum(x * c for x, c in low.items()) / sum(low.values()) < default else default
 
     groups: dict[str, dict[float, int]] = {}
     everything: dict[float, int] = {}
@@ -210,23 +226,28 @@ def detect_truncated(docs: DataFrame, text: str = "text", lang: str = "lang", ke
     A backward character n-gram model is trained over all texts; a text is cut if the log-odds of stopping
     after its last context (debris of the cut taken off) lie under the limit of its language. Null texts
     are left out; texts that are empty or blank are not cut. ``key`` need not be unique or non-null; other
-    columns are not looked at. Texts of any length are trained on whole. The model is of fixed size
-    (:data:`BUCKET_BITS`); training sends at most that many counters to the driver, scoring shuffles nothing.
+    columns are not looked at. Texts of any length are trained on whole. Contexts that texts end with are counted
+    exactly, by 64-bit hashes: at most orders * documents of them, joined to the ends. Only a filter of bounded
+    size (:data:`FILTER_BITS_MOST`) passes the driver.
     """
     ends = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), language_group(F.col(lang)).alias("lang_group"), F.substring(F.col(text), -2 * TAIL, 2 * TAIL).alias("end"))
-    tails = ends.select("key", "lang_group", F.col("end").rlike(_MARK).alias("marked"), F.substring(F.regexp_replace("end", _DEBRIS, ""), -TAIL, TAIL).alias("tail"), (~F.col("end").rlike(_DEBRIS)).alias("own_stop"))
-    tails = materialize(tails, "tails")
-    trained = train(docs.filter(F.col(text).isNotNull()).select(F.col(text)), wanted_contexts(tails.select("tail")))
-    model = docs.sparkSession.sparkContext.broadcast(trained)
-    schema = tails.schema
+    tails = ends.select("key", "lang_group", F.col("end").rlike(_MARK).alias("marked"), (~F.col("end").rlike(_DEBRIS)).alias("own_stop"), F.substring(F.regexp_replace("end", _DEBRIS, ""), -TAIL, TAIL).alias("tail"))
+    kind = tails.schema["key"].dataType.simpleString()
 
     def f(batches):
-        counters = Counters(*model.value)
         for b in batches:
-            lo = [stop_log_odds(t, counters, o) if t.strip() else 0.0 for t, o in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(lo)], names=["key", "lang_group", "marked", "log_odds"])
-
-    scored = materialize(tails.mapInArrow(f, f"key {schema['key'].dataType.simpleString()}, lang_group string, marked boolean, log_odds double"), "odds")
+            texts = b.column(4).to_pylist()
+            long_line = pa.array([len(t) - t.rfind("\n") > ORDERS[-1] for t in texts], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], long_line, _end_contexts(texts)], names=["key", "lang_group", "marked", "own_stop", "long_line", "contexts"])
+
+    tails = tails.mapInArrow(f, f"key {kind}, lang_group string, marked boolean, own_stop boolean, long_line boolean, contexts array<bigint>")
+    tails = materialize(tails.withColumn("id", F.monotonically_increasing_id()), "tails")
+    counted = train(docs.filter(F.col(text).isNotNull()).select(F.col(text)), wanted_filter(tails))
+    # Short contexts are the end of a large share of all texts.
+    each = salted_join(tails.select("id", F.posexplode("contexts").alias("k", "context")), counted, "context", "left")
+    counts = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "n", "s"))).alias("counts"))
+    odds = F.coalesce(stop_log_odds("counts", "own_stop", "long_line"), F.lit(0.0))
+    scored = materialize(tails.join(counts, "id", "left").select("key", "lang_group", "marked", odds.alias("log_odds")), "odds")
     bins = scored.groupBy("lang_group", F.round(F.col("log_odds") * 2).alias("x")).agg(F.count(F.lit(1)).alias("n"))
     # Language groups are codes of two letters, so this is a table of bounded size.
     limits = thresholds([(r["lang_group"], r["x"] / 2, r["n"]) for r in bins.collect()])

@@ -1,6 +1,7 @@
+import math
 import random
 
-from strandloom.llm.truncation import detect_truncated, thresholds
+from strandloom.llm.truncation import ORDERS, PRIOR, detect_truncated, thresholds
 
 SCHEMA = "doc_id bigint, text string, lang string, cut string"
 
@@ -41,3 +42,34 @@ def test_empty_and_thresholds(spark):
     assert thresholds([]) == {}
     t = thresholds([("en", x / 2, 100) for x in range(-4, 5)] + [("en", -20.0, 40), ("de", 1.0, 3)])
     assert -9.5 <= t["en"] <= -3 and t["de"] == thresholds([("all", x / 2, 100) for x in range(-4, 5)] + [("all", -20.0, 40), ("all", 1.0, 3)])["all"]
+
+
+def test_counts_are_exact(spark):
+    """log_odds against contexts counted by text search, in a corpus of far more contexts than 2^20, one text of which is longer than a block."""
+    r = random.Random(7)
+    noise = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=3_000_000))
+    lines = ["".join(r.choices("ABCDEFGH", k=24)) + f" {a}." for a in "uvwxyz"]
+    texts = [noise, *(f"{a}\n{b}" for a in lines for b in lines)]
+    # Breaks are doubled so that neighbouring lines share none.
+    stream = ("".join("\n" + t for t in texts) + "\n").replace("\n", "\n\n")
+
+    def expected(line):
+        p = 1e-4
+        for k in ORDERS:
+            c = ("\n" + line)[-k:]
+            n, e = stream.count(c) - 1, stream.count(c + "\n") - 1
+            p = (e + PRIOR * p) / (n + PRIOR)
+        return math.log2(p / (1 - p))
+
+    got = detect_truncated(spark.createDataFrame([(i, t, "en", "x") for i, t in enumerate(texts)], SCHEMA)).collect()
+    assert len(got) == len(texts)
+    for x in got:
+        if x["doc_id"]:
+            assert abs(x["log_odds"] - expected(texts[x["doc_id"]].split("\n")[1])) < 1e-6
+
+
+def test_limit_from_the_distribution():
+    complete = [("en", x / 2, 1000) for x in range(0, 30)]
+    # Narrow complete texts: the limit comes close to them. Nothing cut: the spread of complete texts makes no limit among them.
+    assert -6 < thresholds([*complete, ("en", -1.0, 5000), ("en", -2.0, 50), ("en", -20.0, 3000)])["en"] < -1
+    assert thresholds([*complete, ("en", -1.0, 500)])["en"] == -8.0
