@@ -18,7 +18,7 @@ from strandloom.operators import sequence as S
 from strandloom.operators import stats as T
 from strandloom.plans.registry import Registry
 from strandloom.plans.views import ctes, view
-from strandloom.tables import load, percent_decoded, with_reported_chrom
+from strandloom.tables import clean_id, load, percent_decoded, with_reported_chrom
 
 genome = Registry()
 
@@ -443,7 +443,7 @@ _GTF = """f AS (SELECT DISTINCT gtf_id, coalesce(a.chrom, seqname) AS chrom, fea
 
 @genome.add("assemble_transcripts", f"WITH {_GTF}, u AS (SELECT t FROM f GROUP BY t HAVING min(chrom) = max(chrom) AND coalesce(min(strand) = max(strand), TRUE)), p AS (SELECT DISTINCT t, unnest(range(s, e)) AS pos FROM f WHERE t IN (SELECT t FROM u)), n AS (SELECT t, count(*) AS length FROM p GROUP BY t), c AS (SELECT t, min(s) AS lo, max(e) AS hi FROM f WHERE feature_type IN ('CDS', 'start_codon', 'stop_codon') GROUP BY t) SELECT t AS transcript_id, length, lo AS cds_genome_start, hi AS cds_genome_end FROM n LEFT JOIN c USING (t)")
 def assemble_transcripts(spark, d):
-    g = load(spark, d, "gtf2").filter(F.col("transcript_id").rlike(r"^YT-[0-9.]+\z"))
+    g = load(spark, d, "gtf2").withColumn("transcript_id", clean_id("transcript_id"))
     g = with_reported_chrom(g.withColumnRenamed("seqname", "chrom"), load(spark, d, "chrom_aliases"))
     ok, _ = N.assemble_transcripts(g.select("transcript_id", "gene_id", "chrom", "strand", "feature_type", (F.col("seg_start") - 1).alias("start"), F.col("seg_end").alias("end")))
     return ok.select("transcript_id", C.length("segments").alias("length"), "cds_genome_start", "cds_genome_end")
