@@ -26,8 +26,9 @@ def key_profile(
 
     Aggregation goes through the join: both inputs are first reduced by the join key (the
     chrom as spelt) to compact states, the states are joined, and sums and counts
-    roll up to either key. What is shuffled is one state per map task and
-    (spelling, region), so a hot key has as many rows there as there are map tasks.
+    roll up to either key. What is shuffled for that is one state per map task and
+    (spelling, region), so a hot key has as many rows there as there are map tasks. With a ``record``
+    column all rows are shuffled once before, by it; a row whose record is null is a record of its own.
     Rows with a null key are left out of that key's result but count in the total; rows with
     a null bound or ``end < start`` count as reads, not in lengths and spans.
     """
@@ -39,7 +40,8 @@ def key_profile(
         *([F.col(record).alias("rec")] if record else []),
     )
     if record:
-        c = c.groupBy("rec").agg(*[F.first(x).alias(x) for x in ("spelling", "region", "s", "e")], F.count(F.lit(1)).alias("n"))
+        own = F.when(F.col("rec").isNull(), F.monotonically_increasing_id())
+        c = c.withColumn("own", own).groupBy("rec", "own").agg(*[F.first(x).alias(x) for x in ("spelling", "region", "s", "e")], F.count(F.lit(1)).alias("n"))
     else:
         c = c.withColumn("n", F.lit(1))
     sized = (F.col("e") >= F.col("s")) & F.col("s").isNotNull()

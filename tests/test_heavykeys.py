@@ -23,3 +23,9 @@ def test_share_is_exact(spark):
 
 def test_empty(spark):
     assert key_profile(spark.createDataFrame([], ROWS), spark.createDataFrame([], NAMES)).count() == 0
+
+
+def test_null_records_are_records_of_their_own(spark):
+    rows = [(None, "a", "r", 0, 10, ""), (None, "a", "s", 20, 50, ""), (None, "b", "s", 5, 6, ""), (1, "a", "r", 0, 10, ""), (1, "a", "r", 0, 10, "")]
+    got = {r["key_name"]: (r["n_rows"], r["n_reads"], r["span_start"], r["span_end"]) for r in key_profile(spark.createDataFrame(rows, ROWS), spark.createDataFrame([], NAMES)).collect()}
+    assert got == {"a": (4, 3, 0, 50), "b": (1, 1, 5, 6), "r": (3, 2, 0, 10), "s": (2, 2, 5, 50)}
