@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 import unicodedata
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -105,16 +107,45 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(key), F.col(text)).filter(F.col(text).isNotNull()).mapInArrow(f, schema)
 
 
-def _search(segment: dict, queries: list[tuple[object, list[str]]], run: int) -> Iterator[tuple[object, object, int, int]]:
-    """(query, doc, longest run, matched words) for every document with at least ``run`` words of a query in a row."""
-    names = segment["terms"].split("\n")
-    sizes = np.frombuffer(segment["sizes"], "<u4").astype(np.int64)
+class Queries:
+    """Query passages as one stream of numbers of their distinct words, so that whole sets are looked up in a segment at once."""
+
+    def __init__(self, passages: list[tuple[object, list[str]]]) -> None:
+        self.keys = [q for q, _ in passages]
+        names: dict[str, int] = {}
+        self.stream = np.array([names.setdefault(w, len(names)) for _, p in passages for w in p], dtype=np.int64)
+        self.names = pa.array(list(names), pa.string())
+        self.ends = np.cumsum([len(p) for _, p in passages], dtype=np.int64)
+
+
+def _alive(known: np.ndarray, ends: np.ndarray, width: int, least: int) -> np.ndarray:
+    """Passages (by number) with at least ``least`` known words in some ``width`` successive ones; shorter passages count as a whole."""
+    c = np.concatenate([[0], np.cumsum(known)])
+    begins = np.concatenate([[0], ends[:-1]])
+    owner = np.repeat(np.arange(len(ends)), ends - begins)
+    stop = np.minimum(np.arange(len(known)) + width, ends[owner])
+    return np.unique(owner[c[stop] - c[:-1] >= least])
+
+
+def _search(segment: dict, queries: Queries, run: int, near: int | None) -> Iterator[tuple[object, object, int, int, int]]:
+    """(query, doc, longest run, matched words, most words near each other), one row for each document of each alignment that matches.
+
+    Words are looked up for all queries at once; a passage of which no window has enough words in the segment goes no further.
+    """
     n = int(segment["n"])
     if not n:
         return
+    # Words looked at together, how far one may be from its place, and how many of the rarest must agree on an alignment.
+    width, slack, need = (near, (near - run) // 2, 4) if near else (run, 0, 3)
+    number = pc.index_in(queries.names, value_set=pa.array(segment["terms"].split("\n"), pa.string()))
+    number = pc.fill_null(number, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    stream = number[queries.stream]
+    passages = _alive(stream >= 0, queries.ends, width, run)
+    if not len(passages):
+        return
+    sizes = np.frombuffer(segment["sizes"], "<u4").astype(np.int64)
     deltas = np.frombuffer(zstandard.ZstdDecompressor().decompress(segment["postings"]), np.uint8).reshape(4, n).T.copy().view("<u4").ravel()
     heads = np.cumsum(sizes) - sizes
-    index = {w: i for i, w in enumerate(names)}
     starts = np.asarray(segment["doc_starts"])
     cache: dict[int, np.ndarray] = {}
 
@@ -123,64 +154,100 @@ def _search(segment: dict, queries: list[tuple[object, list[str]]], run: int) ->
             cache[t] = np.cumsum(deltas[heads[t] : heads[t] + sizes[t]].astype(np.int64))
         return cache[t]
 
-    for q, passage in queries:
-        t = np.array([index.get(w, -1) for w in passage])
+    for i in passages:
+        t = stream[queries.ends[i - 1] if i else 0 : queries.ends[i]]
         df = np.where(t >= 0, sizes[t], 0)
-        # Every window of the passage is anchored at its rarest term; windows with a term that the segment lacks are out.
-        windows = np.lib.stride_tricks.sliding_window_view(df, run)
-        rarest = windows.argmin(axis=1)
-        alive = windows[np.arange(len(windows)), rarest] > 0
-        anchors = np.unique((np.arange(len(windows)) + rarest)[alive])
-        if not len(anchors):
+        w = min(width, len(t))
+        windows = np.lib.stride_tricks.sliding_window_view(df, w)
+        enough = np.flatnonzero((windows > 0).sum(axis=1) >= run)
+        # At most w - run words of a window may miss (those that the segment lacks are the rarest of all), so ``need`` of these are there.
+        anchors = np.unique(np.argsort(windows[enough], axis=1, kind="stable")[:, : w - run + need] + enough[:, None])
+        anchors = anchors[df[anchors] > 0]
+        if len(anchors) < need:
             continue
-        # Places at which the passage would begin, from the offset-adjusted lists of the anchors, rarest first.
-        anchors = anchors[np.argsort(df[anchors], kind="stable")]
-        begins = np.unique(np.concatenate([postings(t[a]) - a for a in anchors]))
-        # Neighbouring terms thin them out before all lists are intersected.
-        for step in range(0, len(begins), 1 << 16):
-            at = begins[step : step + (1 << 16)]
+        # Offset-adjusted lists of the anchors hold places at which the passage would begin; a match needs several that agree.
+        begins = np.sort(np.concatenate([postings(t[a]) - a for a in anchors]))
+        begins = np.unique(begins[: 1 - need][begins[need - 1 :] - begins[: 1 - need] <= 2 * slack])
+        for step in range(0, len(begins), 1 << 14):
+            at = begins[step : step + (1 << 14)]
             hits = np.zeros((len(at), len(t)), bool)
             for j, term in enumerate(t):
                 if term >= 0:
                     p = postings(term)
-                    want = at + j
+                    want = at + j - 2 * slack
                     k = np.searchsorted(p, want)
-                    hits[:, j] = p[np.minimum(k, len(p) - 1)] == want
+                    hits[:, j] = (p[np.minimum(k, len(p) - 1)] - want <= 4 * slack) & (k < len(p))
             c = np.concatenate([np.zeros((len(at), 1), np.int64), np.cumsum(hits, axis=1)], axis=1)
-            full = (c[:, run:] - c[:, :-run]) == run
-            for r in np.flatnonzero(full.any(axis=1)):
-                first = int(np.argmax(full[r]))
-                d = int(np.searchsorted(starts, at[r] + first, side="right")) - 1
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], hits[r].astype(np.int8), [0]])))
-                yield q, segment["doc_ids"][d], int((edges[1::2] - edges[::2]).max()), int(hits[r].sum())
+            for r in np.flatnonzero((c[:, w:] - c[:, :-w] >= run).any(axis=1)):
+                for b in range(int(at[r]) - slack, int(at[r]) + slack + 1):
+                    yield from _matches(segment["doc_ids"], starts, postings, queries.keys[i], t, b, w, run, slack)
+
+
+def _matches(doc_ids: list, starts: np.ndarray, postings, query: object, t: np.ndarray, begin: int, width: int, run: int, slack: int) -> Iterator[tuple[object, object, int, int, int]]:
+    """The documents that lie under one alignment of a passage and hold enough of its words, each with its own words only."""
+    first, last = np.searchsorted(starts, [begin - slack, begin + len(t) - 1 + slack], side="right") - 1
+    for d in range(max(int(first), 0), int(last) + 1):
+        lo = int(starts[d])
+        hi = int(starts[d + 1]) - 1 if d + 1 < len(starts) else lo + (1 << 40)
+        here = []
+        for j, term in enumerate(t):
+            p = postings(term) if term >= 0 else np.zeros(0, np.int64)
+            a, b = np.searchsorted(p, [max(begin + j - slack, lo), min(begin + j + slack + 1, hi)])
+            here.append(p[a:b])
+        exact = np.array([begin + j in x for j, x in enumerate(here)], np.int8)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], exact, [0]])))
+        longest = int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
+        most = _most_in_order(here, width) if slack or width > run else longest
+        if longest >= run or most >= run:
+            yield query, doc_ids[d], longest, int(exact.sum()), most
+
+
+def _most_in_order(here: list[np.ndarray], width: int) -> int:
+    """The most of ``width`` successive words that can be given places in ascending order, from the places that each may take."""
+    best = 0
+    for s in range(max(len(here) - width, 0) + 1):
+        chosen: list[int] = []  # chosen[k] is the least place at which k + 1 words can end
+        for found in here[s : s + width]:
+            for x in found[::-1]:  # from the right, so that a word is taken once
+                k = bisect.bisect_left(chosen, x)
+                chosen[k : k + 1] = [x]
+        best = max(best, len(chosen))
+    return best
 
 
-def find_leaks(index: DataFrame, items: DataFrame, key: str = "item_id", passage: str = "passage", run: int = RUN) -> DataFrame:
-    """(``key``, ``doc_id``, ``longest_run``, ``matched_words``) of every document that holds at least ``run`` consecutive words of an item's passage, in order.
+def find_leaks(index: DataFrame, items: DataFrame, key: str = "item_id", passage: str = "passage", run: int = RUN, near: int | None = None) -> DataFrame:
+    """(``key``, ``doc_id``, ``longest_run``, ``matched_words``, ``near_words``) of every document that holds at least ``run`` words of an item's passage together.
 
-    The longest run is exact; ``matched_words`` counts the passage's words that stand in their place relative to it
-    (a proximity measure: words in between may differ). Items with a null passage or fewer than ``run`` words match
+    Without ``near``, only exact phrases count: ``run`` consecutive words, in order. With it, proximity matches come out, too: at least ``run`` of
+    ``near`` successive words of the passage in order, none further than half of ``near - run`` from its place in some alignment, so that words may be
+    put in, left out or replaced in between. ``longest_run`` is the longest exact phrase in one alignment, ``matched_words`` the most words that stand in their exact
+    place relative to it, ``near_words`` the most of ``near`` words in one proximity match (without ``near``, the longest run). Every
+    document under an alignment comes out with its own words only. Items with a null passage or fewer than ``run`` words match
     nothing; an item that occurs twice reports once. The queries are a stated set: they are read in blocks of at most
     :data:`QUERY_WORDS` words, and each block is broadcast to all segments.
     """
+    if near is not None and near <= run:
+        raise ValueError("near must be above run: that many words are looked at together")
     kind = items.schema[key].dataType.simpleString()
     id_kind = index.schema["doc_ids"].dataType.elementType.simpleString()
     q_type, d_type = to_arrow_type(items.schema[key].dataType), to_arrow_type(index.schema["doc_ids"].dataType.elementType)
     spark = index.sparkSession
     out, block, size = None, [], 0
+    names = ["q", "d", "longest_run", "matched_words", "near_words"]
 
     def searched(some):
         held = spark.sparkContext.broadcast(some)
 
         def f(batches):
+            queries = Queries(held.value)
             for b in batches:
                 for s in b.to_pylist():
-                    rows = list(_search(s, held.value, run))
+                    rows = list(_search(s, queries, run, near)) if queries.keys else []
                     if rows:
-                        q, doc, longest, matched = zip(*rows)
-                        yield pa.RecordBatch.from_arrays([pa.array(q, q_type), pa.array(doc, d_type), pa.array(longest, pa.int32()), pa.array(matched, pa.int32())], names=["q", "d", "longest_run", "matched_words"])
+                        q, doc, *counts = zip(*rows)
+                        yield pa.RecordBatch.from_arrays([pa.array(q, q_type), pa.array(doc, d_type), *(pa.array(x, pa.int32()) for x in counts)], names=names)
 
-        return index.mapInArrow(f, f"q {kind}, d {id_kind}, longest_run int, matched_words int")
+        return index.mapInArrow(f, f"q {kind}, d {id_kind}, longest_run int, matched_words int, near_words int")
 
     rows = items.select(F.col(key), F.col(passage)).filter(F.col(passage).isNotNull()).distinct()
     for r in rows.toLocalIterator():
@@ -196,7 +263,7 @@ def find_leaks(index: DataFrame, items: DataFrame, key: str = "item_id", passage
     if block or out is None:
         found = searched(block)
         out = found if out is None else out.unionByName(found)
-    return out.groupBy(F.col("q").alias(key), F.col("d").alias("doc_id")).agg(F.max("longest_run").alias("longest_run"), F.max("matched_words").alias("matched_words"))
+    return out.groupBy(F.col("q").alias(key), F.col("d").alias("doc_id")).agg(*[F.max(c).alias(c) for c in names[2:]])
 
 
 def stored_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.llm.components import connected_components, group_by_match
-from strandloom.llm.leakage import find_leaks, stored_index
+from strandloom.llm.leakage import RUN, find_leaks, stored_index
 from strandloom.llm.mixture import mix_sources, source_name
 from strandloom.llm.runs import collapse_runs
 from strandloom.llm.truncation import detect_truncated
@@ -78,8 +78,8 @@ def p3_events(spark, d):
     return collapse_runs(_reads(spark, d)).select("lane_id", "first_seq_no", "last_seq_no", "n_reads", "duration_us")
 
 
-def _leaks(spark, d):
-    return find_leaks(stored_index(load(spark, d, "documents").select("doc_id", "text")), load(spark, d, "eval_items"))
+def _leaks(spark, d, near=None):
+    return find_leaks(stored_index(load(spark, d, "documents").select("doc_id", "text")), load(spark, d, "eval_items"), near=near)
 
 
 @llm.add("p8_found")
@@ -93,6 +93,13 @@ def p8_items(spark, d):
     return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("longest_run").alias("longest_run"), F.max("matched_words").alias("matched_words"))
 
 
+@llm.add("p8_near")
+def p8_near(spark, d):
+    """Exact and proximity matches: at least 13 of 20 successive words of a passage in order, none further than three words from its place."""
+    kind = F.when(F.col("longest_run") >= RUN, "exact").otherwise("near").alias("match_kind")
+    return _leaks(spark, d, near=20).select("item_id", "doc_id", kind, "longest_run", "matched_words", "near_words")
+
+
 @llm.add("p9_mixture")
 def p9_mixture(spark, d):
     return mix_sources(load(spark, d, "documents"), load(spark, d, "mix_targets"))[0]
