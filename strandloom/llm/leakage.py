@@ -168,19 +168,27 @@ def _search(segment: dict, queries: Queries, run: int, near: int | None) -> Iter
         # Offset-adjusted lists of the anchors hold places at which the passage would begin; a match needs several that agree.
         begins = np.sort(np.concatenate([postings(t[a]) - a for a in anchors]))
         begins = np.unique(begins[: 1 - need][begins[need - 1 :] - begins[: 1 - need] <= 2 * slack])
-        for step in range(0, len(begins), 1 << 14):
-            at = begins[step : step + (1 << 14)]
-            hits = np.zeros((len(at), len(t)), bool)
-            for j, term in enumerate(t):
-                if term >= 0:
-                    p = postings(term)
-                    want = at + j - 2 * slack
-                    k = np.searchsorted(p, want)
-                    hits[:, j] = (p[np.minimum(k, len(p) - 1)] - want <= 4 * slack) & (k < len(p))
-            c = np.concatenate([np.zeros((len(at), 1), np.int64), np.cumsum(hits, axis=1)], axis=1)
-            for r in np.flatnonzero((c[:, w:] - c[:, :-w] >= run).any(axis=1)):
-                for b in range(int(at[r]) - slack, int(at[r]) + slack + 1):
-                    yield from _matches(segment["doc_ids"], starts, postings, queries.keys[i], t, b, w, run, slack)
+
+        def standing(at: np.ndarray, off: int) -> np.ndarray:
+            """Those of the alignments in which enough words of a window stand within ``off`` of their place."""
+            kept = []
+            for step in range(0, len(at), 1 << 14):
+                some = at[step : step + (1 << 14)]
+                hits = np.zeros((len(some), len(t) + 1), np.int32)
+                for j, term in enumerate(t):
+                    if term >= 0:
+                        p = postings(term)
+                        k = np.searchsorted(p, some + j - off)
+                        hits[:, j + 1] = (p[np.minimum(k, len(p) - 1)] <= some + j + off) & (k < len(p))
+                c = np.cumsum(hits, axis=1)
+                kept.append(some[(c[:, w:] - c[:, :-w] >= run).any(axis=1)])
+            return np.concatenate(kept) if kept else at
+
+        begins = standing(begins, 2 * slack)
+        if slack:
+            begins = standing(np.unique(begins[:, None] + np.arange(-slack, slack + 1)), slack)
+        for begin in begins.tolist():
+            yield from _matches(segment["doc_ids"], starts, postings, queries.keys[i], t, begin, w, run, slack)
 
 
 def _matches(doc_ids: list, starts: np.ndarray, postings, query: object, t: np.ndarray, begin: int, width: int, run: int, slack: int) -> Iterator[tuple[object, object, int, int, int]]:
@@ -204,8 +212,10 @@ def _matches(doc_ids: list, starts: np.ndarray, postings, query: object, t: np.n
 
 def _most_in_order(here: list[np.ndarray], width: int) -> int:
     """The most of ``width`` successive words that can be given places in ascending order, from the places that each may take."""
-    best = 0
+    best, c = 0, np.cumsum([0, *(len(x) > 0 for x in here)])
     for s in range(max(len(here) - width, 0) + 1):
+        if c[min(s + width, len(here))] - c[s] <= best:
+            continue
         chosen: list[int] = []  # chosen[k] is the least place at which k + 1 words can end
         for found in here[s : s + width]:
             for x in found[::-1]:  # from the right, so that a word is taken once
