@@ -48,7 +48,7 @@ def p1_found(spark, d):
     return both.select(F.substring("root", 3, 1 << 30).alias("group_id"), F.substring("node", 3, 1 << 30).alias("gene_id"))
 
 
-@llm.add("p1_groups")
+@llm.add("p1_groups", _GROUPS.replace("c AS (SELECT n, min(top) AS top FROM r WHERE starts_with(n, 'g:') GROUP BY n)", "k AS (SELECT DISTINCT a AS n, a AS top FROM e WHERE a NOT IN (SELECT n FROM r) UNION SELECT e.b, k.top FROM k JOIN e ON e.a = k.n), c AS (SELECT n, min(top) AS top FROM (SELECT * FROM r UNION ALL SELECT * FROM k) x GROUP BY n)") + "SELECT substr(n, 1, 1) AS kind, substr(n, 3) AS id, top AS group_id FROM c WHERE top IN (SELECT top FROM c GROUP BY top HAVING count(*) > 1)")
 def p1_groups(spark, d):
     """Every gene and transcript linked to another one, with its group."""
     return group_by_match(_links(spark, d), "a", "b").select(F.substring("node", 1, 1).alias("kind"), F.substring("node", 3, 1 << 30).alias("id"), "group_id")

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from strandloom.llm.components import connected_components, group_by_match, spanning_forest
 
 
@@ -40,5 +42,15 @@ def test_levels_against_brute_force(spark):
 
 
 def test_forest_and_empty(spark):
-    assert sorted(spanning_forest(iter([("b", "a"), ("c", "b"), ("c", "c")]))) == [("b", "a"), ("c", "a")]
+    f = spanning_forest(iter([("b", "a"), ("c", "b"), ("c", "c")]))
+    assert len(f) == 2 and len({(r, k) for _, r, k in f}) == 1 and {x for x, _, _ in f} | {f[0][1]} == {"a", "b", "c"}
     assert connected_components(spark.createDataFrame([], "a string, b string"), "a", "b").count() == 0
+
+
+def test_long_chain_in_few_levels(spark):
+    """A chain in the order of its ids over more than a hundred partitions: levels are logarithmic, not linear."""
+    n, sizes = 100_000, []
+    chain = spark.range(n).select(F.format_string("c%07d", "id").alias("a"), F.format_string("c%07d", F.col("id") + 1).alias("b")).repartition(120, "a")
+    got = connected_components(chain, "a", "b", 800, sizes)
+    assert got.groupBy("root").count().collect() == [("c0000000", n)]
+    assert len(sizes) <= 12 and all(y < 0.7 * x for x, y in zip(sizes, sizes[1:]))
