@@ -2,45 +2,45 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.tables import percent_decoded
+from strandloom.operators.skew import salted_join
+from strandloom.session import materialize
+from strandloom.tables import maybe_broadcast, once, percent_decoded
 
 
 @dataclass(frozen=True)
 class Dialect:
-    """How values are set apart: ``sep`` matches one separator, ``rest`` a character of an unquoted value, ``lead`` is a text that ``sep`` matches, ``hint`` what a field must contain."""
+    """How values are set apart: ``sep`` matches one separator, ``rest`` a character of an unquoted value, ``lead`` is a text that ``sep`` matches, ``hint`` what a field must contain for the parse to differ from that of ``single``, ``kinds`` the bits that tell one separator from the others."""
 
     name: str
     sep: str
     rest: str
     lead: str
     hint: str
+    kinds: float
 
 
 #: In order of preference at equal length; the place in the list is paid for in bits.
 DIALECTS = (
-    Dialect("single", r"\A\x00", r"[\s\S]", "\0", ""),
-    Dialect("comma", r",", r"[^,]", ",", ","),
-    Dialect("semicolon", r";", r"[^;]", ";", ";"),
-    Dialect("pipe", r"\|", r"[^|]", "|", r"\|"),
-    Dialect("tab", r"\t", r"[^\t]", "\t", r"\t"),
-    Dialect("blank", r"\s++", r"[^\s]", " ", r"\s"),
-    Dialect("comma_blank", r",\s", r"(?:(?!,\s)[\s\S])", ", ", r",\s"),
-    Dialect("any_mark", r"[^\S\t]*+[,;|\t]", r"[^,;|\t]", ",", r"[,;|\t]"),
-    Dialect("any_mark_or_blank", r"(?:\s*+[,;|]|\s++)", r"[^,;|\s]", ",", r"[,;|\s]"),
-    Dialect("any_other", r"(?:\s*+[^\p{L}\p{N}:._%\"\s-]|\s++)", r"[\p{L}\p{N}:._%\"-]", ",", r"[^\p{L}\p{N}:._%-]"),
+    Dialect("single", r"\A\x00", r"[\s\S]", "\0", "", 0.0),
+    Dialect("comma", r",", r"[^,]", ",", ",", 0.0),
+    Dialect("semicolon", r";", r"[^;]", ";", ";", 0.0),
+    Dialect("pipe", r"\|", r"[^|]", "|", r"\|", 0.0),
+    Dialect("tab", r"\t", r"[^\t]", "\t", r"\t", 0.0),
+    Dialect("blank", r"\s++", r"[^\s]", " ", r"\s", 0.0),
+    Dialect("comma_blank", r",\s", r"(?:(?!,\s)[\s\S])", ", ", r",\s", 0.0),
+    Dialect("any_mark", r"[^\S\t]*+[,;|\t]", r"[^,;|\t]", ",", r"[,;|\t]", 2.0),
+    Dialect("any_mark_or_blank", r"(?:\s*+[,;|]|\s++)", r"[^,;|\s]", ",", r"[,;|\s]", 2.3),
+    Dialect("any_other", r"(?:\s*+[^\p{L}\p{N}:._%\"\s-]|\s++)", r"[\p{L}\p{N}:._%\"-]", ",", r"[^\p{L}\p{N}:._%-]", 5.0),
 )
 _BLANKS = " \t\r\n\f\v"
 _QUOTED = r'"(?:[^"]++|"")*+"'
-#: Bits for a number of places other than the stated one.
-MISCOUNT_BITS = 4096.0
-#: Dialects with one kind of separator; the others are tried where none of these fits.
-SIMPLE = ("single", "comma", "semicolon", "pipe", "tab", "blank", "comma_blank")
+#: Bits for a number of places other than the stated one, and for a value outside the language of its kind, which is spelled out.
+MISCOUNT_BITS, ESCAPE_BITS, CHARACTER_BITS = 4096.0, 24.0, 8.0
 
 _PLAIN = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:e[+-]?[0-9]+)?|[+-]?(?:nan|inf(?:inity)?)"
 #: What an unquoted value may look like; ``number_comma`` (decimal comma, digit grouping) only where the number of places is stated.
@@ -51,14 +51,6 @@ VALUE = {
 }
 
 
-def _admissible(d: Dialect, kind: str) -> str:
-    """A pattern for the fields that consist of values of the kind and separators of the dialect."""
-    if kind == "number_comma" and d.sep == ",":
-        kind = "number"
-    pad = "" if "\\s++" in d.sep else r"[^\S\t]*+"
-    return rf"(?i)\A(?:(?:{_QUOTED}|{VALUE[kind]}){pad}(?=(?:{d.sep})|\z)|(?:{d.sep})[^\S\t]*+)*+\z"
-
-
 def _body(field: Column) -> Column:
     """The field without outer blanks and without a pair of brackets around the list."""
     t = F.btrim(field, F.lit(_BLANKS))
@@ -82,89 +74,75 @@ def _inner(x: Column) -> Column:
     return F.when(_is_quoted(x), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
 
 
-def _shape(x: Column) -> Column:
-    """Runs of digits as 9, runs of letters as a, a few marks as they are, all else as ?; ^ and $ at the ends."""
-    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\p{N}+", "9"), r"\p{L}+", "a"), r"[^9a.,+:_%\s\"-]", "?")
-    return F.concat(F.lit("^"), F.regexp_replace(s, r"\s+", " "), F.lit("$"))
-
-
-def _bigrams(x: Column) -> Column:
-    # A lookahead, so that the shape is computed once and every overlapping pair is a match.
-    return F.regexp_extract_all(_shape(x), F.lit(r"(?=([\s\S]{2}))"), F.lit(1))
+def _shape(body: Column, kind: str) -> Column:
+    """A field without what no parse and no code looks at: runs of letters as a, of digits as 9; in numbers, runs of one or two, three and more digits differ (as grouping does) and letters stay."""
+    if kind == "id":
+        return F.regexp_replace(F.regexp_replace(body, r"\p{L}+", "a"), r"\p{N}+", "9")
+    s = F.regexp_replace(F.lower(body), r"[0-9]{4,}+", "9999")
+    return F.regexp_replace(F.regexp_replace(s, r"(?<![0-9])[0-9]{3}(?![0-9])", "999"), r"(?<![0-9])[0-9]{1,2}(?![0-9])", "9")
 
 
-def _candidates(df: DataFrame, kind: str) -> DataFrame:
-    """``cands``: array of (di, places) of the admissible parses.
+def score_dialects(fields: DataFrame, kind: str) -> DataFrame:
+    """Every distinct (``__key``, ``__shape``, ``__size``) of ``fields`` with the cheapest dialect: ``__key``, ``di``, ``bits``, ``lead`` (bits to the next parse with other places, null if there is none) and ``n_parses``.
 
-    An admissible parse leaves only values of the kind between its separators and has the stated number of
-    places. Dialects with several kinds of separators are tried where no simple one is admissible
-    (without a stated number they would give the same parse), and where nothing is, all
-    dialects are candidates, a wrong number of places being paid for.
+    All parses are scored: the code length of their values, the kind of each separator, the dialect, and a wrong number
+    of places. The value code is learnt over all fields: a value of the kind's language costs the bits of its shape's frequency among the
+    values of parses with the right number of places; any other value is spelled out. Nothing is ruled out beforehand.
     """
-    body, size = F.col("__body"), F.col("__size")
-
-    def fits(d: Dialect) -> Column:
-        ok = body.rlike(_admissible(d, kind)) if kind == "id" else F.when(size.isNotNull(), body.rlike(_admissible(d, "number_comma"))).otherwise(body.rlike(_admissible(d, "number")))
-        return body.rlike(d.hint) & ok if d.hint else ok
-
-    def parses(some: list[tuple[int, Dialect]], all_: bool = False) -> Column:
-        one = [F.struct(F.lit(i).alias("di"), _places(body, d).alias("places")) for i, d in some]
-        return F.array_compact(F.array(*[c if all_ else F.when(fits(d), c) for c, (_, d) in zip(one, some)]))
-
-    counted = lambda c: F.filter(c, lambda x: F.coalesce(F.size(x["places"]) == size, F.lit(True)))
-    simple = [(i, d) for i, d in enumerate(DIALECTS) if d.name in SIMPLE]
-    mixed = [(i, d) for i, d in enumerate(DIALECTS) if d.name not in SIMPLE]
-    df = df.withColumn("__simple", counted(parses(simple)))
-    df = df.withColumn("__mixed", F.when(F.size("__simple") == 0, counted(parses(mixed))))
-    df = df.withColumn("sure", (F.size("__simple") > 0) | (F.size("__mixed") > 0))
-    every = parses(list(enumerate(DIALECTS)), True)
-    return df.withColumn("cands", F.when(F.size("__simple") > 0, F.col("__simple")).when(F.size("__mixed") > 0, F.col("__mixed")).otherwise(every)).drop("__simple", "__mixed")
-
-
-def train_value_code(cands: DataFrame) -> dict[str, float]:
-    """Bits of each shape bigram, from the values of all parses that obey the rules, over all fields.
-
-    The alphabet of shapes is fixed (13 symbols), so the table has at most 169 entries however
-    large the input.
-    """
-    grams = F.flatten(F.transform(F.flatten(F.transform("cands", lambda c: c["places"])), lambda v: _bigrams(_inner(v))))
-    counts = {r["g"]: r["n"] for r in cands.filter("sure").select(F.explode(grams).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
-    heads: dict[str, int] = {}
-    for g, n in counts.items():
-        heads[g[0]] = heads.get(g[0], 0) + n
-    # Add-half smoothing over the 13 possible successors.
-    return {g: -math.log2((n + 0.5) / (heads[g[0]] + 6.5)) for g, n in counts.items()}
-
-
-def split_packed(df: DataFrame, field: str, kind: str, size: str | None = None, code: dict[str, float] | None = None) -> DataFrame:
-    """One row per place of a packed field: all columns of df, ``item_pos`` (from 1), ``item_text``, ``n_values``, ``dialect``.
+    shapes = fields.groupBy("__key", "__shape", "__size").agg(F.count(F.lit(1)).alias("n"))
+    one = [F.when(F.col("__shape").rlike(d.hint) if d.hint else F.lit(True), F.struct(F.lit(i).alias("di"), _places(F.col("__shape"), d).alias("places"))) for i, d in enumerate(DIALECTS)]
+    parses = shapes.select("__key", "__size", "n", F.explode(F.array_compact(F.array(*one))).alias("x")).select("__key", "__size", "n", "x.di", "x.places")
+    parses = materialize(parses, "parses")
+    counted = F.coalesce(F.size("places") == F.col("__size"), F.lit(True))
+    v = F.col("v")
+    language = F.when(F.col("__size").isNull(), v.rlike(rf"\A(?:{VALUE[kind]})\z")).otherwise(v.rlike(rf"\A(?:{VALUE[kind if kind == 'id' else 'number_comma']})\z"))
+    values = parses.select("__key", "di", "n", "__size", counted.alias("counted"), F.xxhash64("places").alias("parse"), F.size("places").alias("m"), F.explode("places").alias("v"))
+    values = values.select("__key", "di", "n", "counted", "parse", "m", "v", F.when(_is_quoted(v), F.lit('"')).when((v == "") | language, v).alias("code"))
+    # One row per value shape; small, but not bounded, so it is broadcast only when proven to be.
+    book = values.filter("counted and code is not null").groupBy("code").agg(F.sum("n").alias("c"))
+    book = materialize(book, "code")
+    total = book.agg(F.sum("c").cast("double").alias("t")).scalar()
+    book = book.select("code", (F.log2(total) - F.log2(F.col("c"))).alias("b"))
+    coded = values.join(maybe_broadcast(book), "code", "left")
+    spelled = ESCAPE_BITS + CHARACTER_BITS * F.length("v")
+    kinds, di = F.array(*[F.lit(d.kinds) for d in DIALECTS]), F.col("di")
+    cost = coded.groupBy("__key", "di", "parse", "counted", "m").agg(F.sum(F.coalesce("b", spelled)).alias("b"))
+    cost = cost.withColumn("bits", F.col("b") + di * 0.5 + F.get(kinds, di) * (F.col("m") - 1) + F.when(F.col("counted"), 0.0).otherwise(MISCOUNT_BITS))
+    ranked = cost.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("bits", "di", "parse"))).alias("r"))
+    first = F.get("r", F.lit(0))
+    other = F.get(F.filter("r", lambda x: x["parse"] != first["parse"]), F.lit(0))
+    return ranked.select("__key", first["di"].alias("di"), first["bits"].alias("bits"), (other["bits"] - first["bits"]).alias("lead"), F.size(F.array_distinct(F.transform("r", lambda x: x["parse"]))).alias("n_parses"))
+
+
+def split_packed(df: DataFrame, field: str, kind: str, size: str | None = None, scores: bool = False) -> DataFrame:
+    """One row per place of a packed field: all columns of df, ``item_pos`` (from 1), ``item_text``, ``n_values``, ``dialect``; with ``scores``, also ``n_parses`` and ``lead_bits``.
 
     ``kind`` is ``id`` (Parent lists) or ``number`` (float arrays); ``size`` names the column with the
-    stated number of places, if there is one. Each field is parsed under every dialect whose separator it
-    contains; a parse costs the bits of its values under a code trained over all fields
-    (:func:`train_value_code`), plus bits for the dialect and for a wrong number of places. The
-    cheapest of the admissible parses wins, ties by order of :data:`DIALECTS`.
+    stated number of places, if there is one. Each field is split under the dialect whose parse has the least description
+    length (:func:`score_dialects`), ties by order of :data:`DIALECTS`. Fields with one shape and size have the same lengths, so each
+    shape is scored once, however many fields have it.
 
     Null, blank and ``.`` fields give no row; empty places count in ``item_pos`` but give no row.
     ``item_text`` is without outer blanks and quotes, %-escapes undone. Columns of df named like
-    a result column are replaced. Row-local but for the training pass.
+    a result column are replaced. Fields are shuffled only where the table of shapes is too large to be broadcast.
     """
-    base = df.drop("item_pos", "item_text", "n_values", "dialect").withColumn("__body", _body(F.col(field)))
+    base = df.drop("item_pos", "item_text", "n_values", "dialect", "n_parses", "lead_bits").withColumn("__body", _body(F.col(field)))
     base = base.withColumn("__size", F.col(size).cast("int") if size else F.lit(None).cast("int"))
     base = base.filter(F.col("__body").isNotNull() & ~F.col("__body").isin("", "."))
-    cands = _candidates(base, kind)
-    code = train_value_code(cands) if code is None else code
-    table = F.create_map(*[F.lit(x) for g, b in code.items() for x in (g, b)]) if code else F.expr("map('', double(0))")
-    bits = lambda v: F.aggregate(_bigrams(_inner(v)), F.lit(0.0), lambda a, g: a + F.coalesce(F.element_at(table, g), F.lit(12.0)))
-    wrong = lambda c: F.when(F.size(c["places"]) != F.col("__size"), MISCOUNT_BITS).otherwise(0.0)
-    cost = lambda c: F.aggregate(c["places"], F.lit(0.0), lambda a, v: a + bits(v)) + wrong(c) + c["di"] * 0.5
-    # A field whose admissible parses agree needs no scoring.
-    scored = F.transform("cands", lambda c: F.struct(cost(c).alias("bits"), c["di"].alias("di"), c["places"].alias("places")))
-    only = F.struct(F.lit(0.0).alias("bits"), F.get("cands", F.lit(0))["di"].alias("di"), F.get("cands", F.lit(0))["places"].alias("places"))
-    best = cands.withColumn("__best", F.when(F.size(F.array_distinct(F.transform("cands", lambda c: c["places"]))) == 1, only).otherwise(F.array_min(scored)))
-    best = best.withColumn("n_values", F.size(F.filter("__best.places", lambda v: v != "")))
+    base = base.withColumn("__shape", _shape(F.col("__body"), kind))
+    base = base.withColumn("__key", F.concat(F.coalesce(F.col("__size").cast("string"), F.lit("")), F.lit(":"), "__shape"))
+    best = materialize(score_dialects(base.select("__key", "__shape", "__size"), kind), "dialects")
+    few = maybe_broadcast(best)
+    kept = base.drop("__shape", "__size")
+    won = kept.join(few, "__key") if few is not best else salted_join(kept, best, "__key")
+    di = F.col("di")
+    parse = F.when(di == 0, _places(F.col("__body"), DIALECTS[0]))
+    for i, d in enumerate(DIALECTS[1:], 1):
+        parse = parse.when(di == i, _places(F.col("__body"), d))
+    won = once(won, "__best", parse).withColumn("n_values", F.size(F.filter("__best", lambda v: v != "")))
     # The outer form, as for the inner one a filter on the places is inferred and pushed down, which parses every field again.
     names = F.array(*[F.lit(d.name) for d in DIALECTS])
-    rows = best.select(*[F.col(f"`{c}`") for c in base.columns if c not in ("__body", "__size")], "n_values", F.get(names, F.col("__best.di")).alias("dialect"), F.posexplode_outer("__best.places").alias("__p", "__v"))
+    extra = ["n_parses", F.col("lead").alias("lead_bits")] if scores else []
+    rows = won.select(*[F.col(f"`{c}`") for c in base.columns if not c.startswith("__")], "n_values", F.get(names, di).alias("dialect"), *extra, F.posexplode_outer("__best").alias("__p", "__v"))
     text = F.btrim(_inner(F.col("__v")), F.lit(_BLANKS))
     return rows.filter("__v <> ''").withColumn("item_pos", (F.col("__p") + 1).cast("int")).withColumn("item_text", percent_decoded(text)).drop("__p", "__v")

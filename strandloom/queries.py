@@ -95,11 +95,11 @@ def p7_profile(spark, d):
     return key_profile(load(spark, d, "alignments"), load(spark, d, "chrom_aliases"))
 
 
-def _packed(spark, d):
+def _packed(spark, d, scores=False):
     """Values of both packed fields, one row each; a repeated row counts once."""
-    parents = split_packed(load(spark, d, "gff3").select("record_id", "parent").distinct(), "parent", "id")
-    arrays = split_packed(load(spark, d, "autosql_records").select("rec_id", "float_array", "a_field_size").distinct(), "float_array", "number", "a_field_size")
-    cols = ["item_pos", "item_text", "n_values", "dialect"]
+    parents = split_packed(load(spark, d, "gff3").select("record_id", "parent").distinct(), "parent", "id", scores=scores)
+    arrays = split_packed(load(spark, d, "autosql_records").select("rec_id", "float_array", "a_field_size").distinct(), "float_array", "number", "a_field_size", scores)
+    cols = ["item_pos", "item_text", "n_values", "dialect", *(["n_parses", "lead_bits"] if scores else [])]
     return parents.select(F.lit("gff3").alias("record_kind"), "record_id", *cols).unionByName(arrays.select(F.lit("autosql").alias("record_kind"), F.col("rec_id").alias("record_id"), *cols))
 
 
@@ -124,8 +124,15 @@ def p4_found(spark, d):
 
 @core.add("p4_dialects")
 def p4_dialects(spark, d):
-    """How often each dialect was the cheapest."""
-    return _packed(spark, d).groupBy("record_kind", "dialect").agg(F.count_distinct("record_id").alias("n_fields"), F.count(F.lit(1)).alias("n_items"))
+    """How often each dialect was the cheapest, how many differing parses were scored for it, and the least and mean lead over the next one in bits."""
+    per = _packed(spark, d, True).groupBy("record_kind", "record_id", "dialect", "n_parses", "lead_bits").agg(F.count(F.lit(1)).alias("n_items"))
+    return per.groupBy("record_kind", "dialect").agg(F.count(F.lit(1)).alias("n_fields"), F.sum("n_items").alias("n_items"), F.count("lead_bits").alias("n_decided_by_bits"), F.sum("n_parses").alias("n_parses"), F.round(F.min("lead_bits"), 3).alias("least_lead_bits"), F.round(F.avg("lead_bits"), 3).alias("mean_lead_bits"))
+
+
+@core.add("p4_sizes", _PACKED.replace("SELECT k AS record_kind, id AS record_id, CAST(i AS INTEGER) AS item_pos, t AS item_text FROM v WHERE t <> '' AND m >= 2", "SELECT k AS record_kind, CAST(m AS INTEGER) AS n_values, count(DISTINCT id) AS n_fields, CAST(max(i) AS INTEGER) AS most_places FROM v WHERE t <> '' GROUP BY k, m"))
+def p4_sizes(spark, d):
+    """How many fields hold how many values, and the last place that has one."""
+    return _packed(spark, d).groupBy("record_kind", "n_values").agg(F.count_distinct("record_id").alias("n_fields"), F.max("item_pos").alias("most_places"))
 
 
 _TREE = r"""

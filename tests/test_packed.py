@@ -66,3 +66,11 @@ def test_numbers(spark):
 @pytest.mark.parametrize("kind", ["id", "number"])
 def test_empty(spark, kind):
     assert split_packed(spark.createDataFrame([], "i int, f string"), "f", kind).count() == 0
+
+
+def test_scores(spark):
+    """Every differing parse is scored, and the winner leads by bits; a parse that breaks the stated size pays for it."""
+    df = spark.createDataFrame([(1, "1,5;2,5", 2), (2, "1,5;2,5", 4), (3, "7", 1)], "i int, f string, n int")
+    got = {r["i"]: (r["dialect"], r["n_parses"], r["lead_bits"]) for r in split_packed(df, "f", "number", "n", scores=True).collect()}
+    assert got[1][:2] == ("semicolon", 4) and got[2][:2] == ("any_mark", 4) and got[3] == ("single", 1, None)
+    assert got[1][2] > 0 and got[2][2] > 0
