@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.operators.skew import salted_join
-from strandloom.session import discard, materialize
+from strandloom.session import discard, materialize, materialize_counting
 
 #: One node in so many is a splitter.
 SPLITTER_EVERY = 16
-#: Rounds of pointer doubling after which a walk is taken to be on a cycle without splitter: 2^12 steps without a splitter have probability e^-264.
-MAX_ROUNDS = 12
-#: Edges of a reduced graph up to which its closure is taken directly.
-CLOSURE_ROWS = 20_000
-#: Rounds in which leaves and roots are peeled off before cycles are searched.
+#: Edges of a graph that one task searches for cycles; a larger graph is reduced first.
+SOLVE_EDGES = 1 << 17
+#: Rounds in which leaves and roots are peeled off before a graph is searched or reduced.
 PEEL_ROUNDS = 4
 
 
@@ -22,134 +23,177 @@ def _is_splitter(c: Column | str, every: int, level: int = 0) -> Column:
     return F.pmod(F.xxhash64(c, F.lit(7 + level)), F.lit(every)) == 0
 
 
-def _empty(df: DataFrame) -> bool:
-    return df.isEmpty()
+def _walk(steps: DataFrame, with_path: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """Walks on until every walk is done, by doubling: (node, stop, dist, top[, path]) and the tables to discard.
+
+    ``steps`` has node, stop, dist, top, done[, path]; a walk that is not done goes on from its stop. Walks open after round r have 2^r
+    steps, so equal walks can only meet in one round, and what is done is not looked at again but as a continuation.
+    """
+    cols = ["node", "stop", "dist", "top", *(["path"] if with_path else [])]
+    counted = {"n": F.count(F.lit(1)), "open": F.count(F.when(~F.col("done"), 1))}
+    now, seen = materialize_counting(steps, "walk", counted)
+    done, used = [now.filter("done")], [now]
+    while seen["open"]:
+        every = now.filter("not done").withColumn("done", F.lit(False))
+        for t in done:
+            every = every.unionByName(t)
+        ahead = every.select(F.col("node").alias("stop"), F.col("stop").alias("s2"), F.col("dist").alias("d2"), F.col("top").alias("t2"), F.col("done").alias("done2"), *([F.col("path").alias("p2")] if with_path else []))
+        moved = salted_join(now.filter("not done"), ahead, "stop", rows=seen["open"])
+        moved = moved.select("node", F.col("s2").alias("stop"), (F.col("dist") + F.col("d2")).alias("dist"), F.col("t2").alias("top"), F.col("done2").alias("done"), *([F.concat("p2", "path").alias("path")] if with_path else []))
+        now, seen = materialize_counting(moved.distinct(), "walk", counted)
+        done.append(now.filter("done"))
+        used.append(now)
+    out = done[0]
+    for t in done[1:]:
+        out = out.unionByName(t)
+    return out.select(*cols), used
+
+
+def _strong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, ring) of the nodes on cycles of one graph, ring naming the strongly connected part; linear in its edges."""
+    up: dict[str, list[str]] = {}
+    for b in batches:
+        for c, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            up.setdefault(c, []).append(p)
+    order: dict[str, int] = {}
+    low: dict[str, int] = {}
+    held: list[str] = []
+    inside: set[str] = set()
+    found: list[tuple[str, str]] = []
+    for start in up:
+        if start in order:
+            continue
+        todo = [(start, iter(up[start]))]
+        order[start] = low[start] = len(order)
+        held.append(start)
+        inside.add(start)
+        while todo:
+            x, rest = todo[-1]
+            for y in rest:
+                if y not in order:
+                    order[y] = low[y] = len(order)
+                    held.append(y)
+                    inside.add(y)
+                    todo.append((y, iter(up.get(y, ()))))
+                    break
+                if y in inside:
+                    low[x] = min(low[x], order[y])
+            else:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[x])
+                if low[x] == order[x]:
+                    part = [held.pop()]
+                    while part[-1] != x:
+                        part.append(held.pop())
+                    inside.difference_update(part)
+                    if len(part) > 1:
+                        ring = "c" + min(part)
+                        found += [(y, ring) for y in part]
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([r for _, r in found], pa.string())], names=["node", "ring"])
+
+
+def _peeled(core: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """Edges left after some rounds of taking off leaves and roots, and their number."""
+    for _ in range(PEEL_ROUNDS):
+        if not n:
+            break
+        left = salted_join(core, core.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi", rows=n)
+        left = left.join(core.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("child", "parent")
+        nxt, seen = materialize_counting(left, "core", {"n": F.count(F.lit(1))})
+        discard(core)
+        core, n, before = nxt, seen["n"], n
+        if n == before:
+            break
+    return core, n
 
 
-def _walk(edges: DataFrame, stops: DataFrame | None, every: int, with_path: bool, max_rounds: int | None = None, level: int = 0) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
-    """Walks every child of ``edges`` (child, parent, top) upwards to its next stops.
+def _coloured(core: DataFrame) -> DataFrame:
+    """(node, ring) of the nodes on cycles of a graph that reduction does not make smaller: every node takes the least node above it as its colour, a colour's own part is what its node reaches within the colour.
 
-    A stop is a splitter, a node without parent in edges (``top``), or one of ``stops`` (column node).
-    Pointers are doubled, so a walk of n steps takes log2(n) joins. Returns the
-    walks (node, stop, dist[, path]), the walks that did not stop within ``max_rounds`` or None, and the
-    tables to discard later. ``path`` holds the nodes from the stop down to the node's parent.
+    One pass over the edges a step; steps are as many as the parts are wide.
     """
-    halt = F.col("top") | _is_splitter("parent", every, level)
-    e = edges
-    if stops is not None:
-        e = e.join(stops.select(F.col("node").alias("parent"), F.lit(True).alias("__s")), "parent", "left")
-        halt = halt | F.coalesce(F.col("__s"), F.lit(False))
-    cols = [F.col("child").alias("node"), F.col("parent").alias("stop"), F.lit(1).cast("int").alias("dist"), halt.alias("done")]
-    if with_path:
-        cols.append(F.array("parent").alias("path"))
-    walk = materialize(e.select(*cols), "walk")
-    used = [walk]
-    for r in range(max_rounds or 10_000):
-        open_ = walk.filter("not done")
-        if _empty(open_):
-            return walk.drop("done"), None, used
-        ahead = walk.select(F.col("node").alias("stop"), F.col("stop").alias("s2"), F.col("dist").alias("d2"), F.col("done").alias("done2"), *([F.col("path").alias("p2")] if with_path else []))
-        cols = ["node", F.col("s2").alias("stop"), (F.col("dist") + F.col("d2")).alias("dist"), F.col("done2").alias("done")]
-        if with_path:
-            cols.append(F.concat("p2", "path").alias("path"))
-        moved = salted_join(open_, ahead, "stop").select(*cols)
-        nxt = materialize(walk.filter("done").unionByName(moved).distinct(), "walk")
-        used.append(nxt)
-        discard(walk)
-        walk = nxt
-    open_ = walk.filter("not done")
-    if _empty(open_):
-        return walk.drop("done"), None, used
-    return walk.filter("done").drop("done"), open_.drop("done"), used
-
-
-def cycle_nodes(edges: DataFrame, every: int = SPLITTER_EVERY, level: int = 0) -> DataFrame:
+    out = None
+    while not core.isEmpty():
+        ends = core.select(F.explode(F.array("child", "parent")).alias("node")).distinct()
+        colour = materialize(ends.select("node", F.col("node").alias("c")), "colour")
+        moving = True
+        while moving:
+            above = salted_join(core.select("child", F.col("parent").alias("node")), colour, "node").groupBy(F.col("child").alias("node")).agg(F.min("c").alias("a"))
+            nxt = colour.join(above, "node", "left").select("node", F.least("c", "a").alias("c"), (F.col("a") < F.col("c")).alias("moved"))
+            nxt, seen = materialize_counting(nxt, "colour", {"n": F.count(F.when(F.col("moved"), 1))})
+            moving, colour = seen["n"] > 0, nxt.select("node", "c")
+        same = core.join(colour.select(F.col("node").alias("child"), "c"), "child")
+        same = salted_join(same, colour.select(F.col("node").alias("parent"), F.col("c").alias("pc")), "parent").filter("c = pc")
+        same = materialize(same.select("child", "parent", "c"), "core")
+        part = materialize(colour.filter("node = c"), "part")
+        fresh = part
+        while True:
+            step = fresh.select(F.col("node").alias("child")).join(same, "child").select(F.col("parent").alias("node"), "c").distinct().join(part.select("node"), "node", "left_anti")
+            fresh, seen = materialize_counting(step, "part", {"n": F.count(F.lit(1))})
+            if not seen["n"]:
+                break
+            part = materialize(part.unionByName(fresh), "part")
+        rings = part.join(part.groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "c").select("node", F.concat(F.lit("c"), "c").alias("ring"))
+        out = rings if out is None else out.unionByName(rings)
+        gone = part.select("node")
+        rest = same.join(gone.withColumnRenamed("node", "child"), "child", "left_anti").join(gone.withColumnRenamed("node", "parent"), "parent", "left_anti")
+        core, _ = _peeled(*(lambda t, m: (t, m["n"]))(*materialize_counting(rest.select("child", "parent"), "core", {"n": F.count(F.lit(1))})))
+    return out if out is not None else core.select(F.col("child").alias("node"), F.col("parent").alias("ring"))
+
+
+def _rings(core: DataFrame, n: int, every: int, solve_edges: int, level: int = 0) -> DataFrame:
+    """(node, ring) of the nodes on cycles of the n distinct edges ``core`` without loops; nodes of one ring have a strongly connected part in common.
+
+    A graph of more than ``solve_edges`` is reduced: nodes with one parent and one child that are no splitters are passed over, so that what is
+    left are splitters and branching nodes, with at most as many edges; every passed stretch keeps its name, and is on a cycle if its ends
+    are on the same. A stretch that never comes to an end is a ring without splitter, on which all nodes are.
+    """
+    core, n = _peeled(core, n)
+    if n <= solve_edges:
+        return core.select("child", "parent").coalesce(1).mapInArrow(_strong, "node string, ring string")
+    ends = core.select(F.explode(F.array(F.struct(F.col("child").alias("node"), F.lit(1).alias("u"), F.lit(0).alias("d")), F.struct(F.col("parent").alias("node"), F.lit(0).alias("u"), F.lit(1).alias("d")))).alias("x"))
+    stops = ends.groupBy("x.node").agg(F.sum("x.u").alias("u"), F.sum("x.d").alias("d"))
+    stops = materialize(stops.select("node", ((F.col("u") != 1) | (F.col("d") != 1) | _is_splitter("node", every, level)).alias("halt")), "stops")
+    e = core.join(stops.select(F.col("node").alias("child"), F.col("halt").alias("from_stop")), "child")
+    e = materialize(salted_join(e, stops.select(F.col("node").alias("parent"), F.col("halt").alias("to_stop")), "parent", rows=n), "core")
+    # Passed-over nodes have one parent and one child each, so no key of these joins is frequent.
+    now, seen = materialize_counting(e.filter("not from_stop").select(F.col("child").alias("node"), F.col("parent").alias("stop"), F.when(F.col("to_stop"), F.col("child")).alias("last"), F.col("to_stop").alias("done")), "walk", {"open": F.count(F.when(~F.col("done"), 1))})
+    open_ = None
+    while seen["open"] and seen["open"] != open_:
+        open_ = seen["open"]
+        ahead = now.select(F.col("node").alias("stop"), F.col("stop").alias("s2"), F.col("last").alias("l2"), F.col("done").alias("done2"))
+        moved = now.filter("not done").join(ahead, "stop").select("node", F.col("s2").alias("stop"), F.col("l2").alias("last"), F.col("done2").alias("done"))
+        nxt, seen = materialize_counting(now.filter("done").unionByName(moved), "walk", {"open": F.count(F.when(~F.col("done"), 1))})
+        discard(now)
+        now = nxt
+    # Lengths of stretches are without gaps, so where a round ends none, the open ones never end.
+    endless = now.filter("not done").select("node", F.lit("r").alias("ring"))
+    onward = now.filter("done").select(F.col("node").alias("parent"), F.col("stop").alias("s2"), "last")
+    hops = e.filter("from_stop").join(onward, "parent", "left").filter("to_stop or s2 is not null").select("child", F.coalesce("s2", "parent").alias("parent"), F.col("last").alias("stretch"))
+    hops = materialize(hops, "hops")
+    reduced, seen = materialize_counting(hops.filter("child <> parent").select("child", "parent").distinct(), "core", {"n": F.count(F.lit(1))})
+    upper = _coloured(reduced) if seen["n"] > 0.9 * n else _rings(reduced, seen["n"], every, solve_edges, level + 1)
+    upper = materialize(upper.unionByName(hops.filter("child = parent").select(F.col("child").alias("node"), F.concat(F.lit("c"), "child").alias("ring")).distinct()).groupBy("node").agg(F.min("ring").alias("ring")), "rings")
+    ring = lambda c: upper.select(F.col("node").alias(c), F.col("ring").alias(f"ring_{c}"))
+    held = hops.filter("stretch is not null").join(ring("child"), "child")
+    held = salted_join(held, ring("parent"), "parent").filter("ring_child = ring_parent").select(F.col("stretch").alias("last"), F.col("ring_child").alias("ring"))
+    passed = now.filter("done").join(held, "last").select("node", "ring")
+    return upper.unionByName(passed).unionByName(endless)
+
+
+def cycle_nodes(edges: DataFrame, every: int = SPLITTER_EVERY, solve_edges: int = SOLVE_EDGES) -> DataFrame:
     """The nodes (column ``node``) on a cycle of ``edges`` (child, parent), self-loops included.
 
-    Leaves and roots are peeled off first, so that shallow forests leave little; what
-    remains is walked from splitter to splitter. Walks that never stop are on or below
-    cycles without a splitter: there, nodes with a smaller hash than one of their parents become splitters as
-    well, of which every cycle has one. A splitter is on a cycle if it is on one of the reduced graph,
-    which is searched in the same way while it is large, else by its closure; other nodes are on a cycle if they
-    lie between two splitters of one component.
+    Leaves and roots are peeled off first, so that shallow forests leave little; what remains is reduced to its splitters and
+    branching nodes until one task can hold it (:func:`_rings`). Every step is linear in the edges.
     """
     loops = edges.filter("child = parent").select(F.col("child").alias("node"))
-    core = materialize(edges.filter("child <> parent").distinct(), "core")
-    size = core.count()
-    for _ in range(PEEL_ROUNDS):
-        if not size:
-            break
-        nxt = core.join(core.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
-        nxt = nxt.join(core.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child", "parent")
-        nxt = materialize(nxt, "core")
-        discard(core)
-        core, left = nxt, nxt.count()
-        if left == size:
-            break
-        size = left
-    if not size:
-        return loops.distinct()
-    children = core.select("child").distinct()
-    # A parent that is no child any more cannot continue a cycle: it ends a walk.
-    topped = materialize(core.join(children.select(F.col("child").alias("parent"), F.lit(False).alias("__t")), "parent", "left").select("child", "parent", F.coalesce("__t", F.lit(True)).alias("top")), "core")
-    walks, stuck, used = _walk(topped, None, every, False, MAX_ROUNDS, level)
-    extra = None
-    if stuck is not None:
-        ring = materialize(stuck.select(F.col("stop").alias("node")).distinct(), "ring")
-        h = lambda c: F.xxhash64(c, F.lit(7 + level))
-        inside = core.join(ring.withColumnRenamed("node", "child"), "child", "left_semi").join(ring.withColumnRenamed("node", "parent"), "parent", "left_semi")
-        extra = materialize(inside.filter(h("child") < h("parent")).select(F.col("child").alias("node")).distinct(), "extra")
-        discard(*used)
-        walks, stuck, used = _walk(topped, extra, every, False, None, level)
-    is_split = _is_splitter("node", every, level)
-    hops = walks.select("node", "stop").distinct()
-    split_hops = hops.filter(is_split)
-    if extra is not None:
-        split_hops = split_hops.unionByName(hops.join(extra, "node", "left_semi")).distinct()
-    # Closure of the reduced graph, doubled: reach(a, b). Of a large one, only what is on its own cycles.
-    reach = materialize(split_hops.select(F.col("node").alias("a"), F.col("stop").alias("b")), "reach")
-    n = reach.count()
-    if n > CLOSURE_ROWS:
-        on = cycle_nodes(reach.select(F.col("a").alias("child"), F.col("b").alias("parent")), every, level + 1)
-        reach = materialize(reach.join(on.withColumnRenamed("node", "a"), "a", "left_semi").join(on.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b"), "reach")
-        n = reach.count()
-    while n:
-        more = salted_join(reach.withColumnRenamed("b", "k"), reach.select(F.col("a").alias("k"), F.col("b").alias("c")), "k").select("a", F.col("c").alias("b"))
-        nxt = materialize(reach.unionByName(more).distinct(), "reach")
-        m = nxt.count()
-        discard(reach)
-        reach, n, grown = nxt, m, m > n
-        if not grown:
-            break
-    ring_splits = materialize(reach.filter("a = b").select(F.col("a").alias("node")), "rings")
-    if _empty(ring_splits):
-        return loops.distinct()
-    # Node v is on a cycle iff a ring splitter s reaches v before the next splitter and v's next splitter reaches s.
-    back = reach.join(ring_splits.select(F.col("node").alias("b")), "b", "left_semi")
-    onward = hops.join(back.select(F.col("a").alias("stop"), F.col("b").alias("s")), "stop").select("node", "s")
-    onward = materialize(onward.unionByName(hops.join(ring_splits.select(F.col("node").alias("stop")), "stop", "left_semi").select("node", F.col("stop").alias("s"))).distinct(), "onward")
-    # Steps up from ring splitters, until the next stop.
-    halts = ring_splits.select(F.col("node").alias("parent"), F.lit(True).alias("__h"))
-    at = materialize(ring_splits.select(F.col("node").alias("s"), F.col("node").alias("child")), "at")
-    found = [ring_splits]
-    tables = []
-    seen = at
-    while True:
-        step = at.join(core, "child").select("s", "parent").join(halts, "parent", "left").filter(F.col("__h").isNull() & ~_is_splitter("parent", every, level)).select("s", F.col("parent").alias("child")).distinct()
-        step = materialize(step.join(seen, ["s", "child"], "left_anti"), "at")
-        tables.append(step)
-        if _empty(step):
-            break
-        seen = seen.unionByName(step)
-        found.append(step.select(F.col("child").alias("node"), "s").join(onward, ["node", "s"], "left_semi").select("node"))
-        at = step
-    out = loops
-    for f in found:
-        out = out.unionByName(f)
-    return materialize(out.distinct(), "cycles")
+    core, seen = materialize_counting(edges.filter("child <> parent").select("child", "parent").distinct(), "core", {"n": F.count(F.lit(1))})
+    return loops.unionByName(_rings(core, seen["n"], every, solve_edges).select("node")).distinct()
 
 
-def hierarchy(nodes: DataFrame, edges: DataFrame, with_path: bool = False, every: int = SPLITTER_EVERY) -> tuple[DataFrame, DataFrame]:
+def hierarchy(nodes: DataFrame, edges: DataFrame, with_path: bool = False, every: int = SPLITTER_EVERY, solve_edges: int = SOLVE_EDGES) -> tuple[DataFrame, DataFrame]:
     """(one row per node, root and path length; nodes on cycles).
 
     ``nodes`` has the column ``node``, ``edges`` the columns ``child``, ``parent``; edges with an end that is
@@ -161,45 +205,32 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, with_path: bool = False, every
     Deterministic hash splitters cut the paths; every node is walked to its next splitter or root,
     the reduced graph of splitters is solved by doubling, and the pieces are joined to exact paths.
     """
-    nodes = materialize(nodes.filter("node is not null").select("node").distinct(), "nodes")
-    e = materialize(edges.filter("child is not null and parent is not null").select("child", "parent").distinct(), "given")
-    e = salted_join(e, nodes.withColumnRenamed("node", "parent"), "parent", "left_semi")
-    e = materialize(e.join(nodes.withColumnRenamed("node", "child"), "child", "left_semi").select("child", "parent"), "edges")
-    cyc = cycle_nodes(e, every)
-    any_cycle = not _empty(cyc)
-    kids = e.select("child").distinct()
-    roots = nodes.join(kids.withColumnRenamed("child", "node"), "node", "left_anti")
-    clean = e
-    if any_cycle:
-        clean = salted_join(clean, cyc.withColumnRenamed("node", "parent"), "parent", "left_anti").select("child", "parent")
-        clean = clean.join(cyc.withColumnRenamed("node", "child"), "child", "left_anti").select("child", "parent")
-    # A node that lost all its parents to cycles ends walks as a root does, but is none.
-    tops = roots.select("node", F.lit(True).alias("root"))
-    if any_cycle:
-        lost = e.select(F.col("child").alias("node")).distinct().join(clean.select(F.col("child").alias("node")).distinct(), "node", "left_anti")
-        tops = tops.unionByName(lost.select("node", F.lit(False).alias("root")))
-    tops = materialize(tops, "tops")
-    marked = salted_join(clean, tops.select(F.col("node").alias("parent"), F.col("root")), "parent", "left")
-    marked = marked.filter("root is null or root").select("child", "parent", F.coalesce("root", F.lit(False)).alias("top"))
-    marked = materialize(marked, "edges")
-    walks, _, _ = _walk(marked, None, every, with_path)
+    count = {"n": F.count(F.lit(1))}
+    nodes = materialize(nodes.filter("node is not null").select(F.col("node").cast("string")).distinct(), "nodes")
+    given, seen = materialize_counting(edges.filter("child is not null and parent is not null").select("child", "parent").distinct(), "given", count)
+    e = salted_join(given, nodes.withColumnRenamed("node", "parent"), "parent", "left_semi", rows=seen["n"])
+    e, seen = materialize_counting(e.join(nodes.withColumnRenamed("node", "child"), "child", "left_semi").select("child", "parent"), "edges", count)
+    n = seen["n"]
+    cyc, seen = materialize_counting(cycle_nodes(e, every, solve_edges), "cycles", count)
+    clean = e.withColumn("clean", F.lit(True))
+    if seen["n"]:
+        on = lambda c, t: cyc.select(F.col("node").alias(c), F.lit(True).alias(t))
+        clean = salted_join(e, on("parent", "__p"), "parent", "left", rows=n).join(on("child", "__c"), "child", "left")
+        clean = materialize(clean.select("child", "parent", (F.col("__p").isNull() & F.col("__c").isNull()).alias("clean")), "edges")
+    # A root has no parent; a node that lost all its parents to cycles ends walks as a root does, but is none.
+    kids = clean.groupBy(F.col("child").alias("node")).agg(F.max("clean").alias("clean"))
+    state = materialize(nodes.join(kids, "node", "left").select("node", F.col("clean").isNull().alias("root"), (~F.coalesce("clean", F.lit(True))).alias("lost")), "state")
+    marked = salted_join(clean.filter("clean").select("child", "parent"), state.select(F.col("node").alias("parent"), "root", "lost"), "parent", rows=n).filter("not lost")
     path = ["path"] if with_path else []
-    is_top = roots.select(F.col("node").alias("stop"), F.lit(True).alias("top"))
-    # Splitters alone, doubled to their roots; a stop that is neither root nor left with parents leads nowhere.
-    reduced = walks.filter(_is_splitter("node", every)).join(is_top, "stop", "left").select("node", "stop", "dist", F.coalesce("top", F.lit(False)).alias("done"), *path)
-    reduced = materialize(reduced, "reduced")
-    while not _empty(reduced.filter("not done")):
-        ahead = reduced.select(F.col("node").alias("stop"), F.col("stop").alias("s2"), F.col("dist").alias("d2"), F.col("done").alias("done2"), *([F.col("path").alias("p2")] if with_path else []))
-        cols = ["node", F.col("s2").alias("stop"), (F.col("dist") + F.col("d2")).alias("dist"), F.col("done2").alias("done"), *([F.concat("p2", "path").alias("path")] if with_path else [])]
-        nxt = materialize(reduced.filter("done").unionByName(salted_join(reduced.filter("not done"), ahead, "stop").select(*cols)).distinct(), "reduced")
-        discard(reduced)
-        reduced = nxt
-    ends = walks.join(is_top, "stop", "left")
-    direct = ends.filter("top").select("node", F.col("stop").alias("root"), F.col("dist").alias("depth"), *path)
-    solved = reduced.select(F.col("node").alias("stop"), F.col("stop").alias("root"), F.col("dist").alias("d2"), *([F.col("path").alias("p2")] if with_path else []))
-    via = salted_join(ends.filter("top is null").drop("top"), solved, "stop").select("node", "root", (F.col("dist") + F.col("d2")).alias("depth"), *([F.concat("p2", "path").alias("path")] if with_path else []))
-    selves = roots.select("node", F.col("node").alias("root"), F.lit(0).cast("int").alias("depth"), *([F.expr("cast(array() as array<string>)").alias("path")] if with_path else []))
-    out = direct.unionByName(via).unionByName(selves).distinct()
+    first = marked.select(F.col("child").alias("node"), F.col("parent").alias("stop"), F.lit(1).cast("int").alias("dist"), F.col("root").alias("top"), (F.col("root") | _is_splitter("parent", every)).alias("done"), *([F.array("parent").alias("path")] if with_path else []))
+    walks, _ = _walk(first, with_path)
+    # Splitters alone, doubled to their roots.
+    solved, _ = _walk(walks.filter(_is_splitter("node", every)).withColumn("done", F.col("top")), with_path)
+    direct = walks.filter("top").select("node", F.col("stop").alias("root"), F.col("dist").alias("depth"), *path)
+    onward = solved.select(F.col("node").alias("stop"), F.col("stop").alias("root"), F.col("dist").alias("d2"), *([F.col("path").alias("p2")] if with_path else []))
+    via = salted_join(walks.filter("not top").drop("top"), onward, "stop").select("node", "root", (F.col("dist") + F.col("d2")).alias("depth"), *([F.concat("p2", "path").alias("path")] if with_path else []))
+    selves = state.filter("root").select("node", F.col("node").alias("root"), F.lit(0).cast("int").alias("depth"), *([F.expr("cast(array() as array<string>)").alias("path")] if with_path else []))
+    out = direct.unionByName(via).distinct().unionByName(selves)
     if with_path:
         out = out.withColumn("path", F.concat("path", F.array("node")))
     return out, cyc

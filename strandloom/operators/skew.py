@@ -5,29 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A left key with at least this share of the rows is salted; there are at most 1 / share such keys.
-HEAVY_SHARE = 0.002
-SALTS = 32
+#: Rows of one key that one task may have; a more frequent key is spread over as many tasks as it takes.
+TASK_ROWS = 500_000
+#: Most keys that are spread. Where more would be, which takes a left side of at least this many times as many rows, only the most frequent are.
+SPREAD_KEYS = 200_000
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", heavy_share: float = HEAVY_SHARE, salts: int = SALTS, least_rows: int = 200_000) -> DataFrame:
-    """Equi-join on the column ``key`` of both sides; frequent keys of ``left`` are spread over ``salts`` tasks.
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", task_rows: int = TASK_ROWS, rows: int | None = None) -> DataFrame:
+    """Equi-join on the column ``key`` of both sides; keys of ``left`` with more than ``task_rows`` rows are spread over tasks.
 
-    Keys with at least ``heavy_share`` of the left rows (and ``least_rows``, below which nothing can be
-    skewed enough to matter) are found by a pre-aggregated count; their number is bounded by
-    1 / heavy_share, so they are broadcast. Their rows on the right are repeated once per salt.
+    Such keys are found by a pre-aggregated count; at most ``left`` / task_rows of them, and at most :data:`SPREAD_KEYS`, exist, so
+    they are broadcast, each with the number of salts that its rows take. Their rows on the right are repeated once per salt. ``rows``
+    is the number of left rows, where it is known: without more than ``task_rows`` of them, nothing is counted.
     The salt is a hash of the left row, so that a repeated task gives the same rows.
     Null keys match nothing. ``how`` is inner, left, left_semi or left_anti. No row is dropped.
     """
+    if rows is not None and rows <= task_rows:
+        return left.join(right, key, how)
     counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
     seen = counts.agg(F.sum("__n").alias("n"), F.max("__n").alias("top")).collect()[0]
     total, top = seen["n"] or 0, seen["top"] or 0
-    floor = max(least_rows, heavy_share * total)
-    if top < floor:
+    floor = max(task_rows, total // SPREAD_KEYS)
+    if top <= floor:
         return left.join(right, key, how)
-    heavy = F.broadcast(counts.filter(F.col("__n") >= floor).filter(F.col(key).isNotNull()).select(F.col(key).alias("__hk")))
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int")
-    l = left.join(heavy, F.col(key) == F.col("__hk"), "left").withColumn("__salt", F.when(F.col("__hk").isNotNull(), salt).otherwise(F.lit(0))).drop("__hk")
+    heavy = F.broadcast(counts.filter(F.col("__n") > floor).filter(F.col(key).isNotNull()).select(F.col(key).alias("__hk"), F.ceil(F.col("__n") / floor).cast("int").alias("__of")))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.col("__of")).cast("int")
+    l = left.join(heavy, F.col(key) == F.col("__hk"), "left").withColumn("__salt", F.coalesce(salt, F.lit(0))).drop("__hk", "__of")
     r = right.join(heavy, F.col(key) == F.col("__hk"), "left")
-    r = r.withColumn("__salt", F.explode(F.when(F.col("__hk").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("__hk")
+    r = r.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__of", F.lit(1)) - 1))).drop("__hk", "__of")
     return l.join(r, [key, "__salt"], how).drop("__salt")

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def get_spark(master: str = "local[*]", **conf: str) -> SparkSession:
@@ -57,6 +57,13 @@ def materialize(df: DataFrame, label: str = "t", partition_by: list[str] | None
     return out
 
 
+def materialize_counting(df: DataFrame, label: str, counts: dict[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`materialize`, with aggregates over the rows taken while they are written: no second job."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *[c.alias(n) for n, c in counts.items()]), label)
+    return out, seen.get
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of :func:`materialize` that no result reads any more."""
     for t in tables:

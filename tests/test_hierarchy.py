@@ -1,5 +1,8 @@
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from strandloom.operators.hierarchy import cycle_nodes, descendants, hierarchy
 from strandloom.operators.skew import salted_join
 
@@ -62,10 +65,29 @@ def test_deep_chain_and_rings(spark):
     assert {x["node"] for x in cyc.collect()} == on
 
 
-def test_rings_without_splitters(spark):
-    ring = [(f"r{i}", f"r{(i + 1) % 5}") for i in range(5)] + [("x", "y"), ("y", "x"), ("x", "r0")]
-    got = cycle_nodes(spark.createDataFrame(ring, "child string, parent string"), every=1 << 30)
-    assert {r["node"] for r in got.collect()} == {"r0", "r1", "r2", "r3", "r4", "x", "y"}
+@pytest.mark.parametrize("solve_edges", [2, 1000])
+def test_rings_without_splitters(spark, solve_edges):
+    ring = [(f"r{i}", f"r{(i + 1) % 5}") for i in range(5)] + [("x", "y"), ("y", "x"), ("x", "r0")] + [(f"s{i}", f"s{(i + 1) % 7}") for i in range(7)]
+    got = cycle_nodes(spark.createDataFrame(ring, "child string, parent string"), every=1 << 30, solve_edges=solve_edges)
+    assert {r["node"] for r in got.collect()} == {x for e in ring for x in e}
+
+
+def test_reduction_against_brute_force(spark):
+    """Graphs far above the edges that one task solves: reduced by splitters, or coloured where that makes them no smaller."""
+    r = random.Random(8)
+    for dense in (False, True):
+        edges = [(f"n{r.randrange(60)}", f"n{r.randrange(60)}") for _ in range(150 if dense else 66)]
+        edges += [] if dense else [(f"q{i}", f"q{i + 1}") for i in range(30)] + [("q30", "q4"), ("n1", "q0")]
+        _, ring, _ = brute({x for e in edges for x in e}, edges)
+        got = cycle_nodes(spark.createDataFrame(sorted(set(edges)), "child string, parent string"), every=4, solve_edges=5)
+        assert {x["node"] for x in got.collect()} == ring
+
+
+def test_one_large_ring(spark):
+    """Ten thousand nodes in one ring, of which a task holds a hundred: each reduction leaves fewer, nothing grows."""
+    n = 10_000
+    ring = spark.range(n).select(F.format_string("k%05d", "id").alias("child"), F.format_string("k%05d", (F.col("id") + 1) % n).alias("parent"))
+    assert cycle_nodes(ring, solve_edges=100).count() == n
 
 
 def test_hub_and_descendants(spark):
@@ -85,6 +107,6 @@ def test_salted_join(spark):
     left = spark.createDataFrame([(0 if i % 3 == 0 else i, i) for i in range(300)] + [(None, -1)], "k int, v int")
     right = spark.createDataFrame([(i, f"w{i}") for i in range(0, 300, 2)] + [(0, "again")], "k int, w string")
     for how in ("inner", "left", "left_semi", "left_anti"):
-        a = salted_join(left, right, "k", how, least_rows=10, salts=4)
+        a = salted_join(left, right, "k", how, task_rows=30)
         b = left.join(right, "k", how)
         assert sorted(map(tuple, a.select(sorted(a.columns)).collect()), key=str) == sorted(map(tuple, b.select(sorted(b.columns)).collect()), key=str)
