@@ -50,8 +50,8 @@ def count_tokens(docs: DataFrame, text: str, path: str = f"{TOKENIZERS}/{VOCABUL
     return docs.select(*kept, text).mapInArrow(f, schema)
 
 
-def solve_rates(cells: DataFrame, wanted: dict[str, float], caps: dict[str, int]) -> dict[str, tuple[float, float]]:
-    """Per source (multiplier, mean size): a document of t tokens gets the rate min(cap, exp(multiplier * t / mean)).
+def solve_rates(cells: DataFrame, wanted: dict[str, float], caps: dict[str, int]) -> dict[str, tuple[float, float, bool]]:
+    """Per source (multiplier, mean size, whether the steps converged): a document of t tokens gets the rate min(cap, exp(multiplier * t / mean)).
 
     ``cells`` has source, tokens, n. Rates are as near as possible to one each in relative entropy, under the
     constraint that a source's expected tokens are ``wanted``: the dual has one multiplier per source and is solved by
@@ -87,7 +87,7 @@ def solve_rates(cells: DataFrame, wanted: dict[str, float], caps: dict[str, int]
             if not low[s] < step < high[s] or abs(step - lam[s]) > 5:
                 step = (low[s] + high[s]) / 2 if math.isfinite(low[s]) and math.isfinite(high[s]) else lam[s] + math.copysign(1.0, -g)
             lam[s] = step
-    return {s: (v, means.get(s, 1.0)) for s, v in (done | lam).items()}
+    return {s: (v, means.get(s, 1.0), s in done) for s, v in (done | lam).items()}
 
 
 def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", total_tokens: int | None = None, tokenizer: str = f"{TOKENIZERS}/{VOCABULARY}") -> tuple[DataFrame, DataFrame]:
@@ -100,7 +100,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", total_
     under the repeat limits; with it, a source too small for its share gives all it may.
 
     Documents of a source that is no target, or null, and texts of no tokens are left out of the mixture; a source named
-    twice in ``targets`` counts once (largest share). Rates from :func:`solve_rates` are rounded by systematic sampling over
+    twice in ``targets`` counts once (largest share). ``converged`` in the report is false for a source whose multiplier is not within the
+    tolerance after :data:`NEWTON_STEPS`. Rates from :func:`solve_rates` are rounded by systematic sampling over
     the documents of a source in order of size, so that a source misses its tokens by less than two documents.
     """
     goal = targets.filter("source is not null and target_share is not null").select(source_name("source").alias("source"), F.col("target_share").alias("target_share"), F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("max_repeats"))
@@ -119,7 +120,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", total_
     wanted = {s: min(total * usable[s][0] / scale, room[s]) for s in usable}
     rates = solve_rates(cells, wanted, {s: usable[s][1] for s in usable}) if usable else {}
     spark = docs.sparkSession
-    plan = spark.createDataFrame([(s, float(v), float(m), int(usable[s][1])) for s, (v, m) in rates.items()], "source string, lam double, mean double, cap int")
+    plan = spark.createDataFrame([(s, float(v), float(m), int(usable[s][1])) for s, (v, m, _) in rates.items()], "source string, lam double, mean double, cap int")
     rate = F.when(F.col("lam") == math.inf, F.col("cap").cast("double")).when(F.col("lam") == -math.inf, 0.0).otherwise(F.least(F.exp(F.least(F.col("lam") * F.col("tokens") / F.col("mean"), F.lit(50.0))), F.col("cap").cast("double")))
     bucket = F.pmod(F.xxhash64(F.col("key")), F.lit(RANK_BUCKETS)).cast("int")
     # Offsets of systematic sampling: over sizes, then over the buckets of a size, then over its documents.
@@ -137,9 +138,9 @@ def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", total_
     mixture = docs_out.select(F.col("key").alias(key), "source", "tokens", (F.floor("rate") + extra).cast("int").alias("n_copies")).filter("n_copies > 0")
     mixture = materialize(mixture, "mixture")
     got = mixture.groupBy("source").agg(F.sum(F.col("tokens") * F.col("n_copies")).alias("mixture_tokens"), F.count(F.lit(1)).alias("n_docs"), F.sum("n_copies").alias("n_copies"), F.max("n_copies").alias("most_copies"))
-    report = spark.createDataFrame([(s, float(v[0]), int(v[1]), int(have.get(s, (0, 0))[0])) for s, v in goals.items()], "source string, target_share double, max_repeats int, available_tokens bigint")
+    report = spark.createDataFrame([(s, float(v[0]), int(v[1]), int(have.get(s, (0, 0))[0]), rates[s][2] if s in rates else True) for s, v in goals.items()], "source string, target_share double, max_repeats int, available_tokens bigint, converged boolean")
     whole = got.select(F.sum("mixture_tokens")).scalar()
     report = report.join(F.broadcast(got), "source", "left").select(
-        "source", "target_share", "max_repeats", "available_tokens", F.coalesce("mixture_tokens", F.lit(0)).alias("mixture_tokens"), F.coalesce(F.try_divide(F.col("mixture_tokens").cast("double"), whole), F.lit(0.0)).alias("reached_share"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"), F.coalesce("most_copies", F.lit(0)).alias("most_copies")
+        "source", "target_share", "max_repeats", "available_tokens", F.coalesce("mixture_tokens", F.lit(0)).alias("mixture_tokens"), F.coalesce(F.try_divide(F.col("mixture_tokens").cast("double"), whole), F.lit(0.0)).alias("reached_share"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "converged"
     )
     return mixture, report

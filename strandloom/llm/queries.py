@@ -69,7 +69,7 @@ def _reads(spark, d):
 
 @llm.add("p3_found", _RUNS + "SELECT lane_id, first_seq_no, last_seq_no FROM g WHERE n_reads >= 2")
 def p3_found(spark, d):
-    return collapse_runs(_reads(spark, d), time=None, least=2).select("lane_id", "first_seq_no", "last_seq_no")
+    return collapse_runs(_reads(spark, d), least=2).select("lane_id", "first_seq_no", "last_seq_no")
 
 
 @llm.add("p3_events", _RUNS + "SELECT lane_id, first_seq_no, last_seq_no, n_reads, duration_us FROM g")
@@ -111,6 +111,29 @@ def p9_shares(spark, d):
     return mix_sources(load(spark, d, "documents"), load(spark, d, "mix_targets"))[1]
 
 
+@llm.add(
+    "p9_limits",
+    """WITH t AS (SELECT lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')) AS source, max(target_share) AS target_share, max(max_repeats) AS max_repeats FROM mix_targets GROUP BY 1),
+n AS (SELECT lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')) AS source, count(*) AS n FROM documents WHERE text <> '' GROUP BY 1),
+u AS (SELECT sum(target_share) AS s FROM t JOIN n USING (source))
+SELECT source, target_share, max_repeats, round(CASE WHEN n.n IS NULL THEN 0 ELSE target_share / s END, 9) AS wanted_share, TRUE AS share_met, TRUE AS caps_held, TRUE AS converged FROM t LEFT JOIN n USING (source) CROSS JOIN u""",
+)
+def p9_limits(spark, d):
+    """What the mixture must keep to: the share of each source, to within two documents of its largest size a copy, and the cap on copies.
+
+    Sources without documents have nothing to give; the others share what they miss in proportion.
+    """
+    mixture, report = mix_sources(load(spark, d, "documents"), load(spark, d, "mix_targets"))
+    largest = mixture.groupBy("source").agg(F.max("tokens").alias("largest"))
+    whole, usable = (report.agg(c.alias("x")).scalar() for c in (F.sum("mixture_tokens"), F.sum(F.when(F.col("available_tokens") > 0, F.col("target_share")))))
+    wanted = F.when(F.col("available_tokens") > 0, F.col("target_share") / usable).otherwise(0.0)
+    # Every source may miss by two documents, so the whole may differ by as much for each of them.
+    slack = 2 * F.coalesce("largest", F.lit(0)) + wanted * 2 * largest.agg(F.sum("largest").alias("x")).scalar()
+    return report.join(largest, "source", "left").select(
+        "source", "target_share", "max_repeats", F.round(wanted, 9).alias("wanted_share"), (F.abs(F.col("mixture_tokens") - wanted * whole) <= slack).alias("share_met"), (F.col("most_copies") <= F.col("max_repeats")).alias("caps_held"), "converged"
+    )
+
+
 @llm.add("p10_found")
 def p10_found(spark, d):
     return detect_truncated(load(spark, d, "documents")).filter("cut").select("doc_id").distinct()

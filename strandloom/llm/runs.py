@@ -8,6 +8,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.session import materialize
+
 #: Sequence numbers per chunk; bounds what one task sorts and holds at a time.
 CHUNK = 1 << 15
 _NONE = np.iinfo(np.int64).min
@@ -93,7 +95,8 @@ def collapse_runs(
     rows = rows.filter("seq is not null and s is not null and e is not null").withColumn("chunk", F.floor(F.col("seq") / chunk))
     lane = dict(rows.dtypes)["lane"]
     schema = f"lane {lane}, chunk long, first_seq long, last_seq long, n long, t0 long, t1 long, is_first boolean, is_last boolean, chrom string, strand string, s0 long, e0 long, s1 long, e1 long"
-    parts = rows.groupBy("lane", "chunk").applyInArrow(_chunk_runs(least, tolerance), schema)
+    # Written once: inner runs and those at the borders are two branches, each of which would scan and shuffle all rows.
+    parts = materialize(rows.groupBy("lane", "chunk").applyInArrow(_chunk_runs(least, tolerance), schema), "runs")
     inner = parts.filter("not is_first and not is_last")
     w = Window.partitionBy("lane").orderBy("chunk", "first_seq")
     before = lambda c: F.lag(c).over(w)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -220,16 +221,21 @@ def thresholds(histogram: list[tuple[str, float, int]], least: int = 200, defaul
     return {g: limit(h) if sum(h.values()) >= least else common for g, h in groups.items()}
 
 
-def detect_truncated(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
-    """Every document with text: ``key``, ``lang_group``, ``log_odds``, ``limit``, ``marked`` (debris of a cut at the end) and ``cut``.
+def detect_truncated(docs: DataFrame, text: str | list[str] = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
+    """Every document with text: ``key``, ``column``, ``lang_group``, ``log_odds``, ``limit``, ``marked`` (debris of a cut at the end) and ``cut``.
+
+    Of several text columns, each has its own model and limits; a document has a row for each of them in which it has text.
 
     A backward character n-gram model is trained over all texts; a text is cut if the log-odds of stopping
-    after its last context (debris of the cut taken off) lie under the limit of its language. Null texts
+    after its last context (debris of the cut taken off) lie under the limit of its language and column. Null texts
     are left out; texts that are empty or blank are not cut. ``key`` need not be unique or non-null; other
     columns are not looked at. Texts of any length are trained on whole. Contexts that texts end with are counted
     exactly, by 64-bit hashes: at most orders * documents of them, joined to the ends. Only a filter of bounded
     size (:data:`FILTER_BITS_MOST`) passes the driver.
     """
+    if not isinstance(text, str):
+        out = [detect_truncated(docs, c, lang, key) for c in text]
+        return reduce(DataFrame.unionByName, out)
     ends = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), language_group(F.col(lang)).alias("lang_group"), F.substring(F.col(text), -2 * TAIL, 2 * TAIL).alias("end"))
     tails = ends.select("key", "lang_group", F.col("end").rlike(_MARK).alias("marked"), (~F.col("end").rlike(_DEBRIS)).alias("own_stop"), F.substring(F.regexp_replace("end", _DEBRIS, ""), -TAIL, TAIL).alias("tail"))
     kind = tails.schema["key"].dataType.simpleString()
@@ -252,4 +258,4 @@ def detect_truncated(docs: DataFrame, text: str = "text", lang: str = "lang", ke
     # Language groups are codes of two letters, so this is a table of bounded size.
     limits = thresholds([(r["lang_group"], r["x"] / 2, r["n"]) for r in bins.collect()])
     table = F.create_map(*[F.lit(x) for g, v in limits.items() for x in (g, v)]) if limits else F.expr("map('', double(0))")
-    return scored.withColumn("limit", F.element_at(table, F.col("lang_group"))).withColumn("cut", F.col("log_odds") < F.col("limit")).withColumnRenamed("key", key)
+    return scored.withColumn("limit", F.element_at(table, F.col("lang_group"))).withColumn("cut", F.col("log_odds") < F.col("limit")).select(F.col("key").alias(key), F.lit(text).alias("column"), "lang_group", "log_odds", "limit", "marked", "cut")

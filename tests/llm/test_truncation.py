@@ -73,3 +73,12 @@ def test_limit_from_the_distribution():
     # Narrow complete texts: the limit comes close to them. Nothing cut: the spread of complete texts makes no limit among them.
     assert -6 < thresholds([*complete, ("en", -1.0, 5000), ("en", -2.0, 50), ("en", -20.0, 3000)])["en"] < -1
     assert thresholds([*complete, ("en", -1.0, 500)])["en"] == -8.0
+
+
+def test_columns(spark):
+    """Each text column has its own model and limits."""
+    docs, cut = corpus(6)
+    df = spark.createDataFrame([(i, t, "en", "No. 7.\nEnd of claim.") for i, t, _, _ in docs], SCHEMA)
+    got = detect_truncated(df, ["text", "cut"]).groupBy("column").sum().collect()
+    found = {(r["column"], r["doc_id"]) for r in detect_truncated(df, ["text", "cut"]).filter("cut").collect()}
+    assert len(got) == 2 and {c for c, _ in found} == {"text"} and len({d for _, d in found} & cut) >= 0.93 * len(cut)
