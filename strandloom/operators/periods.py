@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.session import materialize
+
 #: Coordinates per bucket. A group has at most (its coordinate range / this) buckets, however many rows it has.
 BUCKET_WIDTH = 1 << 20
 
@@ -42,6 +44,8 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, bucke
         .groupBy(*k, "b", "isle")
         .agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max("smax").alias("smax"), F.min("emin").alias("emin"), F.sum("n").alias("n"))
     )
+    # Both branches below read the islands, which are written once instead of being built twice.
+    isles = materialize(isles, "isles")
     # What a bucket must know of the others: greatest end and last period's start before it, first start after it.
     over = Window.partitionBy(*k).orderBy("b")
     before = over.rowsBetween(Window.unboundedPreceding, -1)

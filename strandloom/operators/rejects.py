@@ -39,7 +39,8 @@ def parse_axt_lines(lines: DataFrame, line: str = "raw_line") -> DataFrame:
     ``columns``, ``value`` that applies, null for valid rows. Null and blank lines and comments
     (``#`` at the start) are left out. All other columns of ``lines`` are kept, those
     called ``fields``, ``errors`` or ``fail_reason`` excepted. Numbers above 38 digits count as ``value``
-    errors; a valid number above the range of bigint is null in the typed struct.
+    errors. A valid number that bigint cannot hold is null in its column and kept as text in ``wide`` of the typed struct (``name=text``, by
+    semicolons; null where there is none).
     Row-local: no shuffle, no Python.
     """
     keep = [c for c in lines.columns if c not in ("fields", "errors", "fail_reason")]
@@ -67,12 +68,9 @@ def parse_axt_lines(lines: DataFrame, line: str = "raw_line") -> DataFrame:
         rules[f"{side} bases"] = bases != num[b] - num[a] + 1
     broken = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]))
     errors = F.when(~F.col("__q"), F.array(F.lit("quoting"))).when(F.col("__n") != len(AXT_FIELDS), F.array(F.lit("columns"))).otherwise(broken)
-    typed = F.struct(
-        *[
-            (g[n].try_cast("bigint") if n in ("aln_no", "tStart", "tEnd", "qStart", "qEnd", "score", "symCount") else g[n]).alias(n)
-            for n in AXT_FIELDS
-        ]
-    )
+    numbers = ("aln_no", "tStart", "tEnd", "qStart", "qEnd", "score", "symCount")
+    too_wide = F.array_compact(F.array(*[F.when((g[n] != "") & g[n].try_cast("bigint").isNull(), F.concat(F.lit(f"{n}="), g[n])) for n in numbers]))
+    typed = F.struct(*[(g[n].try_cast("bigint") if n in numbers else g[n]).alias(n) for n in AXT_FIELDS], F.when(F.size(too_wide) > 0, F.array_join(too_wide, ";")).alias("wide"))
     return (
         once(df, "errors", errors)
         .withColumn("fail_reason", F.when(~F.col("__q"), "quoting").when(F.col("__n") != len(AXT_FIELDS), "columns").when(F.size("errors") > 0, "value"))
@@ -84,5 +82,5 @@ def parse_axt_lines(lines: DataFrame, line: str = "raw_line") -> DataFrame:
 def split_rejects(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid rows with typed columns, rejected rows with errors and fail_reason) of :func:`parse_axt_lines`."""
     ok = parsed.filter(F.size("errors") == 0)
-    rest = [c for c in parsed.columns if c not in ("fields", "errors", "fail_reason") and c not in AXT_FIELDS]
+    rest = [c for c in parsed.columns if c not in ("fields", "errors", "fail_reason") and c not in (*AXT_FIELDS, "wide")]
     return ok.select(*rest, "fields.*"), parsed.filter(F.size("errors") > 0).drop("fields")

@@ -10,6 +10,7 @@ from strandloom.operators.packed import split_packed
 from strandloom.operators.periods import periods_and_gaps
 from strandloom.operators.rejects import parse_axt_lines, split_rejects
 from strandloom.plans.registry import Registry
+from strandloom.session import materialize
 from strandloom.tables import load, percent_decoded, with_reported_chrom
 
 core = Registry()
@@ -60,7 +61,7 @@ r AS (SELECT raw_id, f, CASE WHEN NOT q THEN 'quoting' WHEN len(f) <> 12 THEN 'c
 
 
 def _axt(spark, d):
-    return parse_axt_lines(load(spark, d, "axt_lines").select("raw_id", "raw_line").distinct())
+    return parse_axt_lines(load(spark, d, "axt_lines").select("raw_id", "raw_line"))
 
 
 @core.add("p5_found", _AXT + "SELECT raw_id, fail_reason FROM r WHERE fail_reason IS NOT NULL")
@@ -68,11 +69,12 @@ def p5_found(spark, d):
     return split_rejects(_axt(spark, d))[1].select("raw_id", "fail_reason").distinct()
 
 
-@core.add("p5_valid", _AXT + """SELECT raw_id, CAST(f[1] AS BIGINT) AS aln_no, f[2] AS tName, CAST(f[3] AS BIGINT) AS tStart, CAST(f[4] AS BIGINT) AS tEnd, f[5] AS qName, CAST(f[6] AS BIGINT) AS qStart, CAST(f[7] AS BIGINT) AS qEnd,
- f[8] AS qStrand, TRY_CAST(f[9] AS BIGINT) AS score, CAST(f[10] AS BIGINT) AS symCount, f[11] AS tSym, f[12] AS qSym FROM r WHERE fail_reason IS NULL""")
+@core.add("p5_valid", _AXT + """SELECT raw_id, TRY_CAST(f[1] AS BIGINT) AS aln_no, f[2] AS tName, TRY_CAST(f[3] AS BIGINT) AS tStart, TRY_CAST(f[4] AS BIGINT) AS tEnd, f[5] AS qName, TRY_CAST(f[6] AS BIGINT) AS qStart, TRY_CAST(f[7] AS BIGINT) AS qEnd,
+ f[8] AS qStrand, TRY_CAST(f[9] AS BIGINT) AS score, TRY_CAST(f[10] AS BIGINT) AS symCount, f[11] AS tSym, f[12] AS qSym,
+ nullif(concat_ws(';', CASE WHEN TRY_CAST(f[1] AS BIGINT) IS NULL THEN 'aln_no=' || f[1] END, CASE WHEN TRY_CAST(f[3] AS BIGINT) IS NULL THEN 'tStart=' || f[3] END, CASE WHEN TRY_CAST(f[4] AS BIGINT) IS NULL THEN 'tEnd=' || f[4] END, CASE WHEN TRY_CAST(f[6] AS BIGINT) IS NULL THEN 'qStart=' || f[6] END, CASE WHEN TRY_CAST(f[7] AS BIGINT) IS NULL THEN 'qEnd=' || f[7] END, CASE WHEN f[9] <> '' AND TRY_CAST(f[9] AS BIGINT) IS NULL THEN 'score=' || f[9] END), '') AS wide FROM r WHERE fail_reason IS NULL""")
 def p5_valid(spark, d):
     """The lines that parse, as typed rows, one per raw_id."""
-    return split_rejects(_axt(spark, d))[0].drop("raw_line")
+    return split_rejects(_axt(spark, d))[0].drop("raw_line").dropDuplicates(["raw_id"])
 
 
 _KEYS = """
@@ -86,7 +88,8 @@ t AS (SELECT key_field, key_name, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS
 
 @core.add("p7_found", _KEYS + "SELECT key_field, key_name FROM t WHERE n_rows * 20 >= (SELECT count(*) FROM alignments)")
 def p7_found(spark, d):
-    return key_profile(load(spark, d, "alignments"), load(spark, d, "chrom_aliases"), record=None).filter("heavy").select("key_field", "key_name")
+    # The whole profile is made and written, as it is what the heavy keys are named from.
+    return materialize(p7_profile(spark, d), "profile").filter("heavy").select("key_field", "key_name")
 
 
 @core.add("p7_profile", _KEYS + "SELECT *, n_rows * 20 >= (SELECT count(*) FROM alignments) AS heavy FROM t")
