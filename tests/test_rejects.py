@@ -50,7 +50,7 @@ def test_cases(spark):
 
 def test_wide_numbers(spark):
     """A valid number above bigint is kept as text beside the typed columns, not lost."""
-    df = spark.createDataFrame([(1, line(n="9" * 20)), (2, line(n="7", sc="-" + "8" * 25)), (3, line(n="7"))], "raw_id int, raw_line string")
+    df = spark.createDataFrame([(1, line(aln="9" * 20)), (2, line(aln="7", sc="-" + "8" * 25)), (3, line(aln="7"))], "raw_id int, raw_line string")
     got = {r["raw_id"]: (r["aln_no"], r["wide"]) for r in split_rejects(parse_axt_lines(df))[0].collect()}
     assert got == {1: (None, "aln_no=" + "9" * 20), 2: (7, "score=-" + "8" * 25), 3: (7, None)}
 
