@@ -46,7 +46,9 @@ def merge_segments(segs: Column | str) -> Column:
         return F.when(acc["open"].isNull(), F.struct(acc["done"].alias("done"), x.alias("open"))).when(x["start"] <= acc["open"]["end"], F.struct(acc["done"].alias("done"), grown.alias("open"))).otherwise(F.struct(F.array_append(acc["done"], acc["open"]).alias("done"), x.alias("open")))
 
     merged = F.aggregate(s, empty, step, lambda a: F.when(a["open"].isNull(), a["done"]).otherwise(F.array_append(a["done"], a["open"])))
-    return F.when(F.size(col(segs)) < 2, col(segs).cast(SEGMENTS)).otherwise(merged)
+    # Nothing to merge is the common case, and takes one look at neighbours.
+    pairs = F.zip_with(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), lambda a, b: b["start"] <= a["end"])
+    return F.when(F.size(col(segs)) < 2, col(segs).cast(SEGMENTS)).when(~F.exists(pairs, lambda x: x), s.cast(SEGMENTS)).otherwise(merged)
 
 
 def length(segs: Column | str) -> Column:
@@ -70,8 +72,12 @@ def positions(segs: Column | str) -> Column:
 
 def from_positions(pos: Column | str) -> Column:
     """The fewest segments that hold just these positions; repeats and order do not matter."""
-    unit = F.transform(F.array_distinct(col(pos)), lambda p: F.struct(p.cast("bigint").alias("start"), (p + 1).cast("bigint").alias("end")))
-    return merge_segments(unit)
+    p = F.array_sort(F.array_distinct(F.transform(col(pos), lambda x: x.cast("bigint"))))
+    n = F.size(p)
+    # A segment begins where the neighbour below is missing and ends where the one above is; both lists are in order.
+    neighbour = lambda by: F.concat(F.array(F.lit(None).cast("bigint")), F.slice(p, 1, F.greatest(n - 1, F.lit(0)))) if by < 0 else F.concat(F.slice(p, 2, F.greatest(n - 1, F.lit(0))), F.array(F.lit(None).cast("bigint")))
+    ends = lambda by: F.array_compact(F.zip_with(p, neighbour(by), lambda x, y: F.when(~F.coalesce(y == x + by, F.lit(False)), x)))
+    return F.when(n < 1, no_segments()).otherwise(F.zip_with(ends(-1), ends(1), lambda a, b: F.struct(a.alias("start"), (b + 1).alias("end"))))
 
 
 def offsets(segs: Column | str) -> Column:

@@ -10,8 +10,21 @@ from strandloom.functions import chains as C
 #: Feature types that make exons, and those that make the coding region.
 EXON_TYPES = ("exon", "5UTR", "3UTR", "CDS", "start_codon", "stop_codon")
 CDS_TYPES = ("CDS", "start_codon", "stop_codon")
-#: Sequence-ontology types of transcripts in GFF3.
-TRANSCRIPT_TYPES = ("mRNA", "transcript", "ncRNA", "tRNA", "rRNA", "snRNA", "snoRNA", "miRNA", "pseudogenic_transcript", "primary_transcript")
+#: Types of transcripts, exons and coding regions in GFF3, as the Sequence Ontology (2.5.3) names them.
+TRANSCRIPT_TYPES = tuple("""
+transcript mature_transcript enzymatic_RNA mRNA mRNA_with_frameshift mRNA_with_minus_1_frameshift mRNA_with_minus_2_frameshift mRNA_with_plus_1_frameshift mRNA_with_plus_2_frameshift
+polyadenylated_mRNA polycistronic_mRNA dicistronic_mRNA monocistronic_mRNA recoded_mRNA mRNA_recoded_by_codon_redefinition mRNA_recoded_by_translational_bypass trans_spliced_mRNA
+ncRNA antisense_RNA MicF_RNA class_I_RNA class_II_RNA enhancerRNA guide_RNA lnc_RNA antisense_lncRNA intronic_lncRNA lincRNA piRNA priRNA rasiRNA RNase_MRP_RNA RNase_P_RNA
+rRNA large_subunit_rRNA rRNA_21S rRNA_23S rRNA_25S rRNA_28S rRNA_5_8S rRNA_5S small_subunit_rRNA rRNA_16S rRNA_18S rRNA_cleavage_RNA
+scRNA shRNA siRNA small_regulatory_ncRNA CsrB_RsmB_RNA DsrA_RNA GcvB_RNA IoR miRNA moR OxyS_RNA RNA_6S RprA_RNA RRE_RNA spot42_RNA tmRNA
+snoRNA C_D_box_snoRNA methylation_guide_snoRNA U14_snoRNA U3_snoRNA H_ACA_box_snoRNA pseudouridylation_guide_snoRNA
+snRNA U11_snRNA U12_snRNA U1_snRNA U2_snRNA U4_snRNA U4atac_snRNA U5_snRNA U6_snRNA U6atac_snRNA SRP_RNA tasiRNA telomerase_RNA telomeric_transcript anti_ARRET ARIA ARRET TERRA
+tRNA alanyl_tRNA arginyl_tRNA asparaginyl_tRNA aspartyl_tRNA cysteinyl_tRNA glutaminyl_tRNA glutamyl_tRNA glycyl_tRNA histidyl_tRNA isoleucyl_tRNA leucyl_tRNA lysyl_tRNA methionyl_tRNA
+phenylalanyl_tRNA prolyl_tRNA pyrrollysyl_tRNA selenocysteinyl_tRNA seryl_tRNA threonyl_tRNA tryptophanyl_tRNA tyrosyl_tRNA valyl_tRNA vault_RNA Y_RNA
+edited_transcript edited_mRNA edited_transcript_by_A_to_I_substitution non_functional_homolog_of_pseudogenic_transcript pseudogenic_transcript
+""".split())
+GFF3_EXON_TYPES = tuple("exon coding_exon noncoding_exon exon_of_single_exon_gene interior_exon interior_coding_exon five_prime_coding_exon three_prime_coding_exon five_prime_noncoding_exon three_prime_noncoding_exon pseudogenic_exon".split())
+GFF3_CDS_TYPES = ("CDS", "CDS_fragment", "CDS_indpendently_known", "CDS_predicted")
 
 
 def identical_attributes(features: DataFrame, key: str, attr: str = "attr") -> DataFrame:
@@ -47,7 +60,7 @@ def assemble_transcripts(features: DataFrame, key: str = "transcript_id", gene:
     return g.filter("reason is null").drop("reason"), g.filter("reason is not null").select(key, "reason")
 
 
-def assemble_gff3(features: DataFrame, transcript_types: tuple[str, ...] = TRANSCRIPT_TYPES, exon_types: tuple[str, ...] = ("exon",), cds_types: tuple[str, ...] = ("CDS",)) -> tuple[DataFrame, DataFrame]:
+def assemble_gff3(features: DataFrame, transcript_types: tuple[str, ...] = TRANSCRIPT_TYPES, exon_types: tuple[str, ...] = GFF3_EXON_TYPES, cds_types: tuple[str, ...] = GFF3_CDS_TYPES) -> tuple[DataFrame, DataFrame]:
     """(transcripts, rejects) from GFF3 features (chrom, strand, feature_type, start, end, ID, parents).
 
     A child with several parents belongs to each; an exon or CDS without parents forms a transcript of its own ID. Transcripts without
@@ -61,9 +74,10 @@ def assemble_gff3(features: DataFrame, transcript_types: tuple[str, ...] = TRANS
     return ok.drop("gene_id").join(genes, "transcript_id", "left"), bad
 
 
-def parent_types(features: DataFrame, exclude: list[str] | None = None) -> DataFrame:
+def parent_types(features: DataFrame, exclude: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
     """(feature_type, parent_type, n) of rows id, parents (array), feature_type: the type of the parent, else ``parent unspecified``, ``parent not in database`` or ``multiple parents``."""
     f = features if not exclude else features.filter(~F.col("feature_type").isin(*exclude))
+    f = f if not keep else f.filter(F.col("feature_type").isin(*keep))
     types = f.filter("id is not null").groupBy("id").agg(F.min("feature_type").alias("ptype"))
     none = F.coalesce(F.size("parents"), F.lit(0)) < 1
     x = f.select("feature_type", F.when(none, "parent unspecified").when(F.size("parents") > 1, "multiple parents").alias("fixed"), F.when(F.size("parents") == 1, F.get("parents", F.lit(0))).alias("pid"))
@@ -77,15 +91,12 @@ def parent_table(counts: DataFrame) -> DataFrame:
 
 
 # Attribute columns of GTF2 and GFF3.
-#: What is escaped, in the order it must be done.
-GFF3_ESCAPES = ((";", "%3B"), (",", "%2C"), ("=", "%3D"), ("&", "%26"), ("\t", "%09"), ("\n", "%0A"), ("\r", "%0D"))
-
-
 def escape(c: Column | str, gtf: bool = False) -> Column:
-    out = F.replace(C.col(c), F.lit("%"), F.lit("%25"))
-    for a, b in (*GFF3_ESCAPES, *(((chr(34), "%22"),) if gtf else ())):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    """Percent signs, separators (``; , = &``, quotes in GTF2) and all control characters by their code."""
+    special = "[%;,=&\\x00-\\x1f\\x7f-\\x9f" + ('"]' if gtf else "]")
+    one = lambda x: F.when(x.rlike(special), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(x)), 2, "0"))).otherwise(x)
+    c = C.col(c)
+    return F.when(c.rlike(special), F.array_join(F.transform(F.split(c, ""), one), "")).otherwise(c)
 
 
 def _grouped(pairs: Column) -> Column:
@@ -94,6 +105,14 @@ def _grouped(pairs: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.array_join(F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"]), ",")))
 
 
+def gff3_parents(c: Column | str) -> Column:
+    """The values of Parent, escapes undone after the list is split, so that an escaped comma is part of an ID; null without one."""
+    from strandloom.tables import percent_decoded
+
+    raw = F.nullif(F.trim(F.regexp_extract(C.col(c), r"(?:\A|;)\s*Parent\s*=([^;]*)", 1)), F.lit(""))
+    return F.transform(F.split(raw, ","), lambda x: percent_decoded(F.trim(x)))
+
+
 def parse_gff3_attributes(c: Column | str) -> Column:
     """``k=v;k=v`` as a map, escapes undone; lists stay as comma-separated texts."""
     from strandloom.tables import percent_decoded

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.session import materialize
+
 SITE = ["chrom", "strand", "pos"]
 
 
@@ -22,6 +24,8 @@ def array_sum(array: DataFrame) -> DataFrame:
 
 def normalize(array: DataFrame, total: float | None = None) -> DataFrame:
     """Values per million: of ``total`` if given, else of the array's own sum."""
+    if total is None:
+        array = materialize(array, "sites")  # read for its sum and for its values
     t = F.lit(float(total)) if total is not None else array_sum(array).scalar()
     return array.withColumn("value", F.try_divide(F.col("value") * 1e6, t))
 
@@ -106,12 +110,17 @@ def runs(array: DataFrame, window: int | None = None, tile: int = 100_000) -> Da
     return local.filter(~edge).select("chrom", "strand", "start", "end", "value").unionByName(joined.select("chrom", "strand", "start", "end", "value"))
 
 
-def bedgraph_with_zeros(array: DataFrame) -> DataFrame:
-    """Runs from position 0 to the last non-zero one, zero stretches included."""
-    r = runs(array)
-    w = Window.partitionBy("chrom", "strand").orderBy("start")
-    prev = F.coalesce(F.lag("end").over(w), F.lit(0))
-    gaps = r.withColumn("p", prev).filter(F.col("start") > F.col("p")).select("chrom", "strand", F.col("p").alias("start"), F.col("start").alias("end"), F.lit(0).cast(dict(r.dtypes)["value"]).alias("value"))
+def bedgraph_with_zeros(array: DataFrame, tile: int = 100_000) -> DataFrame:
+    """Runs from position 0 to the last non-zero one, zero stretches included.
+
+    The run before the first one of a tile comes from a window over tiles, so no chromosome is one task.
+    """
+    r = materialize(runs(array), "track")
+    t = r.withColumn("tile", F.floor(F.col("start") / tile))
+    ends = t.groupBy("chrom", "strand", "tile").agg(F.max("end").alias("last")).withColumn("before", F.lag("last").over(Window.partitionBy("chrom", "strand").orderBy("tile"))).drop("last")
+    w = Window.partitionBy("chrom", "strand", "tile").orderBy("start")
+    prev = F.coalesce(F.lag("end").over(w), "before", F.lit(0))
+    gaps = t.join(ends, ["chrom", "strand", "tile"]).withColumn("p", prev).filter(F.col("start") > F.col("p")).select("chrom", "strand", F.col("p").alias("start"), F.col("start").alias("end"), F.lit(0).cast(dict(r.dtypes)["value"]).alias("value"))
     return r.unionByName(gaps)
 
 

@@ -23,6 +23,13 @@ def junction_name(chrom: str = "chrom", left: str = "left", right: str = "right"
     return F.concat(F.col(chrom), F.lit("@"), F.col(left).cast("string"), F.lit("^"), F.col(right).cast("string"), F.lit("("), F.col(strand), F.lit(")"))
 
 
+def parse_junction_name(name: Column | str) -> Column:
+    """struct<chrom, left, right, strand> of a name as :func:`junction_name` writes it; null of any other text."""
+    n, form = C.col(name), r"\A(.+)@([0-9]+)\^([0-9]+)\(([-+.])\)\z"
+    part = lambda i: F.regexp_extract(n, form, i)
+    return F.when(n.rlike(form), F.struct(part(1).alias("chrom"), part(2).cast("bigint").alias("left"), part(3).cast("bigint").alias("right"), part(4).alias("strand")))
+
+
 def _run(a: Column, b: Column, n: int) -> Column:
     """How many leading characters of two texts agree, at most n."""
     same = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))) & (F.substring(a, i, F.lit(1)) != ""))
@@ -91,5 +98,3 @@ def classify(query: DataFrame, known: DataFrame, masks: DataFrame) -> DataFrame:
     slide = F.when(kind == "known", F.col("known_slide")).when(kind == "canonical", F.get(best, F.lit(0))).otherwise(0)
     return out.withColumn("kind", kind).withColumn("slide", slide.cast("bigint")).drop("rep", "known_slide")
 
-
-__all__ = ["find_junctions", "junction_name", "match_range", "canonical_slides", "known_matches", "in_repeats", "classify", "C"]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import chains as C
-from strandloom.operators.regions import region_sites
+from strandloom.operators.overlap import position_join
+from strandloom.session import materialize
+from strandloom.tables import maybe_broadcast
 
 
 def landmark_windows(transcripts: DataFrame, group: str, landmark: str = "cds_start", upstream: int = 50, downstream: int = 50) -> DataFrame:
@@ -47,15 +49,13 @@ def roi_table(windows: DataFrame, group: str, upstream: int = 50, downstream: in
 
 def window_values(windows: DataFrame, counts: DataFrame, group: str, masks: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
     """Every window position with its value, absent sites 0; masked positions left out. ``by``: further key columns of counts (read lengths)."""
-    from strandloom.operators.overlap import position_join
-
     w = windows
     if masks is not None:
         hit = position_join(w.select("chrom", "strand", "pos"), masks.select("chrom", "strand", "start", "end")).select("chrom", "strand", "pos").distinct()
         w = w.join(hit, ["chrom", "strand", "pos"], "left_anti")
     by = by or []
     if by:
-        w = w.join(F.broadcast(counts.select(*by).distinct()))
+        w = w.crossJoin(maybe_broadcast(counts.select(*by).distinct()))  # read lengths: as many as reads have lengths
     return w.join(counts, [*by, "chrom", "strand", "pos"], "left").select(*by, group, "x", F.coalesce("value", F.lit(0)).cast("double").alias("value"))
 
 
@@ -85,25 +85,40 @@ def psite_offsets(profiles: DataFrame, lengths: list[int], default: int = 13, wi
     return every.join(best, every.length == best.rlen, "left").select("length", F.coalesce("o", F.lit(default)).cast("int").alias("p_offset"))
 
 
-def phase_by_size(counts: DataFrame, cds: DataFrame, key: str, codon_buffer: int = 5) -> DataFrame:
+def roi_coding_part(segments: Column | str, strand: Column | str, alignment_offset: Column | str, zero_point: Column | str) -> Column:
+    """The coding part of a window around a coding start: from the landmark to the window's 3' end."""
+    return C.subchain(segments, strand, C.col(zero_point) - C.col(alignment_offset), C.length(segments))
+
+
+def normalization_window(zero_point: int, normalize_over: tuple[int, int] | None = None, norm_region: tuple[int, int] | None = None, default: tuple[int, int] = (20, 50)) -> tuple[int, int]:
+    """The window that a profile is normalised over, relative to the landmark.
+
+    ``normalize_over`` is relative to the landmark and wins; ``norm_region`` and ``default`` are places in the window, whose landmark stands at ``zero_point``.
+    """
+    if normalize_over is not None:
+        return normalize_over
+    a, b = norm_region if norm_region is not None else default
+    return a - zero_point, b - zero_point
+
+
+def phase_by_size(counts: DataFrame, cds: DataFrame, key: str, codon_buffer: int = 5, back_buffer: int | None = None) -> DataFrame:
     """Per read length: ``reads_counted, fraction_reads_counted, phase0, phase1, phase2``.
 
     ``counts``: sites with rlen; ``cds``: key, chrom, strand, segments of coding regions. Only whole codons count; ``codon_buffer`` of them
-    are left out at either end.
+    are left out at the 5' end and ``back_buffer`` at the 3' end: by default as many, for coding parts of windows (:func:`roi_coding_part`), which do not
+    reach the stop codon, 1.
     """
+    back_buffer = codon_buffer if back_buffer is None else back_buffer
     n = cds.select(key, F.floor(C.length("segments") / 3).alias("codons"))
     # The array functions see one row per coding region; sites join on bins.
     long = cds.select(key, "chrom", "strand", C.length("segments").alias("n"), F.explode(C.offsets("segments")).alias("s")).select(key, "chrom", "strand", "n", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.off").alias("off"))
-    from strandloom.operators.overlap import position_join
-
     at = F.col("off_r") + F.col("pos") - F.col("start_r")
     hit = position_join(counts, long).select("rlen", F.col(f"{key}_r").alias(key), F.when(F.col("strand_r") == "-", F.col("n_r") - 1 - at).otherwise(at).alias("off"), "value")
     codon = F.floor(F.col("off") / 3)
-    inner = hit.join(n, key).filter((codon >= codon_buffer) & (codon < F.col("codons") - codon_buffer))
+    inner = hit.join(n, key).filter((codon >= codon_buffer) & (codon < F.col("codons") - back_buffer))
     s = inner.groupBy("rlen").agg(F.sum("value").alias("reads_counted"), *[F.sum(F.when(F.col("off") % 3 == p, F.col("value")).otherwise(0)).alias(f"p{p}") for p in range(3)])
-    total = inner.agg(F.sum("value").cast("double").alias("t")).scalar()
+    s = materialize(s, "phases")  # a row per read length
+    total = s.agg(F.sum("reads_counted").cast("double").alias("t")).scalar()
     f = lambda a, b: F.try_divide(F.col(a).cast("double"), b)
     return s.select(F.col("rlen").alias("read_length"), "reads_counted", f("reads_counted", total).alias("fraction_reads_counted"), *[f(f"p{p}", F.col("reads_counted")).alias(f"phase{p}") for p in range(3)])
 
-
-__all__ = ["landmark_windows", "roi_table", "window_values", "profile", "psite_offsets", "phase_by_size", "region_sites"]

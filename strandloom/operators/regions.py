@@ -9,6 +9,7 @@ from strandloom.functions import chains as C
 from strandloom.operators.arrays import SITE
 from strandloom.operators.overlap import overlap_join, position_join
 from strandloom.operators.periods import periods_and_gaps
+from strandloom.session import materialize
 
 
 def masked_parts(segs: DataFrame, masks: DataFrame, key: str) -> DataFrame:
@@ -41,6 +42,9 @@ def counts_in_region(counts: DataFrame, segs: DataFrame, key: str, masks: DataFr
     library's size for RPKM, by default the sum of the sites. Sites are summed before the join, so the join carries one row
     per site, and regions are summed per map task before the last shuffle.
     """
+    if total is None:
+        # The sites are read for their sum and for the join; they are made once.
+        counts = materialize(counts, "sites")
     t = F.lit(float(total)) if total is not None else counts.agg(F.sum("value").cast("double").alias("t")).scalar()
     sites = counts if masks is None else unmasked_sites(counts, masks)
     got = position_join(sites, segs.select(key, "chrom", "strand", "start", "end")).groupBy(F.col(f"{key}_r").alias(key)).agg(F.sum("value").alias("counts"))
@@ -69,5 +73,6 @@ def count_vectors(counts: DataFrame, chains: DataFrame, key: str) -> DataFrame:
 
 def reads_in_regions(mapped: DataFrame, segs: DataFrame, key: str) -> DataFrame:
     """Mapped reads whose position lies in a region, with the region's key; a read that lies in several comes out for each."""
-    hit = position_join(mapped, segs.select(key, "chrom", "strand", "start", "end"))
-    return hit.select(*mapped.columns, F.col(f"{key}_r").alias(key)).distinct() if "read_id" in mapped.columns else hit.select(*mapped.columns, F.col(f"{key}_r").alias(key))
+    # Segments of a region that overlap would report a read twice, so they are united; equal reads stay as many as they are.
+    whole = segs.groupBy(key, "chrom", "strand").agg(C.merge_segments(F.collect_set(C.segment("start", "end"))).alias("s")).select(key, "chrom", "strand", F.explode("s").alias("s")).select(key, "chrom", "strand", "s.start", "s.end")
+    return position_join(mapped, whole).select(*mapped.columns, F.col(f"{key}_r").alias(key))

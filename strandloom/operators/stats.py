@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,8 +109,14 @@ def triangle(a: Column, b: Column, c: Column) -> Column:
     return F.struct(F.try_divide(b + c / 2.0, t).alias("x"), F.try_divide(c * (3**0.5) / 2.0, t).alias("y"))
 
 
-def kernel_density(df: DataFrame, x: str, points: int = 100) -> DataFrame:
-    """Gaussian kernel density over ``points`` equal steps with Scott's bandwidth: x, density. The grid is fixed; samples are summed per task."""
+def kernel_density(df: DataFrame, x: str, points: int = 100, log: float | None = None) -> DataFrame:
+    """Gaussian kernel density over ``points`` equal steps with Scott's bandwidth: x, density. The grid is fixed; samples are summed per task.
+
+    With ``log``, the density of the logarithms to that base (of values above 0), x being their antilogarithm.
+    """
+    if log is not None:
+        d = kernel_density(df.filter(F.col(x) > 0).select((F.log(F.col(x)) / math.log(log)).alias(x)), x, points)
+        return d.select(F.pow(F.lit(float(log)), "x").alias("x"), "density")
     s = df.filter(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("v")).agg(F.count("v"), F.min("v"), F.max("v"), F.stddev_samp("v")).collect()[0]
     n, lo, hi, sd = s
     spark = df.sparkSession
@@ -120,6 +128,34 @@ def kernel_density(df: DataFrame, x: str, points: int = 100) -> DataFrame:
     return df.filter(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("v")).select("v", grid.alias("x")).groupBy("x").agg((F.sum(k) / n).alias("density"))
 
 
+def histogram(df: DataFrame, x: str, bins: int = 20, lo: float | None = None, hi: float | None = None) -> DataFrame:
+    """(bin, lower, upper, n): numbers of values in equal bins, empty ones too; the last bin is closed. Values outside the bounds are left out."""
+    v = df.filter(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).select(F.col(x).cast("double").alias("v"))
+    if lo is None or hi is None:
+        a, b = v.agg(F.min("v"), F.max("v")).collect()[0]
+        lo, hi = a if lo is None else lo, b if hi is None else hi
+    spark = df.sparkSession
+    if lo is None or hi is None:
+        return spark.createDataFrame([], "bin int, lower double, upper double, n bigint")
+    width = (hi - lo) / bins or 1.0
+    n = v.filter((F.col("v") >= lo) & (F.col("v") <= hi)).groupBy(F.least(F.floor((F.col("v") - lo) / width), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = spark.range(bins).select(F.col("id").cast("int").alias("bin"), (lo + F.col("id") * width).alias("lower"), (lo + (F.col("id") + 1) * width).alias("upper"))
+    return every.join(n, "bin", "left").select("bin", "lower", "upper", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def stacked_bars(df: DataFrame, row: str, columns: list[str]) -> DataFrame:
+    """(row, part, bottom, height): each value as a bar on top of those before it, in the order of ``columns``; nulls have no height."""
+    values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]
+    bars = [F.struct(F.lit(c).alias("part"), sum(values[:i], F.lit(0.0)).alias("bottom"), values[i].alias("height")) for i, c in enumerate(columns)]
+    return df.select(row, F.explode(F.array(*bars)).alias("b")).select(row, "b.part", "b.bottom", "b.height")
+
+
+def scatter_histograms(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
+    """(axis, bin, lower, upper, n): the marginal histograms of a scatter plot, over pairs in which both values are numbers."""
+    fine = clean_invalid(df, x, y)
+    return histogram(fine, x, bins).select(F.lit("x").alias("axis"), "*").unionByName(histogram(fine, y, bins).select(F.lit("y").alias("axis"), "*"))
+
+
 def heatmap_order(profiles: DataFrame, row: str, x: str, value: str) -> DataFrame:
     """(row, ``peak``, ``order``): rows by the first position of their greatest value."""
     p = profiles.groupBy(row).agg(F.max_by(x, F.struct(F.col(value), -F.col(x))).alias("peak"))

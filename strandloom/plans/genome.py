@@ -92,7 +92,7 @@ def filter_reads(spark, d):
 
 
 # Genome arrays.
-@genome.add("normalize_rpm", f"{ctes('reads')}, {_SITES} SELECT chrom, strand, pos, value * 1e6 / (SELECT sum(value) FROM c) AS value FROM c")
+@genome.add("normalize_rpm", f"{ctes('reads')}, {_SITES.replace('c AS (', 'c AS MATERIALIZED (', 1)}, n AS MATERIALIZED (SELECT sum(value) AS total FROM c) SELECT chrom, strand, pos, value * 1e6 / total AS value FROM c CROSS JOIN n")
 def normalize_rpm(spark, d):
     return A.normalize(sites(spark, d))
 
@@ -110,7 +110,7 @@ def array_multiply(spark, d):
     return A.multiply(sites(spark, d), track(spark, d))
 
 
-@genome.add("array_subtract_truncated", f"{ctes('reads', 'track')}, {_SITES}, {_TR}, e AS (SELECT chrom, strand, least(max(c.pos), max(t.pos)) AS e FROM c JOIN t USING (chrom, strand) GROUP BY chrom, strand) SELECT chrom, strand, pos, coalesce(c.value, 0) - coalesce(t.value, 0) AS value FROM c FULL JOIN t USING (chrom, strand, pos) JOIN e USING (chrom, strand) WHERE pos <= e")
+@genome.add("array_subtract_truncated", f"{ctes('reads', 'track')}, {_SITES}, {_TR}, ec AS (SELECT chrom, strand, max(pos) AS m FROM c GROUP BY chrom, strand), et AS (SELECT chrom, strand, max(pos) AS m FROM t GROUP BY chrom, strand), e AS (SELECT chrom, strand, least(ec.m, et.m) AS e FROM ec JOIN et USING (chrom, strand)) SELECT chrom, strand, pos, coalesce(c.value, 0) - coalesce(t.value, 0) AS value FROM c FULL JOIN t USING (chrom, strand, pos) JOIN e USING (chrom, strand) WHERE pos <= e")
 def array_subtract_truncated(spark, d):
     return A.subtract(sites(spark, d), track(spark, d), "truncate")
 
@@ -359,6 +359,10 @@ def phase_by_size(spark, d):
     return MG.phase_by_size(_by_length(spark, d), t.select("tx_id", "chrom", "strand", C.get_cds("segments", "strand", "b").alias("segments")), "tx_id")
 
 
+# Coding parts of windows around coding starts: from the landmark on, the last codon left out.
+_CDS_BY = f"{_RL}, le AS (SELECT gene_id, max(x) + 1 AS n FROM wi GROUP BY gene_id), hi AS (SELECT rlen, value, n, x AS o FROM cr JOIN wi USING (chrom, strand, pos) JOIN le USING (gene_id) WHERE x >= 0), ok AS (SELECT * FROM hi WHERE o >= 15 AND o < 3 * (floor(n / 3) - 1)) SELECT rlen AS read_length, sum(value) AS reads_counted, sum(value) / (SELECT sum(value) FROM ok) AS fraction_reads_counted, " + ", ".join(f"coalesce(sum(value) FILTER (o % 3 = {p}), 0) / sum(value) AS phase{p}" for p in range(3)) + " FROM ok GROUP BY rlen"
+
+
 # Junctions and sequence.
 @genome.add("find_junctions", ctes("seg") + ", z AS (SELECT tx_id, chrom, strand, seg_start, seg_end, lead(seg_start) OVER w AS ns, lead(seg_end) OVER w AS ne FROM seg WINDOW w AS (PARTITION BY tx_id ORDER BY seg_start)), y AS (SELECT *, row_number() OVER (PARTITION BY chrom, strand, seg_end, ns ORDER BY tx_id) AS r FROM z WHERE ns IS NOT NULL) SELECT chrom, seg_end AS \"left\", ns AS \"right\", strand, seg_start AS exon_start, ne AS exon_end FROM y WHERE r = 1")
 def find_junctions(spark, d):
@@ -438,7 +442,8 @@ def table_differences(spark, d):
 
 
 # Annotation tables.
-_GTF = """f AS (SELECT DISTINCT gtf_id, coalesce(a.chrom, seqname) AS chrom, feature_type, seg_start - 1 AS s, seg_end AS e, strand, transcript_id AS t FROM gtf2 LEFT JOIN chrom_aliases a ON seqname = chrom_alias WHERE regexp_full_match(transcript_id, 'YT-[0-9.]+') AND seg_end >= seg_start AND feature_type IN ('exon', '5UTR', '3UTR', 'CDS', 'start_codon', 'stop_codon'))"""
+_GTF = """i AS (SELECT *, url_decode(regexp_replace(transcript_id, '^[\\s"]+|[\\s"]+$', '', 'g')) AS t FROM gtf2),
+f AS (SELECT DISTINCT gtf_id, coalesce(a.chrom, seqname) AS chrom, feature_type, seg_start - 1 AS s, seg_end AS e, strand, t FROM i LEFT JOIN chrom_aliases a ON seqname = chrom_alias WHERE lower(trim(t)) NOT IN ('', '.', 'na', 'nan', 'none') AND seg_end >= seg_start AND feature_type IN ('exon', '5UTR', '3UTR', 'CDS', 'start_codon', 'stop_codon'))"""
 
 
 @genome.add("assemble_transcripts", f"WITH {_GTF}, u AS (SELECT t FROM f GROUP BY t HAVING min(chrom) = max(chrom) AND coalesce(min(strand) = max(strand), TRUE)), p AS (SELECT DISTINCT t, unnest(range(s, e)) AS pos FROM f WHERE t IN (SELECT t FROM u)), n AS (SELECT t, count(*) AS length FROM p GROUP BY t), c AS (SELECT t, min(s) AS lo, max(e) AS hi FROM f WHERE feature_type IN ('CDS', 'start_codon', 'stop_codon') GROUP BY t) SELECT t AS transcript_id, length, lo AS cds_genome_start, hi AS cds_genome_end FROM n LEFT JOIN c USING (t)")

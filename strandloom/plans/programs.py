@@ -86,7 +86,8 @@ def make_wiggle(spark, out, reads, output_format="bedgraph", normalize=None, **r
     for strand, name in (("+", "fw"), ("-", "rc")):
         one = counts.filter(F.col("strand") == strand)
         lines = K.as_bedgraph(A.runs(one, window=100_000)) if output_format == "bedgraph" else K.as_variable_step(one)
-        K.write_lines(lines, f"{out}/{name}", ["chrom", "start"])
+        bed = output_format == "bedgraph"
+        K.write_lines(lines, f"{out}/{name}", ["chrom", "start"] if bed else ["chrom", "tile", "start"], keep=None if bed else ["chrom", "tile"])
 
 
 def cs_generate(spark, out, annotations, masks=None):
@@ -135,8 +136,12 @@ def psite(spark, out, generated, reads, min_length="25", max_length="35", min_co
 
 
 def phase_by_size(spark, out, annotations, reads, codon_buffer="5", **rule):
-    t = annotation(spark, annotations).withColumn("b", C.cds_bounds("segments", "strand", "cds_genome_start", "cds_genome_end"))
+    """``annotations`` may be a folder of metagene_generate: then the coding parts of its windows count, all but their last codon."""
     counts = A.count_positions(mapped(spark, reads, **rule), ["rlen"])
+    if not annotations.removesuffix(".gz").endswith((".bed", ".gtf", ".gtf2", ".gff", ".gff3", ".psl")):
+        r = X.read_table(spark, f"{annotations}/rois").select(F.col("region_id").alias("ID"), C.from_text("region").alias("c"), "alignment_offset", "zero_point").select("ID", "c.chrom", "c.strand", MG.roi_coding_part("c.segments", "c.strand", "alignment_offset", "zero_point").alias("segments"))
+        return K.write_table(MG.phase_by_size(counts, r, "ID", int(codon_buffer), 1).orderBy("read_length"), out)
+    t = annotation(spark, annotations).withColumn("b", C.cds_bounds("segments", "strand", "cds_genome_start", "cds_genome_end"))
     K.write_table(MG.phase_by_size(counts, t.filter("b is not null").select("ID", "chrom", "strand", C.get_cds("segments", "strand", "b").alias("segments")), "ID", int(codon_buffer)).orderBy("read_length"), out)
 
 

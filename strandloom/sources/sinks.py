@@ -108,10 +108,13 @@ def as_bedgraph(runs: DataFrame) -> DataFrame:
     return runs.select("chrom", "start", _tab(F.col("chrom"), F.col("start"), F.col("end"), _number("value")).alias("line"))
 
 
-def as_variable_step(array: DataFrame) -> DataFrame:
-    """variableStep lines of sites, the declaration of each chrom before its first line."""
-    body = array.filter("value <> 0").select("chrom", F.col("pos").alias("start"), F.concat_ws(" ", (F.col("pos") + 1).cast("string"), _number("value")).alias("line"))
-    head = body.select("chrom").distinct().select("chrom", F.lit(-1).cast("bigint").alias("start"), F.concat(F.lit("variableStep chrom="), "chrom", F.lit(" span=1")).alias("line"))
+def as_variable_step(array: DataFrame, tile: int = 1_000_000) -> DataFrame:
+    """variableStep lines of sites, with a declaration before the first line of each ``tile`` of a chrom, so that a file may begin with any tile.
+
+    To be written with ``order`` chrom, tile, start and ``keep`` chrom, tile.
+    """
+    body = array.filter("value <> 0").select("chrom", F.floor(F.col("pos") / tile).alias("tile"), F.col("pos").alias("start"), F.concat_ws(" ", (F.col("pos") + 1).cast("string"), _number("value")).alias("line"))
+    head = body.select("chrom", "tile").distinct().select("chrom", "tile", F.lit(-1).cast("bigint").alias("start"), F.concat(F.lit("variableStep chrom="), "chrom", F.lit(" span=1")).alias("line"))
     return head.unionByName(body)
 
 
@@ -119,9 +122,11 @@ def as_fasta(df: DataFrame, name: str = "name", seq: str = "seq") -> DataFrame:
     return df.select(F.concat(F.lit(">"), F.col(name), F.lit("\n"), F.col(seq)).alias("line"))
 
 
-def write_lines(lines: DataFrame, path: str, order: list[str] | None = None, compression: str | None = None) -> None:
-    """Text files, range-partitioned and sorted by ``order`` where given, so that parts in sequence are the whole in order."""
-    if order:
+def write_lines(lines: DataFrame, path: str, order: list[str] | None = None, compression: str | None = None, keep: list[str] | None = None) -> None:
+    """Text files, range-partitioned and sorted by ``order`` where given, so that parts in sequence are the whole in order; rows equal in ``keep`` stay in one file."""
+    if order and keep:
+        lines = lines.repartitionByRange(*keep).sortWithinPartitions(*order)
+    elif order:
         lines = lines.orderBy(*order)
     w = lines.select("line").write.mode("overwrite")
     (w.option("compression", compression) if compression else w).text(path)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import chains as C
-from strandloom.operators.annotation import parse_gff3_attributes, parse_gtf_attributes
+from strandloom.operators.annotation import gff3_parents, parse_gff3_attributes, parse_gtf_attributes
 
 #: Further columns of BED subtypes, with their types.
 BED_SUBTYPES = {
@@ -96,7 +96,7 @@ def _gff(spark: SparkSession, paths, attributes) -> tuple[DataFrame, DataFrame]:
     reason = F.when(F.size("f") < 9, "fewer than 9 columns").when(F.col("s").isNull() | F.col("e").isNull(), "bounds are no numbers").when(F.col("e") < F.col("s"), "end before start")
     df = df.withColumn("reason", reason)
     ok = df.filter("reason is null").select(
-        _f(0).alias("chrom"), _f(1).alias("source"), _f(2).alias("feature_type"), F.col("s").alias("start"), F.col("e").alias("end"), _f(5).try_cast("double").alias("score"), F.when(_f(6).isin("+", "-"), _f(6)).otherwise(".").alias("strand"), _f(7).try_cast("int").alias("phase"), attributes(_f(8)).alias("attr")
+        _f(8).alias("column9"), _f(0).alias("chrom"), _f(1).alias("source"), _f(2).alias("feature_type"), F.col("s").alias("start"), F.col("e").alias("end"), _f(5).try_cast("double").alias("score"), F.when(_f(6).isin("+", "-"), _f(6)).otherwise(".").alias("strand"), _f(7).try_cast("int").alias("phase"), attributes(_f(8)).alias("attr")
     )
     return ok, df.filter("reason is not null").select("line", "reason")
 
@@ -104,13 +104,13 @@ def _gff(spark: SparkSession, paths, attributes) -> tuple[DataFrame, DataFrame]:
 def read_gtf(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """(features, rejects) of GTF2; gene_id and transcript_id as columns, all attributes in ``attr``."""
     ok, bad = _gff(spark, paths, parse_gtf_attributes)
-    return ok.withColumn("gene_id", F.element_at("attr", "gene_id")).withColumn("transcript_id", F.element_at("attr", "transcript_id")), bad
+    return ok.drop("column9").withColumn("gene_id", F.element_at("attr", "gene_id")).withColumn("transcript_id", F.element_at("attr", "transcript_id")), bad
 
 
 def read_gff3(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """(features, rejects) of GFF3. Sequence after ``##FASTA`` is cut off per file: lines that begin with ``>`` or hold fewer than two columns are no features."""
+    """(features, rejects) of GFF3. Sequence after ``##FASTA`` is cut off per file: lines that begin with ``>`` and lines of nothing but letters are sequence, every other line that is no feature is a reject. ``parents`` are split before their escapes are undone."""
     ok, bad = _gff(spark, paths, parse_gff3_attributes)
-    return ok.withColumn("ID", F.element_at("attr", "ID")).withColumn("parents", F.split(F.element_at("attr", "Parent"), ",")), bad.filter(F.col("line").contains("\t"))
+    return ok.withColumn("ID", F.element_at("attr", "ID")).withColumn("parents", gff3_parents("column9")).drop("column9"), bad.filter(~F.col("line").rlike(r"\A(?:>.*|[A-Za-z*-]+)\z"))
 
 
 def read_gff3_metadata(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -134,9 +134,10 @@ def read_psl(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, Da
     return ok, df.filter("reason is not null").select("line", "reason")
 
 
-def bundle_psl(alignments: DataFrame) -> DataFrame:
-    """The alignments of each query as one row."""
-    return alignments.groupBy("query_name").agg(F.collect_list(F.struct("chrom", "strand", "segments")).alias("alignments"))
+def bundle_psl(alignments: DataFrame, order: str | None = None) -> DataFrame:
+    """The alignments of each query as one row; with ``order``, of each stretch of consecutive rows of a query."""
+    a = alignments if order is None else consecutive(alignments, "query_name", order)
+    return a.groupBy("query_name", *(["run"] if order else [])).agg(F.collect_list(F.struct("chrom", "strand", "segments")).alias("alignments"))
 
 
 def read_bowtie(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
@@ -203,8 +204,8 @@ def read_bedgraph(spark: SparkSession, paths: str | list[str], strand: str = "."
 
 
 def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(name, description, seq), one row per record; records are split at ``>``, so a large file is read in parts."""
-    x = spark.read.option("lineSep", ">").text(paths).filter(F.trim("value") != "")
+    """(name, description, seq), one row per record; records are split at a ``>`` that begins a line, so a large file is read in parts."""
+    x = spark.read.option("lineSep", "\n>").text(paths).select(F.regexp_replace("value", r"\A\s*>", "").alias("value")).filter(F.trim("value") != "")
     head = F.substring_index("value", "\n", 1)
     return x.select(F.regexp_extract(head, r"^(\S+)", 1).alias("name"), F.trim(F.regexp_replace(head, r"^\S+\s*", "")).alias("description"), F.regexp_replace(F.expr("substring(value, length(substring_index(value, '\\n', 1)) + 2)"), r"\s", "").alias("seq"))
 
@@ -272,10 +273,20 @@ def read_table(spark: SparkSession, paths: str | list[str], schema: str | None =
     return (r.schema(schema) if schema else r.option("inferSchema", True)).csv(paths)
 
 
-def consecutive(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Rows with ``run``: the number of the stretch of equal keys in order (a bundle of neighbouring lines)."""
-    w = Window.orderBy(order)
-    return df.withColumn("run", F.sum(F.coalesce((F.col(key) != F.lag(key).over(w)).cast("int"), F.lit(1))).over(w))
+def consecutive(df: DataFrame, key: str, order: str, chunk: int = 1 << 20) -> DataFrame:
+    """Rows with ``run``: the number of the stretch of equal keys in order (a bundle of neighbouring lines). ``order`` is a column of whole numbers.
+
+    Runs are numbered in chunks of ``order``; a window over chunk summaries tells each chunk the last key and the number of runs before it.
+    """
+    t = df.withColumn("__c", F.floor(F.col(order) / chunk))
+    w = Window.partitionBy("__c").orderBy(order)
+    new = F.when(F.row_number().over(w) == 1, 1).otherwise((~F.col(key).eqNullSafe(F.lag(key).over(w))).cast("int"))
+    t = t.withColumn("__new", new).withColumn("__n", F.sum("__new").over(w)).drop("__new")
+    ends = t.groupBy("__c").agg(F.min_by(F.struct(F.col(key).alias("k")), order).alias("first"), F.max_by(F.struct(F.col(key).alias("k")), order).alias("last"), F.max("__n").alias("runs"))
+    over = Window.orderBy("__c")
+    joins = F.coalesce(F.col("first").eqNullSafe(F.lag("last").over(over)).cast("int"), F.lit(0))
+    ends = ends.withColumn("own", F.col("runs") - joins).select("__c", (F.sum("own").over(over) - F.col("own") - joins).alias("before"))
+    return t.join(ends, "__c").withColumn("run", F.col("before") + F.col("__n")).drop("__c", "__n", "before")
 
 
 #: autoSql types and the Spark types they become.
