@@ -6,13 +6,17 @@ repeated work.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from strandloom.sources.spans import PART, Bgzf, bai, framed, local_files, region_chunks, split_places
+
 #: Magic numbers of the formats.
 BIGWIG, BIGBED, CHROM_TREE, BLOCK_TREE, TWOBIT = 0x888FFC26, 0x8789F2EB, 0x78CA8C91, 0x2468ACE0, 0x1A412743
 #: Index blocks of a bigWig or bigBed file that make a partition.
@@ -198,26 +202,32 @@ class BigBedSource(DataSource):
         return _UcscReader(dict(self.options), "bigbed")
 
 
-def bam_records(data: bytes) -> Iterator[tuple]:
-    """(read_id, flag, chrom, strand, start, mapq, blocks, rlen, seq_length) of an uncompressed BAM stream; unmapped reads have no chrom."""
-    if data[:4] != b"BAM\1":
+def bam_header(fh: Bgzf) -> list[str]:
+    """Names of the references; fh stands at the first record after it."""
+    if fh.read(4) != b"BAM\1":
         raise ValueError("no BAM data")
-    (n,) = struct.unpack_from("<i", data, 4)
-    at = 8 + n
-    (refs,) = struct.unpack_from("<i", data, at)
-    at += 4
+    (n,) = struct.unpack("<i", fh.read(4))
+    fh.read(n)
+    (refs,) = struct.unpack("<i", fh.read(4))
     names = []
     for _ in range(refs):
-        (k,) = struct.unpack_from("<i", data, at)
-        names.append(data[at + 4 : at + 3 + k].decode())
-        at += 8 + k
-    while at < len(data):
-        (size,) = struct.unpack_from("<i", data, at)
-        ref, pos, name_len, mapq, _, cigars, flag, seq_len = struct.unpack_from("<iiBBHHHi", data, at + 4)
-        head = at + 36
-        name = data[head : head + name_len - 1].decode()
+        (k,) = struct.unpack("<i", fh.read(4))
+        names.append(fh.read(k)[:-1].decode())
+        fh.read(4)
+    return names
+
+
+def bam_records(fh: Bgzf, names: list[str], stop: int) -> Iterator[tuple]:
+    """(read_id, flag, chrom, strand, start, mapq, blocks, rlen, seq_length) of the records before the place ``stop``; unmapped reads have no chrom."""
+    while fh.tell() < stop:
+        raw = fh.read(4)
+        if len(raw) < 4:
+            return
+        data = fh.read(struct.unpack("<i", raw)[0])
+        ref, pos, name_len, mapq, _, cigars, flag, seq_len = struct.unpack_from("<iiBBHHHi", data)
+        name = data[32 : 32 + name_len - 1].decode()
         p, blocks = pos, []
-        for v in struct.unpack_from(f"<{cigars}I", data, head + name_len):
+        for v in struct.unpack_from(f"<{cigars}I", data, 32 + name_len):
             op, k = v & 15, v >> 4
             if op in (0, 7, 8):
                 if blocks and blocks[-1][1] == p:
@@ -229,39 +239,52 @@ def bam_records(data: bytes) -> Iterator[tuple]:
                 p += k
         mapped = ref >= 0 and not flag & 4
         yield name, flag, names[ref] if mapped else None, "-" if flag & 16 else "+", pos if mapped else None, mapq, blocks, sum(b - a for a, b in blocks), seq_len
-        at += 4 + size
-
 
-def inflate_bgzf(raw: bytes) -> bytes:
-    out, at = [], 0
-    while at < len(raw):
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(raw[at:]))
-        at = len(raw) - len(d.unused_data)
-    return b"".join(out)
 
+def read_bam(spark: SparkSession, paths: str | list[str], chrom: str | None = None, start: int = 0, end: int = 1 << 29, part: int = PART) -> DataFrame:
+    """Mapped reads of BAM files in the form that mapping rules take (blocks, rlen), with flag and mapq; with ``chrom``, those with an aligned position in [start, end).
 
-def read_bam(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Mapped reads of BAM files in the form that mapping rules take (blocks, rlen), with flag and mapq; one file per task."""
+    A file with its ``.bai`` beside it is read in parts that begin where the index knows a record to begin, of a region only the blocks that the index
+    names; a file without is one task, which holds one block at a time. Files must be of a mounted file system.
+    """
     schema = "read_id string, flag int, chrom string, strand string, start bigint, mapq int, blocks array<struct<start:bigint,end:bigint>>, rlen int, seq_length int"
+    cols = ["read_id", "flag", "chrom", "strand", "start", "mapq", "blocks", "rlen", "seq_length"]
+    files = local_files(spark, paths)
+    if files is None:
+        raise ValueError("BAM files must be of a file system that the tasks can open")
+    plan = []
+    for path, size in files:
+        if path.endswith(".bai"):
+            continue
+        fh = Bgzf(path)
+        names = bam_header(fh)
+        first = fh.tell()
+        index = next((bai(p) for p in (f"{path}.bai", path.removesuffix(".bam") + ".bai") if os.path.isfile(p)), None)
+        if chrom is not None and chrom not in names:
+            continue
+        if index is None:
+            ranges = [(first, size << 16)]
+        elif chrom is None:
+            ranges = split_places(index, first, size, part)
+        else:
+            ranges = region_chunks(index[names.index(chrom)], start, min(end, 1 << 29))
+        plan += [(path, a, b) for a, b in ranges]
+    if not plan:
+        return spark.createDataFrame([], schema)
+
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.int32(), pa.int32()]
+
+    def reads(path: str, a: int, b: int) -> Iterator[tuple]:
+        for r in bam_records(Bgzf(path, a), bam_header(Bgzf(path)), b):
+            if r[2] is not None and (chrom is None or r[2] == chrom and any(x < end and start < y for x, y in r[6])):
+                yield (*r[:6], [{"start": x, "end": y} for x, y in r[6]], *r[7:])
 
     def parse(batches):
-        import pandas as pd
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield from framed(reads(r["path"], r["begin"], r["stop"]), list(zip(cols, kinds)))
 
-        cols = ["read_id", "flag", "chrom", "strand", "start", "mapq", "blocks", "rlen", "seq_length"]
-        for pdf in batches:
-            for raw in pdf["content"]:
-                rows = []
-                for r in bam_records(inflate_bgzf(bytes(raw))):
-                    if r[2] is not None:
-                        rows.append((*r[:6], [{"start": a, "end": b} for a, b in r[6]], *r[7:]))
-                    if len(rows) >= 20_000:
-                        yield pd.DataFrame(rows, columns=cols)
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=cols)
-
-    return spark.read.format("binaryFile").load(paths).select("content").mapInPandas(parse, schema)
+    return spark.createDataFrame(plan, "path string, begin bigint, stop bigint").repartition(len(plan), "path", "begin").mapInArrow(parse, schema)
 
 
 def twobit_records(data: bytes) -> Iterator[tuple[str, str]]:

@@ -5,11 +5,18 @@ Rows that do not parse come back as a second DataFrame ``(line, reason)``; nothi
 
 from __future__ import annotations
 
+import gzip
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import chains as C
 from strandloom.operators.annotation import gff3_parents, parse_gff3_attributes, parse_gtf_attributes
+from strandloom.sources import spans
 
 #: Further columns of BED subtypes, with their types.
 BED_SUBTYPES = {
@@ -23,9 +30,31 @@ BED_SUBTYPES = {
 }
 
 
+def _zipped(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Lines (value) of the members of zip files, which are read whole, one a task."""
+
+    def members(raw: bytes) -> Iterator[tuple[str]]:
+        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            for name in z.namelist():
+                for line in io.TextIOWrapper(z.open(name), "utf-8", "replace", newline="\n"):
+                    yield (line.rstrip("\n"),)
+
+    def parse(batches):
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                yield from spans.framed(members(raw), [("value", pa.string())])
+
+    return spark.read.format("binaryFile").load(paths).select("content").mapInArrow(parse, "value string")
+
+
 def text_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Non-blank lines, without carriage returns at their ends."""
-    return spark.read.text(paths).select(F.regexp_replace("value", r"\r$", "").alias("line")).filter(F.trim("line") != "")
+    """Non-blank lines, without carriage returns at their ends. Compressed files are known by their names; zip files give the lines of all members."""
+    each = [paths] if isinstance(paths, str) else list(paths)
+    zips, rest = [p for p in each if p.endswith(".zip")], [p for p in each if not p.endswith(".zip")]
+    raw = spark.read.text(rest) if rest else None
+    if zips:
+        raw = _zipped(spark, zips) if raw is None else raw.select("value").unionByName(_zipped(spark, zips))
+    return raw.select(F.regexp_replace("value", r"\r$", "").alias("line")).filter(F.trim("line") != "")
 
 
 def _fields(df: DataFrame, sep: str = "\t") -> DataFrame:
@@ -150,48 +179,47 @@ def read_bowtie(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame,
     return ok, df.filter("reason is not null").select("line", "reason")
 
 
-def read_wiggle(spark: SparkSession, paths: str | list[str], strand: str = ".") -> tuple[DataFrame, DataFrame]:
+def read_wiggle(spark: SparkSession, paths: str | list[str], strand: str = ".", part: int = spans.PART) -> tuple[DataFrame, DataFrame]:
     """(runs, rejects) of wiggle and bedGraph: chrom, strand, start, end, value.
 
-    A data line belongs to the last declaration before it in its file. Lines of a file are numbered within a pass per file, since the format is
-    stateful; files are read in parallel.
+    A data line belongs to the last declaration before it in its file. Files are read in parts: a first pass finds the last declaration of each part and
+    the lines after it, one row a part, from which every part knows the one that it begins under.
     """
     schema = "chrom string, start bigint, end bigint, value double, line string"
-
-    def parse(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for text in pdf["content"]:
-                out, head, at = [], None, 0
-                for line in bytes(text).decode("utf-8", "replace").splitlines():
-                    x = line.split()
-                    if not x or x[0] in ("track", "browser") or x[0].startswith("#"):
-                        continue
-                    try:
-                        if x[0] in ("variableStep", "fixedStep"):
-                            head = dict(p.split("=", 1) for p in x[1:]) | {"kind": x[0]}
-                            at = int(head.get("start", 1))
-                            int(head.get("span", 1)), int(head.get("step", 1)), head["chrom"]
-                        elif len(x) == 4:
-                            out.append((x[0], int(x[1]), int(x[2]), float(x[3]), None))
-                        elif head and head["kind"] == "variableStep" and len(x) == 2:
-                            p = int(x[0]) - 1
-                            out.append((head["chrom"], p, p + int(head.get("span", 1)), float(x[1]), None))
-                        elif head and head["kind"] == "fixedStep" and len(x) == 1:
-                            out.append((head["chrom"], at - 1, at - 1 + int(head.get("span", 1)), float(x[0]), None))
-                            at += int(head.get("step", 1))
-                        else:
-                            out.append((None, None, None, None, line))
-                    except (ValueError, KeyError):
-                        out.append((None, None, None, None, line))
-                    if len(out) >= 50_000:
-                        yield pd.DataFrame(out, columns=["chrom", "start", "end", "value", "line"])
-                        out = []
-                if out:
-                    yield pd.DataFrame(out, columns=["chrom", "start", "end", "value", "line"]).astype({"start": "Int64", "end": "Int64"})
-
-    rows = spark.read.format("binaryFile").load(paths).select("content").mapInPandas(parse, schema)
+    fields = [("chrom", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.float64()), ("line", pa.string())]
+    files = spans.local_files(spark, paths)
+    if files is None:
+
+        def whole(batches):
+            for batch in batches:
+                for raw in batch.column(0).to_pylist():
+                    yield from spans.framed(spans.wiggle_rows(iter(raw.decode("utf-8", "replace").splitlines()), None, 0), fields)
+
+        rows = spark.read.format("binaryFile").load(paths).select("content").mapInArrow(whole, schema)
+    else:
+        plan = spans.parts(spark, files, part)
+
+        def heads(batches):
+            for batch in batches:
+                for r in batch.to_pylist():
+                    yield from spans.framed(iter([(*r.values(), *spans.wiggle_head(*r.values()))]), [("path", pa.string()), ("begin", pa.int64()), ("stop", pa.int64()), ("head", pa.string()), ("n", pa.int64())])
+
+        big = [f for f in files if f[1] > part]
+        known: dict[tuple[str, int], tuple[str | None, int]] = {}
+        if big:
+            head, n, last = None, 0, None
+            for r in sorted(spans.parts(spark, big, part).mapInArrow(heads, "path string, begin bigint, stop bigint, head string, n bigint").collect(), key=lambda r: (r["path"], r["begin"])):
+                head, n = (head, n) if r["path"] == last else (None, 0)
+                known[r["path"], r["begin"]] = (head, n)
+                head, n, last = (r["head"], r["n"], r["path"]) if r["head"] else (head, n + r["n"], r["path"])
+        under = spark.createDataFrame([(p, a, h, n) for (p, a), (h, n) in known.items()], "path string, begin bigint, head string, n bigint")
+
+        def parse(batches):
+            for batch in batches:
+                for r in batch.to_pylist():
+                    yield from spans.framed(spans.wiggle_rows((x for _, x in spans.lines_of(r["path"], r["begin"], r["stop"])), r["head"], r["n"]), fields)
+
+        rows = plan.join(F.broadcast(under), ["path", "begin"], "left").select("path", "begin", "stop", "head", F.coalesce("n", F.lit(0)).alias("n")).mapInArrow(parse, schema)
     return rows.filter("line is null").select("chrom", F.lit(strand).alias("strand"), "start", "end", "value"), rows.filter("line is not null").select("line", F.lit("no data of the declared form").alias("reason"))
 
 
@@ -216,19 +244,31 @@ def tile_sequences(records: DataFrame, tile: int = 32_768) -> DataFrame:
     return records.select(F.col("name").alias("chrom"), F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("tile_no"), "seq").select("chrom", "tile_no", F.expr(f"substring(seq, int(tile_no * {tile} + 1), {tile})").alias("seq"))
 
 
-def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(name, seq, qual): four lines to a record, numbered per file."""
+def read_fastq(spark: SparkSession, paths: str | list[str], part: int = spans.PART, rejects: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """(name, seq, qual): four lines to a record. Files are read in parts; compressed ones whole. With ``rejects``, also the lines that are part of no record, with the reason."""
+    schema, cols = "name string, seq string, qual string, line string", ["name", "seq", "qual", "line"]
+    files = spans.local_files(spark, paths)
+    if files is not None:
+        plan = spans.parts(spark, files, part)
+    else:
+        plan = spark.read.format("binaryFile").load(paths).select("path", "content")
 
-    def parse(batches):
-        import pandas as pd
+    def records(r: dict) -> Iterator[tuple]:
+        if files is not None:
+            with open(r["path"], "rb") as fh:
+                yield from spans.fastq_records(fh, r["begin"], r["stop"])
+        else:
+            raw = io.BytesIO(r["content"])
+            yield from spans.fastq_records(io.BytesIO(gzip.decompress(raw.getvalue())) if r["content"][:2] == b"\x1f\x8b" else raw)
 
-        for pdf in batches:
-            for text in pdf["content"]:
-                lines = bytes(text).decode("ascii", "replace").splitlines()
-                rows = [(lines[i][1:].split()[0], lines[i + 1], lines[i + 3]) for i in range(0, len(lines) - 3, 4) if lines[i].startswith("@")]
-                yield pd.DataFrame(rows, columns=["name", "seq", "qual"])
+    def parse(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield from spans.framed(records(r), [(c, pa.string()) for c in cols])
 
-    return spark.read.format("binaryFile").load(paths).select("content").mapInPandas(parse, "name string, seq string, qual string")
+    rows = plan.mapInArrow(parse, schema)
+    ok = rows.filter("line is null").drop("line")
+    return (ok, rows.filter("line is not null").select("line", F.lit("no record of four lines").alias("reason"))) if rejects else ok
 
 
 def read_flat_sequences(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from strandloom.operators.annotation import assemble_transcripts
 from strandloom.sources import binary as B
 from strandloom.sources import sinks as K
 from strandloom.sources import text as X
+from strandloom.sources.spans import read_tabix
 
 
 @pytest.fixture()
@@ -163,3 +164,99 @@ def test_write_lines(spark, tmp_path):
     v = spark.createDataFrame([("r1", [1.0, 2.0])], "region string, vector array<double>")
     K.write_vectors(v, "region", str(tmp_path / "v"))
     assert spark.read.text(str(tmp_path / "v")).filter("region = 'r1'").count() == 2
+
+
+def test_records_across_parts(spark, put):
+    """Small parts give what one part gives; headers with signs, qualities like headers, lines that are no record."""
+    fq = "".join(f"@r{i} x\n{'ACGT'[: 1 + i % 4]}\n+\n{'@III'[: 1 + i % 4]}\n" for i in range(200)) + "stray\n@bad\nAC\n+\nI\n@last\nG\n+\nI\n"
+    p = put("a.fq", fq)
+    for part in (97, 1 << 20):
+        ok, bad = X.read_fastq(spark, p, part=part, rejects=True)
+        assert sorted((r["name"], r["seq"]) for r in ok.collect()) == sorted([(f"r{i}", "ACGT"[: 1 + i % 4]) for i in range(200)] + [("last", "G")])
+        assert sorted(lines(bad)) == ["+", "@bad", "AC", "I", "stray"]
+    wig = "track x\nfixedStep chrom=c start=1 step=3\n" + "".join(f"{i}\n" for i in range(100)) + "variableStep chrom=d span=2\n" + "".join(f"{2 * i + 1} {i}\n" for i in range(100)) + "oops a\n"
+    w = put("a.wig", wig)
+    want = [("c", 3 * i, 3 * i + 1, float(i)) for i in range(100)] + [("d", 2 * i, 2 * i + 2, float(i)) for i in range(100)]
+    for part in (61, 1 << 20):
+        ok, bad = X.read_wiggle(spark, w, part=part)
+        assert sorted((r["chrom"], r["start"], r["end"], r["value"]) for r in ok.collect()) == want and lines(bad) == ["oops a"]
+
+
+def test_reader_faults(spark, put):
+    fa = put("b.fa", ">s1 map 3->5 end\nAC\nGT\n>s2\nTT\n")
+    assert {r["name"]: (r["description"], r["seq"]) for r in X.read_fasta(spark, fa).collect()} == {"s1": ("map 3->5 end", "ACGT"), "s2": ("", "TT")}
+    g = put("b.gff", "c\ts\texon\t1\t5\t.\t+\t.\tID=e;Parent=a%2Cb,c\nc s exon 1 5 . + . ID=blank\n##FASTA\n>c\nACGTN\n")
+    ok, bad = X.read_gff3(spark, g)
+    assert ok.collect()[0]["parents"] == ["a,b", "c"] and lines(bad) == ["c s exon 1 5 . + . ID=blank"]
+    import io
+    import zipfile
+
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("x.bed", "c\t1\t2\nc\t3\t4\n")
+        f.writestr("y.bed", "d\t5\t6\n")
+    assert X.read_bed(spark, put("a.zip", z.getvalue()))[0].count() == 3
+    b = spark.createDataFrame([(i, q, "c", "+", []) for i, q in enumerate("aabbbaca")], f"i int, query_name string, chrom string, strand string, segments {C.SEGMENTS}")
+    assert sorted((r["query_name"], len(r["alignments"])) for r in X.bundle_psl(b, "i").collect()) == [("a", 1), ("a", 1), ("a", 2), ("b", 3), ("c", 1)]
+    assert X.consecutive(b, "query_name", "i", chunk=3).groupBy("run").count().count() == 5 and X.bundle_psl(b).count() == 3
+
+
+def indexed(records, header, names, magic):
+    """(BGZF bytes of records (ref, start, end, bytes), index): a block every few records, bins and least places as the format has them."""
+    blob, places, held = b"", [], header
+    for n, r in enumerate(records):
+        if len(held) > 300:
+            blob += bgzf(held)
+            held = b""
+        places.append((len(blob) << 16 | len(held)))
+        held += r[3]
+    blob += bgzf(held)
+    places.append(len(blob) << 16)
+    blob += bgzf(b"")
+    out = magic
+    for ref in range(len(names)):
+        bins, linear = {}, {}
+        for (c, a, b, _), v, w in zip(records, places, places[1:]):
+            if c != ref:
+                continue
+            k = next(first + (a >> s) for s, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1), (29, 0)) if a >> s == (b - 1) >> s)
+            bins.setdefault(k, []).append((v, w))
+            for x in range(a >> 14, ((b - 1) >> 14) + 1):
+                linear[x] = min(v, linear.get(x, v))
+        out += struct.pack("<i", len(bins)) + b"".join(struct.pack("<Ii", k, len(c)) + b"".join(struct.pack("<QQ", *p) for p in c) for k, c in bins.items())
+        n = max(linear, default=-1) + 1
+        out += struct.pack("<i", n) + b"".join(struct.pack("<Q", linear.get(i, 0)) for i in range(n))
+    return blob, out
+
+
+def test_indexed_bam_and_tabix(spark, put, tmp_path):
+    """Several hundred blocks, read in parts and by region."""
+    r = __import__("random").Random(2)
+    spans_ = sorted((c, a, a + 30 + (5000 if r.random() < 0.1 else 0)) for c in range(2) for a in (r.randrange(400_000) for _ in range(3000)))
+
+    def record(i, c, a, b):
+        cigar = [(10, 0), (b - a - 30, 3), (20, 0)] if b - a > 30 else [(30, 0)]
+        body = struct.pack("<iiBBHHHiiii", c, a, 7, 30, 0, len(cigar), 0, 0, -1, -1, 0) + f"{i:06d}".encode() + b"\0" + b"".join(struct.pack("<I", n << 4 | op) for n, op in cigar)
+        return struct.pack("<i", len(body)) + body
+
+    head = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 2) + b"".join(struct.pack("<i", 3) + n + b"\0" + struct.pack("<i", 1 << 20) for n in (b"c0", b"c1"))
+    blob, index = indexed([(c, a, b, record(i, c, a, b)) for i, (c, a, b) in enumerate(spans_)], head, "ab", b"BAI\1" + struct.pack("<i", 2))
+    p = put("i.bam", blob)
+    plain = {x["read_id"] for x in B.read_bam(spark, p).collect()}
+    put("i.bam.bai", index)
+    assert len(plain) == len(spans_) and {x["read_id"] for x in B.read_bam(spark, p, part=20_000).collect()} == plain
+    lo, hi = 123_456, 131_000
+    got = [x["read_id"] for x in B.read_bam(spark, p, "c1", lo, hi).collect()]
+    blocks = lambda a, b: [(a, a + 10), (b - 20, b)] if b - a > 30 else [(a, b)]
+    want = [f"{i:06d}" for i, (c, a, b) in enumerate(spans_) if c == 1 and any(x < hi and lo < y for x, y in blocks(a, b))]
+    assert sorted(got) == want and want and B.read_bam(spark, p, "nowhere").count() == 0
+
+    rows = [(c, a, b, f"c{c}\t{a}\t{b}\tn{i}\n".encode()) for i, (c, a, b) in enumerate(spans_)]
+    names = b"c0\0c1\0"
+    blob, index = indexed(rows, b"#head\n", "ab", b"TBI\1" + struct.pack("<8i", 2, 0x10000, 1, 2, 3, ord("#"), 0, len(names)) + names)
+    t = put("t.bed.gz", blob)
+    put("t.bed.gz.tbi", bgzf(index[:60_000]) + (bgzf(index[60_000:]) if index[60_000:] else b"") + bgzf(b""))
+    assert read_tabix(spark, t, part=20_000).count() == len(rows)
+    regions = [("c0", lo, hi), ("c0", lo + 10, hi + 5000), ("c1", 0, 300), ("zz", 0, 9)]
+    got = sorted(x["line"] for x in read_tabix(spark, t, regions).collect())
+    assert got == sorted(x.decode().strip() for c, a, b, x in rows if any(f"c{c}" == n and a < e and s < b for n, s, e in regions))
