@@ -17,6 +17,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is evaluated once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def segment(start: Column | str, end: Column | str) -> Column:
     return F.struct(col(start).cast("bigint").alias("start"), col(end).cast("bigint").alias("end"))
 
@@ -162,12 +167,18 @@ def get_gene(attr: Column | str, name: Column | str) -> Column:
 # Coding regions: bounds are genomic, null where nothing is coded.
 def cds_bounds(segs: Column | str, strand: Column | str, cds_genome_start: Column | str, cds_genome_end: Column | str) -> Column:
     """struct<start, end> of the coding region in the chain's own coordinates, from its genomic bounds."""
-    lo = chain_coordinate(segs, strand, cds_genome_start)
-    hi = chain_coordinate(segs, strand, col(cds_genome_end) - 1)
-    # A genomic end in an intron stands for the end of the exon before.
-    inside = F.aggregate(col(segs), F.lit(None).cast("bigint"), lambda a, s: F.when(s["start"] < col(cds_genome_end), F.least(s["end"], col(cds_genome_end))).otherwise(a))
-    hi = F.coalesce(hi, chain_coordinate(segs, strand, inside - 1))
-    return F.when(lo.isNotNull() & hi.isNotNull(), F.struct(F.least(lo, hi).alias("start"), (F.greatest(lo, hi) + 1).alias("end")))
+    end = col(cds_genome_end)
+    # A genomic end in an intron stands for the end of the exon before; one behind the chain for none.
+    inside = F.aggregate(col(segs), F.lit(None).cast("bigint"), lambda a, s: F.when(s["start"] < end, F.least(s["end"], end)).otherwise(a))
+
+    def bounds(o: Column) -> Column:
+        at = lambda p: F.aggregate(o, F.lit(None).cast("bigint"), lambda a, s: F.when((p >= s["start"]) & (p < s["end"]), s["off"] + p - s["start"]).otherwise(a))
+        x = F.struct(at(col(cds_genome_start).cast("bigint")).alias("lo"), at(inside - 1).alias("hi"), F.aggregate(o, F.lit(0).cast("bigint"), lambda a, s: s["off"] + s["end"] - s["start"]).alias("n"))
+        minus = col(strand) == "-"
+        turned = lambda b: F.struct(F.when(minus, b["n"] - b["hi"] - 1).otherwise(b["lo"]).alias("start"), F.when(minus, b["n"] - b["lo"]).otherwise(b["hi"] + 1).alias("end"))
+        return let(x, lambda b: F.when(b["lo"].isNotNull() & b["hi"].isNotNull(), turned(b)))
+
+    return let(offsets(segs), bounds)
 
 
 def cds_genome_bounds(segs: Column | str, strand: Column | str, cds_start: Column | str, cds_end: Column | str) -> Column:
@@ -198,18 +209,22 @@ def add_three_for_stop(segs: Column | str, strand: Column | str, cds_genome_star
 
     The stop codon skips introns; where the chain ends first, its terminal segment grows.
     """
-    b = cds_bounds(segs, strand, cds_genome_start, cds_genome_end)
-    over = F.greatest(b["end"] + 3 - length(segs), F.lit(0))
     s = col(segs)
     minus = col(strand) == "-"
     n = F.size(s)
-    grown = F.transform(s, lambda x, i: F.struct((x["start"] - F.when(minus & (i == 0), over).otherwise(0)).alias("start"), (x["end"] + F.when(~minus & (i == n - 1), over).otherwise(0)).alias("end")))
-    last = genomic_coordinate(grown, strand, b["end"] + 2)
-    lo = F.when(minus, last).otherwise(col(cds_genome_start)).cast("bigint")
-    hi = F.when(minus, col(cds_genome_end)).otherwise(last + 1).cast("bigint")
-    coding = F.struct(grown.alias("segments"), lo.alias("cds_genome_start"), hi.alias("cds_genome_end"))
     same = F.struct(s.cast(SEGMENTS).alias("segments"), col(cds_genome_start).cast("bigint").alias("cds_genome_start"), col(cds_genome_end).cast("bigint").alias("cds_genome_end"))
-    return F.when(b.isNull(), same).otherwise(coding)
+
+    def grow(b: Column) -> Column:
+        over = F.greatest(b["end"] + 3 - length(segs), F.lit(0))
+        return F.transform(s, lambda x, i: F.struct((x["start"] - F.when(minus & (i == 0), over).otherwise(0)).alias("start"), (x["end"] + F.when(~minus & (i == n - 1), over).otherwise(0)).alias("end")))
+
+    def coding(g: Column, last: Column) -> Column:
+        lo = F.when(minus, last).otherwise(col(cds_genome_start)).cast("bigint")
+        hi = F.when(minus, col(cds_genome_end)).otherwise(last + 1).cast("bigint")
+        return F.struct(g.cast(SEGMENTS).alias("segments"), lo.alias("cds_genome_start"), hi.alias("cds_genome_end"))
+
+    extended = lambda b: let(grow(b), lambda g: let(genomic_coordinate(g, strand, b["end"] + 2), lambda last: coding(g, last)))
+    return let(cds_bounds(segs, strand, cds_genome_start, cds_genome_end), lambda b: F.when(b.isNull(), same).otherwise(extended(b)))
 
 
 # Text forms.

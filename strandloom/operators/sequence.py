@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import chains as C
+from strandloom.session import materialize
 
 #: IUPAC nucleotide codes.
 IUPAC = {
@@ -90,6 +91,7 @@ def repeated_kmers(mers: DataFrame, mismatches: int = 0) -> DataFrame:
     canon = mers.filter(~F.col("kmer").contains("N")).withColumn("c", F.least("kmer", rc)).withColumn("own", F.col("kmer") == rc)
     tally = canon.groupBy("c").agg(F.sum(F.when(F.col("own"), 2).otherwise(1)).alias("n"))
     if mismatches:
+        tally = materialize(tally, "kmers")
         k = mers.select(F.max(F.length("kmer"))).collect()[0][0] or 0
         cuts = [round(i * k / (mismatches + 1)) for i in range(mismatches + 2)]
         piece = lambda c: F.array(*[F.struct(F.lit(i).alias("i"), F.substring(F.col(c), cuts[i] + 1, cuts[i + 1] - cuts[i]).alias("p")) for i in range(mismatches + 1)])
@@ -97,8 +99,11 @@ def repeated_kmers(mers: DataFrame, mismatches: int = 0) -> DataFrame:
         both = tally.select("c", "n", F.explode(F.array("c", reverse_complement("c"))).alias("d")).distinct()
         v = both.select("d", "n", F.col("c").alias("cd"), F.explode(piece("d")).alias("x")).select("d", "n", "cd", F.col("x.i").alias("i"), F.col("x.p").alias("p"))
         far = F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.lit(0), lambda a, i: a + (F.substring("c", i, F.lit(1)) != F.substring("d", i, F.lit(1))).cast("int"))
-        near = u.join(v, ["i", "p"]).filter(F.col("c") != F.col("d")).select("c", "d", "cd", "n").distinct().filter(far <= mismatches)
-        tally = tally.unionByName(near.filter("cd <> c").groupBy("c").agg(F.sum("n").alias("n"))).unionByName(near.filter("cd = c").groupBy("c").agg(F.count(F.lit(1)).alias("n"))).groupBy("c").agg(F.sum("n").alias("n"))
+        # The edit distance, which is cut off early, is no greater than the Hamming distance.
+        close = (F.col("c") != F.col("d")) & (F.levenshtein("c", "d", mismatches) >= 0)
+        near = u.join(v, ["i", "p"]).filter(close).select("c", "d", "cd", "n").distinct().filter(far <= mismatches)
+        # Occurrences of other k-mers; of its own reverse complement, each occurrence counts the other strand of itself.
+        tally = tally.unionByName(near.select("c", F.when(F.col("cd") != F.col("c"), F.col("n")).otherwise(1).alias("n"))).groupBy("c").agg(F.sum("n").alias("n"))
     return canon.join(tally.filter("n > 1").select("c"), "c", "left_semi").select("chrom", "pos")
 
 
