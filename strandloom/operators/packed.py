@@ -129,11 +129,11 @@ def split_packed(df: DataFrame, field: str, kind: str, size: str | None = None,
     base = df.drop("item_pos", "item_text", "n_values", "dialect", "n_parses", "lead_bits").withColumn("__body", _body(F.col(field)))
     base = base.withColumn("__size", F.col(size).cast("int") if size else F.lit(None).cast("int"))
     base = base.filter(F.col("__body").isNotNull() & ~F.col("__body").isin("", "."))
-    base = base.withColumn("__shape", _shape(F.col("__body"), kind))
-    base = base.withColumn("__key", F.concat(F.coalesce(F.col("__size").cast("string"), F.lit("")), F.lit(":"), "__shape"))
-    best = materialize(score_dialects(base.select("__key", "__shape", "__size"), kind), "dialects")
+    # Written once, as fields are read for their shapes and for the split.
+    base = materialize(base.withColumn("__key", F.concat(F.coalesce(F.col("__size").cast("string"), F.lit("")), F.lit(":"), _shape(F.col("__body"), kind))), "fields")
+    best = materialize(score_dialects(base.select("__key", F.expr("substring(__key, position(':' in __key) + 1)").alias("__shape"), "__size"), kind), "dialects")
     few = maybe_broadcast(best)
-    kept = base.drop("__shape", "__size")
+    kept = base.drop("__size")
     won = kept.join(few, "__key") if few is not best else salted_join(kept, best, "__key")
     di = F.col("di")
     parse = F.when(di == 0, _places(F.col("__body"), DIALECTS[0]))
