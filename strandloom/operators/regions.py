@@ -61,10 +61,22 @@ def region_sites(counts: DataFrame, chains: DataFrame, key: str) -> DataFrame:
     return hit.select(F.col(f"{key}_r").alias(key), F.when(F.col("strand_r") == "-", F.col("n_r") - 1 - at).otherwise(at).alias("off"), "value", "pos", F.col("strand_r").alias("strand"))
 
 
-def count_vectors(counts: DataFrame, chains: DataFrame, key: str) -> DataFrame:
-    """(key, ``vector``): the values along each chain from its 5' end, absent sites 0."""
+def track_vectors(runs: DataFrame, chains: DataFrame, key: str, fill: float = float("nan")) -> DataFrame:
+    """(key, ``vector``): the values of a track without strand (chrom, start, end, value) along each chain from its 5' end, ``fill`` where it has none.
+
+    Runs are cut to the chains' segments before they are laid out, so what is expanded is no more than the chains are long.
+    """
+    segs = chains.select("chrom", "strand", F.explode("segments").alias("s")).select("chrom", "strand", "s.start", "s.end").distinct()
+    met = overlap_join(runs.withColumn("strand", F.lit(".")), segs).filter("end > start")
+    cut = met.select("chrom", F.col("strand_r").alias("strand"), F.greatest("start", "start_r").alias("a"), F.least("end", "end_r").alias("b"), "value")
+    sites = cut.select("chrom", "strand", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("pos"), "value").distinct()
+    return count_vectors(sites, chains, key, fill)
+
+
+def count_vectors(counts: DataFrame, chains: DataFrame, key: str, fill: float = 0.0) -> DataFrame:
+    """(key, ``vector``): the values along each chain from its 5' end, absent sites ``fill``."""
     got = region_sites(counts, chains, key).groupBy(key, "off").agg(F.sum("value").cast("double").alias("value")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("v"))
-    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    zeros = lambda n: F.array_repeat(F.lit(float(fill)), n.cast("int"))
     before = lambda i: F.when(i == 0, F.lit(-1).cast("bigint")).otherwise(F.get(F.col("v"), i - 1)["off"])
     filled = F.flatten(F.transform("v", lambda x, i: F.concat(zeros(x["off"] - before(i) - 1), F.array(x["value"]))))
     tail = F.col("n") - 1 - F.element_at("v", -1)["off"]

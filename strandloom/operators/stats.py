@@ -112,8 +112,10 @@ def triangle(a: Column, b: Column, c: Column) -> Column:
 def kernel_density(df: DataFrame, x: str, points: int = 100, log: float | None = None) -> DataFrame:
     """Gaussian kernel density over ``points`` equal steps with Scott's bandwidth: x, density. The grid is fixed; samples are summed per task.
 
-    With ``log``, the density of the logarithms to that base (of values above 0), x being their antilogarithm.
+    With ``log``, the density of the logarithms to that base (of values above 0), x being their antilogarithm. Nulls, NaN and infinities are left out.
     """
+    v = F.col(x).cast("double")
+    df = df.filter(F.col(x).isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     if log is not None:
         d = kernel_density(df.filter(F.col(x) > 0).select((F.log(F.col(x)) / math.log(log)).alias(x)), x, points)
         return d.select(F.pow(F.lit(float(log)), "x").alias("x"), "density")

@@ -6,6 +6,7 @@ repeated work.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -27,13 +28,16 @@ class Record:
     """A fixed binary layout: names and a struct format."""
 
     def __init__(self, fmt: str, names: list[str], order: str = "<") -> None:
-        self.struct, self.names = struct.Struct(order + fmt), names
+        self.form, self.struct, self.names = (fmt, names, order), struct.Struct(order + fmt), names
+
+    def __reduce__(self):
+        return Record, self.form
 
     def read(self, fh) -> dict:
         return dict(zip(self.names, self.struct.unpack(fh.read(self.struct.size))))
 
     def write(self, **values) -> bytes:
-        return self.struct.pack(*[values[n] for n in self.names])
+        return self.struct.pack(*[values.get(n, 0) for n in self.names])
 
 
 HEADER = Record("IHHQQQHHQQIQ", ["magic", "version", "zoom_levels", "chrom_tree", "data", "index", "fields", "bed_fields", "autosql", "summary", "buffer", "extension"])
@@ -43,6 +47,8 @@ INDEX = Record("IIQIIIIQII", ["magic", "block_size", "count", "chrom0", "base0",
 LEAF = Record("IIIIQQ", ["chrom0", "base0", "chrom1", "base1", "offset", "size"])
 BRANCH = Record("IIIIQ", ["chrom0", "base0", "chrom1", "base1", "offset"])
 SUMMARY = Record("Qdddd", ["bases", "least", "greatest", "total", "squares"])
+EXTENSION = Record("HHQ48x", ["size", "indexes", "list"])
+EXTRA_INDEX = Record("HHQIHH", ["kind", "fields", "offset", "reserved", "field", "reserved2"])
 SECTION = Record("IIIIIBBH", ["chrom", "start", "end", "step", "span", "kind", "reserved", "count"])
 
 
@@ -85,8 +91,74 @@ def _blocks(fh, at: int, want: tuple[int, int, int] | None) -> list[tuple[int, i
     return sorted(out)
 
 
+def _extra_indexes(fh, h: dict) -> dict[int, int]:
+    """Offsets of the search trees of a bigBed file, by number of the field."""
+    if not h["extension"]:
+        return {}
+    fh.seek(h["extension"])
+    x = EXTENSION.read(fh)
+    fh.seek(x["list"])
+    return {e["field"]: e["offset"] for e in [EXTRA_INDEX.read(fh) for _ in range(x["indexes"])]}
+
+
+def _search_tree(fh, at: int, key: bytes) -> list[tuple[int, int]]:
+    """(offset, size) of the data blocks that a search tree has for a key."""
+    fh.seek(at)
+    t = TREE.read(fh)
+    if t["magic"] != CHROM_TREE:
+        raise ValueError("no search tree")
+    key, out, todo = key.ljust(t["key_size"], b"\0"), [], [fh.tell()]
+    while todo:
+        fh.seek(todo.pop())
+        n = NODE.read(fh)
+        if n["is_leaf"]:
+            for _ in range(n["count"]):
+                k, v = fh.read(t["key_size"]), fh.read(16)
+                if k == key:
+                    out.append(struct.unpack("<QQ", v))
+        else:
+            items = [(fh.read(t["key_size"]), *struct.unpack("<Q", fh.read(8))) for _ in range(n["count"])]
+            # A child holds keys from its own up to the next one's, which equal keys may go on past.
+            todo += [c for (k, c), nxt in zip(items, [*items[1:], None]) if k <= key and (nxt is None or nxt[0] >= key)]
+    return sorted(set(out))
+
+
+def search_bigbed(spark: SparkSession, path: str, field: str, values: list[str]) -> DataFrame:
+    """The records of a bigBed file whose ``field`` is one of ``values``, through the field's search tree; a field without one is an error.
+
+    Result: chrom, start, end, rest. Only the blocks that the tree names are read; values are spread over tasks.
+    """
+    from strandloom.sources.text import parse_autosql
+
+    info = ucsc_info(path)
+    if field not in info.get("indexed_fields", []):
+        raise ValueError(f"{field!r} is not indexed in {path}; indexed are {info.get('indexed_fields', [])}")
+    i = [c for c, _, _ in parse_autosql(info["autosql"])[1]].index(field)
+    fields = [("chrom", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("rest", pa.string())]
+
+    def found(value: str) -> Iterator[tuple]:
+        with open(path, "rb") as fh:
+            h = HEADER.read(fh)
+            chroms = _chroms(fh, h["chrom_tree"])
+            for offset, size in _search_tree(fh, _extra_indexes(fh, h)[i], value.encode()):
+                fh.seek(offset)
+                data = fh.read(size)
+                for x in _bed_items(zlib.decompress(data) if h["buffer"] else data, chroms):
+                    if i >= 3 and x[3].split("\t")[i - 3 : i - 2] == [value] or i == 0 and x[0] == value:
+                        yield x
+
+    def f(batches):
+        for b in batches:
+            for v in b.column(0).to_pylist():
+                yield from framed(found(v), fields)
+
+    return spark.createDataFrame([(v,) for v in dict.fromkeys(values)], "v string").mapInArrow(f, "chrom string, start bigint, end bigint, rest string")
+
+
 def ucsc_info(path: str) -> dict:
-    """Header, chromosomes, autoSql and number of records of a bigWig or bigBed file."""
+    """Header, chromosomes, autoSql, number of records and fields with a search tree of a bigWig or bigBed file."""
+    from strandloom.sources.text import parse_autosql
+
     with open(path, "rb") as fh:
         h = HEADER.read(fh)
         if h["magic"] not in (BIGWIG, BIGBED):
@@ -101,6 +173,9 @@ def ucsc_info(path: str) -> dict:
         if out["kind"] == "bigbed":
             fh.seek(h["data"])
             out["records"] = struct.unpack("<Q", fh.read(8))[0]
+            extra = sorted(_extra_indexes(fh, h))
+            names = [c for c, _, _ in parse_autosql(out["autosql"])[1]] if extra and out.get("autosql") else []
+            out["indexed_fields"] = [names[i] if i < len(names) else str(i) for i in extra]
     return out
 
 
@@ -139,12 +214,17 @@ class _UcscReader(DataSourceReader):
         self.options, self.kind = options, kind
         self.paths = [p for p in options.get("path", "").split(",") if p]
 
-    def _want(self, chroms) -> tuple[int, int, int] | None:
+    def _regions(self) -> list[list] | None:
+        """[chrom, start, end, strand or None] of each region asked for; None for all."""
         o = self.options
-        if "chrom" not in o:
-            return None
+        if "regions" in o:
+            return [[*r, None][:4] for r in json.loads(o["regions"])]
+        return [[o["chrom"], int(o.get("start", 0)), int(o.get("end", 1 << 32)), o.get("strand")]] if "chrom" in o else None
+
+    def _want(self, chroms) -> list[tuple[int, int, int]] | None:
         ids = {n: i for i, (n, _) in chroms.items()}
-        return (ids.get(o["chrom"], -1), int(o.get("start", 0)), int(o.get("end", 1 << 32)))
+        regions = self._regions()
+        return None if regions is None else [(ids.get(c, -1), a, b) for c, a, b, _ in regions]
 
     def partitions(self):
         out = []
@@ -153,7 +233,8 @@ class _UcscReader(DataSourceReader):
                 h = HEADER.read(fh)
                 if h["magic"] != (BIGWIG if self.kind == "bigwig" else BIGBED):
                     raise ValueError(f"{p} is no {self.kind} file")
-                b = _blocks(fh, h["index"], self._want(_chroms(fh, h["chrom_tree"])))
+                want = self._want(_chroms(fh, h["chrom_tree"]))
+                b = sorted({x for w in ([None] if want is None else want) for x in _blocks(fh, h["index"], w)})
             out += [_Range(p, b[i : i + BLOCKS]) for i in range(0, len(b), BLOCKS)]
         return out or [_Range("", [])]
 
@@ -163,14 +244,15 @@ class _UcscReader(DataSourceReader):
         with open(part.path, "rb") as fh:
             h = HEADER.read(fh)
             chroms = _chroms(fh, h["chrom_tree"])
-            want = self._want(chroms)
+            regions = self._regions()
+            meets = lambda x: any(x[0] == c and x[1] < b and a < x[2] and (s in (None, ".") or self.kind == "bigwig" or (x[3].split("\t") + ["."] * 3)[2] in (s, ".")) for c, a, b, s in regions)
             for offset, size in part.blocks:
                 fh.seek(offset)
                 data = fh.read(size)
                 if h["buffer"]:
                     data = zlib.decompress(data)
                 for x in (_wig_items if self.kind == "bigwig" else _bed_items)(data, chroms):
-                    if not want or (x[0] == self.options["chrom"] and x[1] < want[2] and want[1] < x[2]):
+                    if regions is None or meets(x):
                         yield x
 
 
@@ -189,7 +271,11 @@ class BigWigSource(DataSource):
 
 
 class BigBedSource(DataSource):
-    """``spark.read.format("bigbed").load(path)``: chrom, start, end, rest (tab-separated further fields)."""
+    """``spark.read.format("bigbed").load(path)``: chrom, start, end, rest (tab-separated further fields).
+
+    Options chrom, start, end, strand give one region, ``regions`` several as JSON ``[[chrom, start, end, strand], ...]``; only the blocks that they meet are
+    read, and a record that meets several comes out once. Records on ``.`` meet either strand.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -338,11 +424,13 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(BigBedSource)
 
 
-def write_ucsc(path: str, kind: str, chroms: dict[str, int], items: list[tuple], per_block: int = 512, autosql: str = "") -> None:
-    """A small bigWig (chrom, start, end, value) or bigBed (chrom, start, end, rest) file from sorted items: one index level."""
+def write_ucsc(path: str, kind: str, chroms: dict[str, int], items: list[tuple], per_block: int = 512, autosql: str = "", indexed: list[str] | None = None) -> None:
+    """A small bigWig (chrom, start, end, value) or bigBed (chrom, start, end, rest) file from sorted items: one index level. ``indexed`` fields of a bigBed file, by their autoSql names, get a search tree."""
+    from strandloom.sources.text import parse_autosql
+
     ids = {n: i for i, n in enumerate(sorted(chroms))}
     key = max(map(len, chroms), default=1)
-    blocks = []
+    blocks, rests, places = [], [], []
     by_chrom = sorted(items, key=lambda x: (ids[x[0]], x[1]))
     i = 0
     while i < len(by_chrom):
@@ -353,6 +441,7 @@ def write_ucsc(path: str, kind: str, chroms: dict[str, int], items: list[tuple],
         else:
             data = b"".join(struct.pack("<III", c, x[1], x[2]) + x[3].encode() + b"\0" for x in part)
         blocks.append((c, part[0][1], max(x[2] for x in part), zlib.compress(data), len(data)))
+        rests.append([x[3] for x in part])
         i += len(part)
     head, sql = HEADER.struct.size, autosql.encode() + b"\0" if autosql else b""
     tree_at = head + len(sql) + SUMMARY.struct.size
@@ -363,13 +452,27 @@ def write_ucsc(path: str, kind: str, chroms: dict[str, int], items: list[tuple],
         body, at = struct.pack("<I", len(blocks)), data_at + 4
     for c, a, b, z, _ in blocks:
         leaves += LEAF.write(chrom0=c, base0=a, chrom1=c, base1=b, offset=at, size=len(z))
+        places.append((at, len(z)))
         body += z
         at += len(z)
     last = blocks[-1] if blocks else (0, 0, 0, b"", 0)
     index = INDEX.write(magic=BLOCK_TREE, block_size=max(1, len(blocks)), count=len(blocks), chrom0=0, base0=0, chrom1=last[0], base1=last[2], end=at, per_slot=per_block, reserved=0) + NODE.write(is_leaf=1, reserved=0, count=len(blocks)) + leaves
+    extra, extension = b"", 0
+    if indexed:
+        names = [c for c, _, _ in parse_autosql(autosql)[1]]
+        extension = at + len(index)
+        tree_at2 = extension + EXTENSION.struct.size + len(indexed) * EXTRA_INDEX.struct.size
+        listed, trees = b"", b""
+        for name in indexed:
+            i = names.index(name)
+            keys = sorted({(r.split("\t")[i - 3].encode(), p) for rs, p in zip(rests, places) for r in rs})
+            size = max(len(k) for k, _ in keys)
+            listed += EXTRA_INDEX.write(fields=1, offset=tree_at2 + len(trees), field=i)
+            trees += TREE.write(magic=CHROM_TREE, block_size=len(keys), key_size=size, val_size=16, count=len(keys)) + NODE.write(is_leaf=1, count=len(keys)) + b"".join(k.ljust(size, b"\0") + struct.pack("<QQ", *p) for k, p in keys)
+        extra = EXTENSION.write(size=EXTENSION.struct.size, indexes=len(indexed), list=extension + EXTENSION.struct.size) + listed + trees
     w = [(x[2] - x[1], x[3]) for x in items] if kind == "bigwig" else []
     summary = SUMMARY.write(bases=sum(n for n, _ in w), least=min((v for _, v in w), default=0.0), greatest=max((v for _, v in w), default=0.0), total=float(sum(n * v for n, v in w)), squares=float(sum(n * v * v for n, v in w)))
     n_fields = 3 + (items[0][3].count("\t") + 1 if kind == "bigbed" and items and items[0][3] else 0)
-    h = HEADER.write(magic=BIGWIG if kind == "bigwig" else BIGBED, version=4, zoom_levels=0, chrom_tree=tree_at, data=data_at, index=at, fields=n_fields if kind == "bigbed" else 0, bed_fields=min(n_fields, 12) if kind == "bigbed" else 0, autosql=head if sql else 0, summary=head + len(sql), buffer=max((b[4] for b in blocks), default=1), extension=0)
+    h = HEADER.write(magic=BIGWIG if kind == "bigwig" else BIGBED, version=4, zoom_levels=0, chrom_tree=tree_at, data=data_at, index=at, fields=n_fields if kind == "bigbed" else 0, bed_fields=min(n_fields, 12) if kind == "bigbed" else 0, autosql=head if sql else 0, summary=head + len(sql), buffer=max((b[4] for b in blocks), default=1), extension=extension)
     with open(path, "wb") as fh:
-        fh.write(h + sql + summary + tree + body + index)
+        fh.write(h + sql + summary + tree + body + index + extra)

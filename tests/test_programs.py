@@ -1,4 +1,3 @@
-import os
 import random
 
 import pytest
@@ -42,10 +41,6 @@ def test_counts_and_tracks(spark, files, tmp_path):
     assert spark.read.text(str(tmp_path / "w" / "fw")).filter("value like 'variableStep%'").count() == 1
 
 
-slow = pytest.mark.skipif(not os.environ.get("STRANDLOOM_ALL"), reason="minutes long; STRANDLOOM_ALL=1 runs it")
-
-
-@slow
 def test_models_and_profiles(spark, files, tmp_path):
     f = lambda n: str(files / n)
     cs, mg = str(tmp_path / "cs"), str(tmp_path / "mg")
@@ -66,7 +61,6 @@ def test_models_and_profiles(spark, files, tmp_path):
         assert abs(r["phase0"] + r["phase1"] + r["phase2"] - 1) < 1e-9
 
 
-@slow
 def test_junctions_and_formats(spark, files, tmp_path):
     f = lambda n: str(files / n)
     P.findjuncs(spark, str(tmp_path / "j"), f("t.bed"))

@@ -129,6 +129,31 @@ def test_ucsc(spark, tmp_path):
     assert B.ucsc_info(b)["records"] == 3 and B.ucsc_info(b)["autosql"].startswith("table t")
 
 
+def test_bigbed_search_and_regions(spark, tmp_path):
+    B.register(spark)
+    p = str(tmp_path / "s.bb")
+    beds = [("c1", i * 10, i * 10 + 15, f"n{i % 7}\t0\t{'+-.'[i % 3]}") for i in range(60)] + [("c2", 3, 9, "n3\t1\t-")]
+    sql = 'table t "d" ( string chrom; "c" uint chromStart; "s" uint chromEnd; "e" string name; "n" uint score; "x" char[1] strand; "o" )'
+    B.write_ucsc(p, "bigbed", {"c1": 1000, "c2": 50}, beds, per_block=8, autosql=sql, indexed=["name", "score"])
+    assert B.ucsc_info(p)["indexed_fields"] == ["name", "score"]
+    assert sorted(map(tuple, B.search_bigbed(spark, p, "name", ["n3", "n6", "n3", "none"]).collect())) == sorted(x for x in beds if x[3].split("\t")[0] in ("n3", "n6"))
+    assert [tuple(r) for r in B.search_bigbed(spark, p, "score", ["1"]).collect()] == [beds[-1]]
+    with pytest.raises(ValueError, match="not indexed"):
+        B.search_bigbed(spark, p, "strand", ["+"])
+    got = spark.read.format("bigbed").option("regions", '[["c1", 100, 130, "+"], ["c1", 120, 140], ["c2", 0, 4, "+"]]').load(p).collect()
+    want = [x for x in beds if x[0] == "c1" and (x[1] < 130 and x[2] > 100 and x[3][-1] in "+." or x[1] < 140 and x[2] > 120)]
+    assert sorted(map(tuple, got)) == want and len({tuple(r) for r in got}) == len(got)
+
+
+def test_track_vectors(spark):
+    from strandloom.operators.regions import track_vectors
+
+    runs = spark.createDataFrame([("c", 2, 5, 1.5), ("c", 8, 20, 2.0)], "chrom string, start bigint, end bigint, value double")
+    ch = spark.createDataFrame([("a", "c", "-", [(0, 4), (9, 11)]), ("b", "d", "+", [(0, 2)])], f"k string, chrom string, strand string, segments {C.SEGMENTS}")
+    got = {r["k"]: r["vector"] for r in track_vectors(runs, ch, "k", -1.0).collect()}
+    assert got == {"a": [2.0, 2.0, 1.5, 1.5, -1.0, -1.0], "b": [-1.0, -1.0]}
+
+
 def bgzf(data):
     c = zlib.compressobj(6, zlib.DEFLATED, -15)
     z = c.compress(data) + c.flush()
