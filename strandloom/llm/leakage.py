@@ -147,12 +147,14 @@ def _search(segment: dict, queries: Queries, run: int, near: int | None) -> Iter
     deltas = np.frombuffer(zstandard.ZstdDecompressor().decompress(segment["postings"]), np.uint8).reshape(4, n).T.copy().view("<u4").ravel()
     heads = np.cumsum(sizes) - sizes
     starts = np.asarray(segment["doc_starts"])
-    cache: dict[int, np.ndarray] = {}
+    # All lists at once: sums over the whole, less what was reached before each list.
+    places = np.cumsum(deltas, dtype=np.int64)
+    places -= np.repeat(places[heads] - deltas[heads], sizes)
+    at_place = np.full(int(places.max()) + 2, -2, np.int32)  # the word at each place, for looking at an alignment as a whole
+    at_place[places] = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
 
     def postings(t: int) -> np.ndarray:
-        if t not in cache:
-            cache[t] = np.cumsum(deltas[heads[t] : heads[t] + sizes[t]].astype(np.int64))
-        return cache[t]
+        return places[heads[t] : heads[t] + sizes[t]]
 
     for i in passages:
         t = stream[queries.ends[i - 1] if i else 0 : queries.ends[i]]
@@ -168,6 +170,8 @@ def _search(segment: dict, queries: Queries, run: int, near: int | None) -> Iter
         # Offset-adjusted lists of the anchors hold places at which the passage would begin; a match needs several that agree.
         begins = np.sort(np.concatenate([postings(t[a]) - a for a in anchors]))
         begins = np.unique(begins[: 1 - need][begins[need - 1 :] - begins[: 1 - need] <= 2 * slack])
+        if not len(begins):
+            continue
 
         def standing(at: np.ndarray, off: int) -> np.ndarray:
             """Those of the alignments in which enough words of a window stand within ``off`` of their place."""
@@ -175,7 +179,11 @@ def _search(segment: dict, queries: Queries, run: int, near: int | None) -> Iter
             for step in range(0, len(at), 1 << 14):
                 some = at[step : step + (1 << 14)]
                 hits = np.zeros((len(some), len(t) + 1), np.int32)
-                for j, term in enumerate(t):
+                if not off:
+                    where = some[:, None] + np.arange(len(t))
+                    # The last place of the array holds no word, as do places outside.
+                    hits[:, 1:] = at_place[np.where((where >= 0) & (where < len(at_place)), where, len(at_place) - 1)] == np.where(t >= 0, t, -3)
+                for j, term in enumerate(t if off else ()):
                     if term >= 0:
                         p = postings(term)
                         k = np.searchsorted(p, some + j - off)
