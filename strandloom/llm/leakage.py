@@ -196,41 +196,44 @@ def _search(segment: dict, queries: Queries, run: int, near: int | None) -> Iter
         if slack:
             begins = standing(np.unique(begins[:, None] + np.arange(-slack, slack + 1)), slack)
         for begin in begins.tolist():
-            yield from _matches(segment["doc_ids"], starts, postings, queries.keys[i], t, begin, w, run, slack)
+            yield from _matches(segment["doc_ids"], starts, at_place, queries.keys[i], t, begin, w, run, slack)
 
 
-def _matches(doc_ids: list, starts: np.ndarray, postings, query: object, t: np.ndarray, begin: int, width: int, run: int, slack: int) -> Iterator[tuple[object, object, int, int, int]]:
+def _matches(doc_ids: list, starts: np.ndarray, at_place: np.ndarray, query: object, t: np.ndarray, begin: int, width: int, run: int, slack: int) -> Iterator[tuple[object, object, int, int, int]]:
     """The documents that lie under one alignment of a passage and hold enough of its words, each with its own words only."""
     first, last = np.searchsorted(starts, [begin - slack, begin + len(t) - 1 + slack], side="right") - 1
+    where = (begin + np.arange(len(t)))[:, None] + np.arange(-slack, slack + 1)
+    held = at_place[np.where((where >= 0) & (where < len(at_place)), where, len(at_place) - 1)] == np.where(t >= 0, t, -3)[:, None]
     for d in range(max(int(first), 0), int(last) + 1):
         lo = int(starts[d])
         hi = int(starts[d + 1]) - 1 if d + 1 < len(starts) else lo + (1 << 40)
-        here = []
-        for j, term in enumerate(t):
-            p = postings(term) if term >= 0 else np.zeros(0, np.int64)
-            a, b = np.searchsorted(p, [max(begin + j - slack, lo), min(begin + j + slack + 1, hi)])
-            here.append(p[a:b])
-        exact = np.array([begin + j in x for j, x in enumerate(here)], np.int8)
+        own = held & (where >= lo) & (where < hi)
+        exact = own[:, slack].astype(np.int8)
         edges = np.flatnonzero(np.diff(np.concatenate([[0], exact, [0]])))
         longest = int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
-        most = _most_in_order(here, width) if slack or width > run else longest
+        most = _most_in_order(own, where, width, run) if slack or width > run else longest
         if longest >= run or most >= run:
             yield query, doc_ids[d], longest, int(exact.sum()), most
 
 
-def _most_in_order(here: list[np.ndarray], width: int) -> int:
-    """The most of ``width`` successive words that can be given places in ascending order, from the places that each may take."""
-    best, c = 0, np.cumsum([0, *(len(x) > 0 for x in here)])
-    for s in range(max(len(here) - width, 0) + 1):
-        if c[min(s + width, len(here))] - c[s] <= best:
-            continue
+def _most_in_order(own: np.ndarray, where: np.ndarray, width: int, run: int) -> int:
+    """The most of ``width`` successive words that can be given places in ascending order, of the places in ``where`` that are ``own``; 0 if fewer than ``run``."""
+    c = np.concatenate([[0], np.cumsum(own.any(axis=1))])
+    width = min(width, len(own))
+    some = c[width:] - c[:-width]
+    if some.max() < run:
+        return 0
+    best, here = run - 1, [w[o].tolist() for w, o in zip(where, own)]
+    for s in np.argsort(-some, kind="stable").tolist():
+        if some[s] <= best:
+            break
         chosen: list[int] = []  # chosen[k] is the least place at which k + 1 words can end
         for found in here[s : s + width]:
-            for x in found[::-1]:  # from the right, so that a word is taken once
+            for x in reversed(found):  # from the right, so that a word is taken once
                 k = bisect.bisect_left(chosen, x)
                 chosen[k : k + 1] = [x]
         best = max(best, len(chosen))
-    return best
+    return best if best >= run else 0
 
 
 def find_leaks(index: DataFrame, items: DataFrame, key: str = "item_id", passage: str = "passage", run: int = RUN, near: int | None = None) -> DataFrame:
