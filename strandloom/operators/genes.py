@@ -7,27 +7,28 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import chains as C
 from strandloom.operators.overlap import overlap_join
-from strandloom.session import discard, materialize
+from strandloom.operators.skew import salted_join
+from strandloom.session import discard, materialize_counting
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, root) for nodes with a smaller one in their component; alternating large and small stars."""
+    """(node, root) for nodes with a smaller one in their component; alternating large and small stars. Hubs of large stars are spread over tasks."""
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
-    cur = materialize(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    cur, seen = materialize_counting(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges", {"n": F.count(F.lit(1))})
     mark = None
     while True:
+        n = 2 * seen["n"]
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
         m = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(m, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = salted_join(both, m, "u", rows=n).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        nxt = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
+        small = salted_join(large, least, "u", rows=n).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        nxt, seen = materialize_counting(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges", {"n": F.count(F.lit(1)), "sum": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))})
         discard(cur)
         cur = nxt
-        if now == mark:
+        if seen == mark:
             return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = now
+        mark = seen
 
 
 def merge_sets(sets: DataFrame, key: str, items: str) -> DataFrame:

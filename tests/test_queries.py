@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 DATA = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no stored tables")
-SHORT = ["p2_found", "p5_found", "p7_profile", "p6_found", "counts_in_region", "counts_in_region_masked", "map_center", "merge_genes", "metagene_profile", "find_junctions", "track_runs"]
+SHORT = ["gtf_round_trip", "gff3_round_trip", "bed_round_trip", "wiggle_round_trip", "fasta_round_trip", "junction_classes", "unstranded_masks", "psite_offsets_median", "p4_sizes", "p1_groups", "p9_limits", "p2_found", "p5_found", "p7_profile", "p6_found", "counts_in_region", "counts_in_region_masked", "map_center", "merge_genes", "metagene_profile", "find_junctions", "track_runs"]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("STRANDLOOM_ALL") else [n for n in SHORT if n in entry.oracle_sql()]
 
 
