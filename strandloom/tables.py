@@ -36,7 +36,7 @@ def percent_decoded(c: Column | str) -> Column:
 def clean_id(c: Column | str) -> Column:
     """An id without outer blanks and double quotes, %-escapes undone; placeholders and empty texts give null."""
     c = F.col(c) if isinstance(c, str) else c
-    x = percent_decoded(F.regexp_replace(c, r'^[\s"]+|[\s"]+$', ""))
+    x = percent_decoded(F.btrim(c, F.lit(' \t\n\x0b\f\r"')))
     return F.when(~F.lower(F.trim(x)).isin(*PLACEHOLDERS), x)
 
 
