@@ -10,7 +10,7 @@ from strandloom.llm.mixture import mix_sources, source_name
 from strandloom.llm.runs import collapse_runs
 from strandloom.llm.truncation import detect_truncated
 from strandloom.plans.registry import Registry
-from strandloom.tables import clean_id, load, with_reported_chrom
+from strandloom.tables import clean_id, load, once, with_reported_chrom
 
 llm = Registry()
 
@@ -37,7 +37,9 @@ c AS (SELECT n, min(top) AS top FROM r WHERE starts_with(n, 'g:') GROUP BY n)
 def _links(spark, d):
     gtf = load(spark, d, "gtf2").select(F.concat(F.lit("g:"), clean_id("gene_id")).alias("a"), F.concat(F.lit("t:"), clean_id("transcript_id")).alias("b"))
     tx = load(spark, d, "tx_matches").filter("is_match").select(F.concat(F.lit("t:"), clean_id("transcript_id_a")).alias("a"), F.concat(F.lit("t:"), clean_id("transcript_id_b")).alias("b"))
-    return gtf.unionByName(tx)
+    # Ids are cleaned once a row, not again in each filter on them.
+    pairs = [once(t.select(F.struct("a", "b").alias("p")), "q", F.col("p")) for t in (gtf, tx)]
+    return pairs[0].unionByName(pairs[1]).select("q.a", "q.b")
 
 
 @llm.add("p1_found", _GROUPS + "SELECT substr(top, 3) AS group_id, substr(n, 3) AS gene_id FROM c WHERE top IN (SELECT top FROM c GROUP BY top HAVING count(*) > 1)")
