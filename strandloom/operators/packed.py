@@ -55,7 +55,7 @@ def _body(field: Column) -> Column:
     """The field without outer blanks and without a pair of brackets around the list."""
     t = F.btrim(field, F.lit(_BLANKS))
     inner = F.substring(t, F.lit(2), F.length(t) - 2)
-    closed = t.rlike(r"\A\[[\s\S]*\]\z") | t.rlike(r"\A\{[\s\S]*\}\z") | t.rlike(r"\A\([\s\S]*\)\z")
+    closed = (t.startswith("[") & t.endswith("]")) | (t.startswith("{") & t.endswith("}")) | (t.startswith("(") & t.endswith(")"))
     return F.when(closed, F.btrim(inner, F.lit(_BLANKS))).otherwise(t)
 
 
@@ -126,7 +126,7 @@ def split_packed(df: DataFrame, field: str, kind: str, size: str | None = None,
     ``item_text`` is without outer blanks and quotes, %-escapes undone. Columns of df named like
     a result column are replaced. Fields are shuffled only where the table of shapes is too large to be broadcast.
     """
-    base = df.drop("item_pos", "item_text", "n_values", "dialect", "n_parses", "lead_bits").withColumn("__body", _body(F.col(field)))
+    base = once(df.drop("item_pos", "item_text", "n_values", "dialect", "n_parses", "lead_bits"), "__body", _body(F.col(field)))
     base = base.withColumn("__size", F.col(size).cast("int") if size else F.lit(None).cast("int"))
     base = base.filter(F.col("__body").isNotNull() & ~F.col("__body").isin("", "."))
     # Written once, as fields are read for their shapes and for the split.
