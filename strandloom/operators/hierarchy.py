@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators.skew import salted_join
 from strandloom.session import discard, materialize, materialize_counting
+from strandloom.tables import BROADCAST_ROWS
 
 #: One node in so many is a splitter.
 SPLITTER_EVERY = 16
@@ -211,11 +212,14 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, with_path: bool = False, every
     e = salted_join(given, nodes.withColumnRenamed("node", "parent"), "parent", "left_semi", rows=seen["n"])
     e, seen = materialize_counting(e.join(nodes.withColumnRenamed("node", "child"), "child", "left_semi").select("child", "parent"), "edges", count)
     n = seen["n"]
-    cyc, seen = materialize_counting(cycle_nodes(e, every, solve_edges), "cycles", count)
+    loops = e.filter("child = parent").select(F.col("child").alias("node"))
+    core = e.filter("child <> parent")
+    cyc, seen = materialize_counting(loops.unionByName(_rings(core, n, every, solve_edges).select("node")).distinct(), "cycles", count)
     clean = e.withColumn("clean", F.lit(True))
     if seen["n"]:
-        on = lambda c, t: cyc.select(F.col("node").alias(c), F.lit(True).alias(t))
-        clean = salted_join(e, on("parent", "__p"), "parent", "left", rows=n).join(on("child", "__c"), "child", "left")
+        few = F.broadcast(cyc) if seen["n"] <= BROADCAST_ROWS else cyc
+        on = lambda c, t: few.select(F.col("node").alias(c), F.lit(True).alias(t))
+        clean = (e.join(on("parent", "__p"), "parent", "left") if few is not cyc else salted_join(e, on("parent", "__p"), "parent", "left", rows=n)).join(on("child", "__c"), "child", "left")
         clean = materialize(clean.select("child", "parent", (F.col("__p").isNull() & F.col("__c").isNull()).alias("clean")), "edges")
     # A root has no parent; a node that lost all its parents to cycles ends walks as a root does, but is none.
     kids = clean.groupBy(F.col("child").alias("node")).agg(F.max("clean").alias("clean"))
