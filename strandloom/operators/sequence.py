@@ -107,19 +107,31 @@ def repeated_kmers(mers: DataFrame, mismatches: int = 0) -> DataFrame:
     return canon.join(tally.filter("n > 1").select("c"), "c", "left_semi").select("chrom", "pos")
 
 
-def repeat_mask(repeats: DataFrame, k: int, offset: int = 0) -> DataFrame:
-    """Masks on both strands from the starts of repeated k-mers: chrom, strand, start, end. Plus starts are moved by ``offset``, minus ones by k - 1 - offset."""
-    size = 1_000_000
+def position_runs(repeats: DataFrame, size: int) -> DataFrame:
+    """(chrom, s, e): runs of successive positions, cut at multiples of ``size``."""
     w = Window.partitionBy("chrom", "tile").orderBy("pos")
     t = repeats.distinct().withColumn("tile", F.floor(F.col("pos") / size))
     local = t.withColumn("isle", F.col("pos") - F.row_number().over(w)).groupBy("chrom", "tile", "isle").agg(F.min("pos").alias("s"), (F.max("pos") + 1).alias("e"))
-    # Only masks at the border of a tile, two a tile at most, may go on in the next one.
-    edge = (F.col("s") == F.col("tile") * size) | (F.col("e") == (F.col("tile") + 1) * size)
+    return local.select("chrom", "s", "e")
+
+
+def stitched(local: DataFrame, size: Column) -> DataFrame:
+    """Runs (chrom, s, e) that were cut at multiples of ``size`` joined again: only those at such a border, two a tile at most, may go on in the next one."""
+    edge = (F.col("s") % size == 0) | (F.col("e") % size == 0)
     over = Window.partitionBy("chrom").orderBy("s")
-    stitched = local.filter(edge).withColumn("new", F.coalesce((F.col("s") > F.lag("e").over(over)).cast("int"), F.lit(1))).withColumn("id", F.sum("new").over(over)).groupBy("chrom", "id").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    joined = local.filter(~edge).select("chrom", "s", "e").unionByName(stitched.select("chrom", "s", "e"))
+    whole = local.filter(edge).withColumn("new", F.coalesce((F.col("s") > F.lag("e").over(over)).cast("int"), F.lit(1))).withColumn("id", F.sum("new").over(over)).groupBy("chrom", "id").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return local.filter(~edge).select("chrom", "s", "e").unionByName(whole.select("chrom", "s", "e"))
+
+
+def strand_masks(runs: DataFrame, k: int, offset: int) -> DataFrame:
     both = F.array(F.struct(F.lit("+").alias("strand"), F.lit(offset).alias("by")), F.struct(F.lit("-").alias("strand"), F.lit(k - 1 - offset).alias("by")))
-    return joined.withColumn("x", F.explode(both)).select("chrom", "x.strand", (F.col("s") + F.col("x.by")).alias("start"), (F.col("e") + F.col("x.by")).alias("end"))
+    return runs.withColumn("x", F.explode(both)).select("chrom", "x.strand", (F.col("s") + F.col("x.by")).alias("start"), (F.col("e") + F.col("x.by")).alias("end"))
+
+
+def repeat_mask(repeats: DataFrame, k: int, offset: int = 0) -> DataFrame:
+    """Masks on both strands from the starts of repeated k-mers: chrom, strand, start, end. Plus starts are moved by ``offset``, minus ones by k - 1 - offset."""
+    size = 1_000_000
+    return strand_masks(stitched(position_runs(repeats, size), F.lit(size)), k, offset)
 
 
 def all_seqs(n: int, nucleotides: str = "ACGT") -> list[str]:

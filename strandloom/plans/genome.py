@@ -10,6 +10,7 @@ from strandloom.operators import annotation as N
 from strandloom.operators import arrays as A
 from strandloom.operators import genes as G
 from strandloom.operators import junctions as J
+from strandloom.operators import kmers as K
 from strandloom.operators import mapping as M
 from strandloom.operators import metagene as MG
 from strandloom.operators import overlap as O
@@ -372,7 +373,7 @@ def find_junctions(spark, d):
 @genome.add("kmer_repeats", ctes("genome") + f", t AS (SELECT chrom, tile_no, seq || coalesce(lead(seq) OVER (PARTITION BY chrom ORDER BY tile_no), '') AS long FROM genome), k AS (SELECT chrom, tile_no * {TILE} + i AS pos, substr(long, i + 1, 10) AS kmer FROM (SELECT *, unnest(range({TILE})) AS i FROM t) z WHERE length(substr(long, i + 1, 10)) = 10), c AS (SELECT *, least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) AS c, kmer = reverse(translate(kmer, 'ACGT', 'TGCA')) AS own FROM k), n AS (SELECT c, sum(CASE WHEN own THEN 2 ELSE 1 END) AS n FROM c GROUP BY c HAVING sum(CASE WHEN own THEN 2 ELSE 1 END) > 1) SELECT chrom, count(*) AS n_repeated, CAST(sum(pos) AS BIGINT) AS pos_sum FROM c JOIN n USING (c) GROUP BY chrom")
 def kmer_repeats(spark, d):
     """Positions whose 10-mer occurs elsewhere on either strand, summed up per chrom."""
-    return S.repeated_kmers(S.kmers(view(spark, d, "genome"), 10, TILE)).groupBy("chrom").agg(F.count(F.lit(1)).alias("n_repeated"), F.sum("pos").alias("pos_sum"))
+    return K.repeat_sums(K.repeat_runs(view(spark, d, "genome"), 10, TILE))
 
 
 @genome.add("crossmap_masks", ctes("genome") + f", t AS (SELECT chrom, tile_no, seq || coalesce(lead(seq) OVER (PARTITION BY chrom ORDER BY tile_no), '') AS long FROM genome), k AS (SELECT chrom, tile_no * {TILE} + i AS pos, substr(long, i + 1, 10) AS kmer FROM (SELECT *, unnest(range({TILE})) AS i FROM t) z WHERE length(substr(long, i + 1, 10)) = 10), c AS (SELECT *, least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) AS c, kmer = reverse(translate(kmer, 'ACGT', 'TGCA')) AS own FROM k), n AS (SELECT c, sum(CASE WHEN own THEN 2 ELSE 1 END) AS n FROM c GROUP BY c HAVING sum(CASE WHEN own THEN 2 ELSE 1 END) > 1), u AS (SELECT DISTINCT chrom, pos FROM c JOIN n USING (c)), g AS (SELECT *, pos - row_number() OVER (PARTITION BY chrom ORDER BY pos) AS g FROM u), m AS (SELECT chrom, min(pos) AS s, max(pos) + 1 AS e FROM g GROUP BY chrom, g) SELECT chrom, '+' AS strand, s + 4 AS start, e + 4 AS \"end\" FROM m UNION ALL SELECT chrom, '-', s + 5, e + 5 FROM m")
