@@ -378,7 +378,7 @@ def kmer_repeats(spark, d):
 
 @genome.add("crossmap_masks", ctes("genome") + f", t AS (SELECT chrom, tile_no, seq || coalesce(lead(seq) OVER (PARTITION BY chrom ORDER BY tile_no), '') AS long FROM genome), k AS (SELECT chrom, tile_no * {TILE} + i AS pos, substr(long, i + 1, 10) AS kmer FROM (SELECT *, unnest(range({TILE})) AS i FROM t) z WHERE length(substr(long, i + 1, 10)) = 10), c AS (SELECT *, least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) AS c, kmer = reverse(translate(kmer, 'ACGT', 'TGCA')) AS own FROM k), n AS (SELECT c, sum(CASE WHEN own THEN 2 ELSE 1 END) AS n FROM c GROUP BY c HAVING sum(CASE WHEN own THEN 2 ELSE 1 END) > 1), u AS (SELECT DISTINCT chrom, pos FROM c JOIN n USING (c)), g AS (SELECT *, pos - row_number() OVER (PARTITION BY chrom ORDER BY pos) AS g FROM u), m AS (SELECT chrom, min(pos) AS s, max(pos) + 1 AS e FROM g GROUP BY chrom, g) SELECT chrom, '+' AS strand, s + 4 AS start, e + 4 AS \"end\" FROM m UNION ALL SELECT chrom, '-', s + 5, e + 5 FROM m")
 def crossmap_masks(spark, d):
-    return S.repeat_mask(S.repeated_kmers(S.kmers(view(spark, d, "genome"), 10, TILE)), 10, 4)
+    return K.repeat_masks(K.repeat_runs(view(spark, d, "genome"), 10, TILE), 10, 4)
 
 
 @genome.add("chain_sequences", ctes("genome", "seg") + f", p AS (SELECT tx_id, strand, chrom, unnest(range(seg_start, seg_end)) AS pos FROM seg), b AS (SELECT tx_id, p.strand, pos, coalesce(substr(seq, CAST(pos % {TILE} + 1 AS INTEGER), 1), 'N') AS b FROM p LEFT JOIN genome g ON g.chrom = p.chrom AND g.tile_no = CAST((pos - pos % {TILE}) / {TILE} AS BIGINT)) SELECT tx_id, md5(string_agg(CASE WHEN strand = '-' THEN translate(b, 'ACGT', 'TGCA') ELSE b END, '' ORDER BY CASE WHEN strand = '-' THEN -pos ELSE pos END)) AS digest FROM b GROUP BY tx_id")
