@@ -215,7 +215,7 @@ def _of_planes(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def _halves(which: int, rounds: int, buckets: int, k: int, tile: int, per: int, kind: type) -> Callable:
-    """k-mers of both strands whose first half belongs to a round, by bucket of that half: (chrom, block, bucket, words, offs)."""
+    """k-mers of both strands whose first half belongs to a round, by bucket of that half: (chrom, block, bucket, words, offs). Starts that are found already are in buckets under 0."""
     size, low = -(-2 * k // 8), 2 * (k - k // 2)
     lo, hi = (-(-(x << 32) // rounds) for x in (which, which + 1))
 
@@ -230,14 +230,19 @@ def _halves(which: int, rounds: int, buckets: int, k: int, tile: int, per: int,
                 x, o, h = (np.concatenate(v) for v in (words, offs, hashes))
                 if not len(x):
                     continue
-                order = np.argsort(h)
+                order = np.argsort(x)
+                x, o, h = x[order], o[order], h[order]
+                new = np.concatenate([[True], x[1:] != x[:-1]])
+                sure = o[~(new & np.append(new[1:], True))]  # twice in the stretch: found already, and of each only one goes to be compared
+                order = np.flatnonzero(new)[np.argsort(h[new])]
                 x, o, bucket = x[order], o[order], (h[order] - lo) * buckets // (hi - lo)
                 cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(x)]
                 at = list(zip(cuts, cuts[1:]))
-                yield pa.RecordBatch.from_arrays([
-                    b.column("chrom").take(pa.array([i] * len(at))), b.column("block").take(pa.array([i] * len(at))), pa.array(bucket[cuts[:-1]].astype(np.int32)),
-                    pa.array([_planes(x[s:e], size) for s, e in at], pa.binary()), pa.array([_planes(o[s:e], 4) for s, e in at], pa.binary()),
-                ], names=["chrom", "block", "bucket", "words", "offs"])
+                rows = [(int(bucket[s]), _planes(x[s:e], size), _planes(o[s:e], 4)) for s, e in at]
+                if len(sure):
+                    rows.append((-1 - b.column("block")[i].as_py() % 1024, b"", _planes(sure, 4)))
+                row = pa.array([i] * len(rows))
+                yield pa.RecordBatch.from_arrays([b.column("chrom").take(row), b.column("block").take(row), *(pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary())))], names=["chrom", "block", "bucket", "words", "offs"])
 
     return f
 
@@ -265,6 +270,8 @@ def _compared(k: int, mismatches: int) -> Callable:
     size = -(-2 * k // 8)
 
     def f(t: pa.Table) -> pa.Table:
+        if t.column("bucket")[0].as_py() < 0:
+            return t.select(["chrom", "block", "offs"])
         words = [_of_planes(x, size) for x in _bytes(t.column("words"), np.uint8)]
         near = _close(np.concatenate(words), k, mismatches)
         rows, offs = [], []

@@ -9,6 +9,7 @@ from strandloom.functions import text as TX
 from strandloom.operators import arrays as A
 from strandloom.operators import genes as G
 from strandloom.operators import junctions as J
+from strandloom.operators import kmers as K
 from strandloom.operators import mapping as M
 from strandloom.operators import metagene as MG
 from strandloom.operators import overlap as O
@@ -275,7 +276,7 @@ n AS (SELECT x.chrom, x.pos FROM h x JOIN h y ON x.a = y.a AND hamming(x.w, y.w)
 SELECT chrom, count(*) AS n_repeated, CAST(sum(pos) AS BIGINT) AS pos_sum FROM n GROUP BY chrom""")
 def kmer_repeats_mismatch(spark, d):
     """Positions whose 20-mer occurs elsewhere on either strand with at most one mismatch."""
-    return S.repeated_kmers(S.kmers(view(spark, d, "genome"), 20, TILE), 1).groupBy("chrom").agg(F.count(F.lit(1)).alias("n_repeated"), F.sum("pos").alias("pos_sum"))
+    return K.repeat_sums(K.repeat_runs(view(spark, d, "genome"), 20, TILE, 1))
 
 
 @more.add("mutated_sequences", ctes("genome") + ", s AS (SELECT DISTINCT substr(seq, 1, 6) AS q FROM genome), m AS (SELECT q AS v FROM s UNION SELECT substr(q, 1, CAST(i - 1 AS INTEGER)) || n || substr(q, CAST(i + 1 AS INTEGER)) FROM s CROSS JOIN (SELECT unnest(range(1, 7)) AS i) a CROSS JOIN (SELECT unnest(['N', 'A', 'C', 'T', 'G']) AS n) b) SELECT substr(v, 1, 1) AS first, count(*) AS n, count(*) FILTER (contains(v, 'N')) AS n_unknown FROM m GROUP BY 1")

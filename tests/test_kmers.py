@@ -120,3 +120,15 @@ def test_rounds_bound_what_is_on_disk(spark, monkeypatch):
     assert written(spark, lambda: K.repeat_runs(many_tiles(spark, n), 20, 32, 1)) < 20 * 32 * n
     assert len(most) == 4 and max([*most, held() - before]) <= 0
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_a_monotone_genome_makes_no_large_bucket(spark, monkeypatch):
+    seen = K._halves(0, 1, 1, 20, 8, 8, K.np.uint16)
+    tiles = K.pa.table({"chrom": ["c"] * 9, "tile_no": range(9), "seq": ["A" * 8] * 9})
+    parts = K.pa.Table.from_batches(K._packer(8, 8, 3, K.np.uint16)(iter(tiles.to_batches())))
+    own = K._gather(8, K.np.uint16, 8)(None, parts.filter(K.pc.equal(parts["block"], 0)))
+    rows = [r for b in seen(iter(own.to_batches())) for r in b.to_pylist()]
+    assert sorted((r["bucket"], len(r["words"]), len(r["offs"])) for r in rows) == [(-1, 0, 2 * 53 * 4), (0, 2 * 5, 2 * 4)]
+    monkeypatch.setattr(K, "STRETCH", 4096)
+    g = spark.range(500).selectExpr("'c' AS chrom", "id AS tile_no", "repeat('A', 32) AS seq")
+    assert [tuple(r) for r in K.repeat_masks(K.repeat_runs(g, 20, 32, 1), 20).filter("strand = '+'").collect()] == [("c", "+", 0, 500 * 32 - 19)]
